@@ -6,22 +6,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idweft.llm import byte_bpe, compression_bands, secret_scan, source_mix
+from idweft.llm import byte_bpe, compression_bands, multi_index_hash, ngram_join, secret_scan, source_mix, substring_dedup, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compression_bands.score(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "chunk_low", "chunk_high")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(_documents(spark, sf_dir))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read(spark, path, digests=True)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_multi_index_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index_hash.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -34,8 +52,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_compression_bands": op2_compression_bands,
+    "op3_ngram_join": op3_ngram_join,
+    "op5_token_store": op5_token_store,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_multi_index_hash": op7_multi_index_hash,
     "op8_source_mix": op8_source_mix,
     "op9_secret_scan": op9_secret_scan,
 }
