@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idweft.llm import byte_bpe, compression_bands, multi_index_hash, ngram_join, secret_scan, source_mix, substring_dedup, token_store
+from idweft.llm import byte_bpe, compression_bands, edit_counts, multi_index_hash, ngram_join, secret_scan, source_mix, substring_dedup, token_store, toxicity_cnn
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(_documents(spark, sf_dir))
 
 
+def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity_cnn.score(docs, model)
+    return out.select("doc_id", F.coalesce(toxicity_cnn.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "toxic")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return token_store.read(spark, path, digests=True)
@@ -51,14 +58,24 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir)).select("doc_id", *[count(r.kind) for r in secret_scan.BASE_RULES], F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(spans).alias("spans"))
 
 
+def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of every document, and what was encoded again."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    state = edit_counts.build(_documents(spark, sf_dir), ranks, pattern)
+    edited = edit_counts.apply_edits(state.withColumn("edits", edit_counts.derived_edits(F.col("text"), F.col("doc_id"))), ranks, pattern)
+    return edited.select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), "n_recoded", F.sha2("text", 256).alias("edited_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_compression_bands": op2_compression_bands,
     "op3_ngram_join": op3_ngram_join,
+    "op4_toxicity_cnn": op4_toxicity_cnn,
     "op5_token_store": op5_token_store,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_multi_index_hash": op7_multi_index_hash,
     "op8_source_mix": op8_source_mix,
     "op9_secret_scan": op9_secret_scan,
+    "op10_edit_counts": op10_edit_counts,
 }
 ORACLE_SQL: dict[str, str] = {}

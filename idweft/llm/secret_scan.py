@@ -140,16 +140,17 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Secrets of every whole text: ``id_col, text_col, found`` (array of spans, see :func:`rule_spans`).
 
     A null text counts as empty and gives an empty array, as does a text without secrets.
     Null, tied and repeated ids keep their rows (postings are joined null-safely and hold
-    an id once). Columns other than the two are left out.
+    an id once). Columns other than the two and those in ``keep`` are left out.
     """
     queries = [trigram_query(r.regex) for r in rules]
     trigrams = sorted({t for q in queries for s in q for t in s})
-    rows = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("doc_text"))
+    held = {f"kept_{i}": name for i, name in enumerate(keep)}
+    rows = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("doc_text"), *[F.col(name).alias(k) for k, name in held.items()])
     postings = written(trigram_index(rows, trigrams, "doc_key", "doc_text"), "trigram_index")
     flagged = written(candidates(postings, rules).withColumnRenamed("doc_key", "flagged_key"), "candidates")
     text = F.coalesce(F.col("doc_text"), F.lit(""))
@@ -160,7 +161,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
         shortest = f"{rule.regex[:-1]}{{{rule.least}}}" if rule.group == 0 and rule.regex.endswith("]+") and rule.regex.startswith("[") else rule.regex
         found.append(F.when(asked & text.rlike(shortest), rule_spans(text, i, rule)).otherwise(none))
     joined = rows.join(flagged, F.col("doc_key").eqNullSafe(F.col("flagged_key")), "left")
-    return joined.select(F.col("doc_key").alias(id_col), F.col("doc_text").alias(text_col), F.concat(*found).alias("found"))
+    return joined.select(F.col("doc_key").alias(id_col), F.col("doc_text").alias(text_col), *[F.col(k).alias(name) for k, name in held.items()], F.concat(*found).alias("found"))
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
