@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,9 @@ WORDS, PERCENT = 5, 80
 #: Fixed sizes: the table of shingle counts, the classes of the suffix bound, a block's rows,
 #: and the group size from which that bound is applied before pairs are formed.
 COUNT_BITS, CLASSES, BLOCK, EARLY_BOUND = 17, 128, 256, 64
+#: A shingle whose bucket counts this many times the mean bucket, and so many at least, may be
+#: shared by many documents: its rows are dealt to several tasks. Results don't depend on it.
+HOT_TIMES, HOT_LEAST, HOT_PARTS = 8, 1_024, 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -97,32 +100,85 @@ def _describe(size: int):
 
 
 def _prefixes(size: int, percent: int, counts):
-    """The prefix of every set, once for each partition: ``token, doc_key, n, place``."""
+    """The prefix of every set, once for each partition: ``token, doc_key, n, place, hot``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = counts.value, set()
+        most = max(HOT_LEAST, HOT_TIMES * float(often.mean()))
         for batch in batches:
-            tokens, rows, sizes, places = [], [], [], []
+            tokens, rows, sizes, places, hot = [], [], [], [], []
             for i, data in enumerate(batch.column(1).to_pylist()):
                 s = shingles(data, size)
                 if not len(s) or (whole := xxhash.xxh3_128_digest(s.tobytes())) in seen:
                     continue
                 seen.add(whole)
                 k = prefix_length(len(s), percent)
-                order = np.lexsort((s, often[_buckets(s)]))[:k]
+                times = often[_buckets(s)]
+                order = np.lexsort((s, times))[:k]
                 tokens.append(s[order])
+                hot.append(times[order] > most)
                 rows.append(np.full(k, i))
                 sizes.append(np.full(k, len(s), np.int32))
                 places.append(np.arange(k, dtype=np.int32))
             if tokens:
                 keys = batch.column(0).take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), keys, pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["token", "doc_key", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), keys, pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(hot))], ["token", "doc_key", "n", "place", "hot"])
+
+    return run
+
+
+def _shared(percent: int):
+    """Rows whose shingle another row has too, from rows sorted by shingle and document.
+
+    ``lead`` is the first document under the shingle, where the two may link. Memory is
+    bounded by a batch: of a run that goes on, only its first and last row are remembered.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, previous, leader = None, None, None
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if not len(columns[0]):
+                continue
+            if held is not None:
+                columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+            held = [c[-1:] for c in columns]
+            if len(columns[0]) > 1:
+                yield from out(columns, previous, leader, True)
+                previous, leader = columns[0][-2], following(columns, previous, leader)
+        if held is not None:
+            yield from out(held, previous, leader, False)
+
+    def heads(columns, previous):
+        """Where each row's run begins; -1 if before these rows."""
+        token = columns[0]
+        begins = np.concatenate([[previous is None or token[0] != previous], token[1:] != token[:-1]])
+        return np.maximum.accumulate(np.where(begins, np.arange(len(token)), -1)), begins
+
+    def following(columns, previous, leader):
+        """The first row of the run that the last but one row belongs to."""
+        head = heads(columns, previous)[0][-2]
+        return leader if head < 0 else tuple(int(c[head]) for c in columns[1:4])
+
+    def out(columns, previous, leader, more):
+        token, doc, n, place, hot = columns
+        head, begins = heads(columns, previous)
+        last = np.concatenate([token[1:] == token[:-1], [False]])
+        keep = hot.astype(bool) | ~begins | last
+        if more:  # the last row waits for what follows it
+            keep[-1] = False
+        at = np.maximum(head, 0)
+        lead = [np.where(head < 0, leader[i] if leader else 0, c[at]).astype(np.int64) for i, c in enumerate((doc, n, place))]
+        fits = (lead[0] != doc) & _may_link(lead[1], n.astype(np.int64), lead[2], place.astype(np.int64), percent)
+        if keep.any():
+            arrays = [pa.array(token[keep]), pa.array(doc[keep]), pa.array(n[keep]), pa.array(place[keep]), pa.array(hot[keep].astype(bool)), pa.array(lead[0][keep], mask=~fits[keep])]
+            yield pa.RecordBatch.from_arrays(arrays, ["token", "doc_key", "n", "place", "hot", "lead"])
 
     return run
 
 
 def _may_link(n1, n2, p1, p2, percent: int):
-    """Length and position filter, for numpy arrays and for Columns alike (without min/max)."""
+    """Length and position filter, on numpy arrays."""
     need = _least_shared(n1 + n2, percent)
     length = (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1)
     # what both can share: the lesser of the places so far, this shingle, the lesser of the rests
@@ -203,15 +259,17 @@ class _Join:
         known = self.sets.filter("n > 0 and doc_key is not null")
         classes = known.groupBy("set_high", "set_low").agg(F.min("doc_key").alias("rep"), F.first("n").cast("int").alias("n"), F.first("classes").alias("classes"))
         self.classes = written(classes, "classes")
-        self.members = known.select("doc_key", "set_high", "set_low").distinct().join(self.classes, ["set_high", "set_low"]).select("doc_key", "rep").distinct()
+        # where a document is not its class's smallest; one with several texts has a row for each
+        members = known.select("doc_key", "set_high", "set_low").distinct().join(self.classes, ["set_high", "set_low"]).select("doc_key", "rep")
+        moved = members.filter("doc_key <> rep").select("doc_key").distinct()
+        self.moved = written(members.join(moved, "doc_key", "left_semi"), "moved")
 
     def groups(self) -> DataFrame:
-        """``token, rep, n, place`` under every prefix shingle that two classes or more have."""
-        prefixes = self.rows.filter("doc_key is not null").mapInArrow(_prefixes(self.size, self.percent, self.counts), "token long, doc_key long, n int, place int")
-        prefixes = written(prefixes, "prefixes")
-        shared = prefixes.groupBy("token").agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high")).filter("low < high").select("token")
-        found = prefixes.join(shared, "token").join(self.members, "doc_key")
-        return written(found.groupBy("token", "rep").agg(F.first("n").alias("n"), F.min("place").alias("place")), "groups")
+        """``token, doc_key, n, place, hot, lead`` under every prefix shingle that is shared."""
+        prefixes = self.rows.filter("doc_key is not null").mapInArrow(_prefixes(self.size, self.percent, self.counts), "token long, doc_key long, n int, place int, hot boolean")
+        part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_key"), F.lit(HOT_PARTS)))
+        dealt = prefixes.repartition("token", part).sortWithinPartitions("token", "doc_key")
+        return written(dealt.mapInArrow(_shared(self.percent), "token long, doc_key long, n int, place int, hot boolean, lead long"), "groups")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs that the class counts let pass."""
@@ -257,20 +315,32 @@ class _Join:
 
     def first_pairs(self, groups: DataFrame) -> DataFrame:
         """Each class with the smallest one under its shingles."""
-        lead = groups.groupBy("token").agg(F.min_by(F.struct("rep", "n", "place"), "rep").alias("lead"))
-        pairs = groups.join(lead, "token").filter("rep > lead.rep")
-        pairs = pairs.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.n").alias("n1"), F.col("n").alias("n2"), F.col("lead.place").alias("p1"), F.col("place").alias("p2"))
-        p = self.percent
-        fits = f"100 * n1 >= {p} * n2 and 100 * n2 >= {p} * n1 and (least(p1, p2) + 1 + least(n1 - p1 - 1, n2 - p2 - 1)) * {100 + p} >= {p} * (n1 + n2)"
-        return pairs.filter(fits).select("a", "b").distinct()
+        end = lambda x: self.moved.select(F.col("doc_key").alias(x), F.col("rep").alias(f"rep_{x}"))
+        pairs = groups.filter("lead is not null").select(F.col("lead").alias("a"), F.col("doc_key").alias("b")).distinct()
+        pairs = pairs.join(end("b"), "b", "left").join(end("a"), "a", "left").select(F.coalesce("rep_a", "a").alias("a"), F.coalesce("rep_b", "b").alias("b"))
+        return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def other_pairs(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different components under one shingle, formed in blocks."""
-        named = groups.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        sizes = named.groupBy("token", "label").agg(F.count("*").alias("rows"))
+        of = labels.filter("node <> label").select(F.col("node").alias("rep"), "label")
+        known = self.moved.unionByName(of.join(self.moved.select(F.col("doc_key").alias("rep")).distinct(), "rep", "left_anti").select(F.col("rep").alias("doc_key"), "rep"))
+        known = written(known.join(of, "rep", "left").select("doc_key", "rep", "label"), "known")
+        rep, label = F.coalesce("rep", "doc_key"), F.coalesce("label", "rep", "doc_key")
+        named = groups.join(known, "doc_key", "left").select("token", rep.alias("rep"), label.alias("label"), "n", "place", "hot")
+        # shingles that few share: one exchange, and their rows stand together after it
+        token = Window.partitionBy("token")
+        counted = named.filter("not hot").withColumn("all", F.count("*").over(token)).withColumn("low", F.min("label").over(token)).withColumn("high", F.max("label").over(token))
+        counted = counted.filter("low < high").drop("low", "high", "hot")
+        none = F.lit(None).cast("binary")
+        cols = ["block", "rep", "label", "n", "place", "own", "cross", "classes"]
+        few = counted.filter(F.col("all") <= EARLY_BOUND).select(F.col("token").alias("block"), "rep", "label", "n", "place", F.lit(0).alias("own"), F.lit(False).alias("cross"), none.alias("classes"))
+        few = few.select(cols).mapInArrow(_pairs_in_blocks(self.percent), "a long, b long")
+        # those that many share: blocks of bounded size
+        many = counted.filter(F.col("all") > EARLY_BOUND).drop("all").unionByName(named.filter("hot").drop("hot"))
+        sizes = many.groupBy("token", "label").agg(F.count("*").alias("rows"))
         tokens = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("rows").alias("all"), F.max(F.struct("rows", (-F.col("label")).alias("minus"))).alias("largest")).filter("labels > 1")
         tokens = tokens.select("token", "all", F.col("largest.rows").alias("most"), (-F.col("largest.minus")).alias("major"))
-        rows = named.join(tokens, "token").withColumn("main", F.col("label") == F.col("major"))
+        rows = many.join(tokens, "token").withColumn("main", F.col("label") == F.col("major"))
         rows = rows.withColumn("mains", F.ceil(F.col("most") / BLOCK).cast("int")).withColumn("others", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
         rows = rows.withColumn("at", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
         # a block is (kind, i, j): all rows of a small group; block i of the largest component
@@ -280,14 +350,10 @@ class _Join:
             when main then transform(sequence(0, others - 1), k -> struct(1 as kind, at as i, k as j, 0 as own, true as cross))
             else concat(transform(sequence(0, mains - 1), k -> struct(1 as kind, k as i, at as j, 1 as own, true as cross)),
                         transform(sequence(0, others - 1), k -> struct(2 as kind, least(at, k) as i, greatest(at, k) as j, at as own, at <> k as cross))) end""")
-        dealt = rows.select("token", "rep", "label", "n", "place", "all", F.explode(blocks).alias("x")).select("token", "rep", "label", "n", "place", "all", "x.*")
+        dealt = rows.select("token", "rep", "label", "n", "place", F.explode(blocks).alias("x")).select("token", "rep", "label", "n", "place", "x.*")
         dealt = dealt.withColumn("block", F.xxhash64("token", "kind", "i", "j")).drop("token", "kind", "i", "j")
-        bound = self.classes.select("rep", "classes")
-        large = dealt.filter(F.col("all") > EARLY_BOUND).join(bound, "rep")
-        small = dealt.filter(F.col("all") <= EARLY_BOUND).withColumn("classes", F.lit(None).cast("binary"))
-        cols = ["block", "rep", "label", "n", "place", "own", "cross", "classes"]
-        sorted_rows = large.select(cols).unionByName(small.select(cols)).repartition("block").sortWithinPartitions("block")
-        return sorted_rows.mapInArrow(_pairs_in_blocks(self.percent), "a long, b long").distinct()
+        dealt = dealt.join(self.classes.select("rep", "classes"), "rep").select(cols).repartition("block").sortWithinPartitions("block")
+        return few.union(dealt.mapInArrow(_pairs_in_blocks(self.percent), "a long, b long")).distinct()
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

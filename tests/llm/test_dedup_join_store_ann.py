@@ -200,3 +200,20 @@ def test_probes_keep_every_code_within_the_radius():
     own = codes.of(sample)
     for radius in (0, 7, 19, 28, 64):
         assert shard.within(own[3], radius).tolist() == np.flatnonzero(multi_index_hash.distances(own, own[3]) <= radius).tolist()
+
+
+def test_join_does_not_depend_on_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        data = near(9, 90) + [(r[0] + 1000, *r[1:]) for r in rows()[10:30]]
+        got = ngram_join.link_documents(table(spark, data)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    same([tuple(r) for r in got], plain_join(data))
+
+
+def test_join_deals_hot_shingles_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", 3)
+    monkeypatch.setattr(ngram_join, "HOT_TIMES", 0)
+    data = near(5, 300)
+    same([tuple(r) for r in ngram_join.link_documents(table(spark, data)).collect()], plain_join(data))
