@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,55 +39,73 @@ MAGIC, HEAD = b"IDTS", struct.Struct("<4sBBxx8sQQ")
 SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 512, 4_096, 32_768
 #: A shard is closed once it holds this many bytes of ids before compression.
 SHARD_BYTES = 1 << 20
-#: Words whose ids a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+#: Distinct words of a generation that a Python worker remembers, some 200 bytes each.
+REMEMBERED = 500_000
 
 #: One thread for each Python worker: Spark's tasks are the parallel ones.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _encoders: dict[str, WordEncoder] = {}
 
 
+#: A word of Latin letters, as lower case leaves it, and ASCII marks after it.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE writes every byte as a printable character: the others count up from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class WordEncoder:
     """Encodes texts word by word, and asks the library for each distinct word once.
 
     This tokenizer drops white space and its pre-tokens never reach across it, so a text's
-    ids are its words' ids in order. A plain ASCII word is looked up in lower case without
-    one closing full stop or comma after a letter or digit, which is a pre-token of its own.
+    ids are its words' ids in order. A word of Latin letters is one pre-token, already in
+    the form that normalizing gives once it is lower case, and goes to the library's model
+    directly; marks after it are one more pre-token. Any other word takes the whole way.
+    Two generations of words are remembered, so frequent ones stay.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-        self.ends = {mark: self._ids(mark.decode()) for mark in (b".", b",")}
-
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        split: dict[bytes, tuple[bytes, bytes]] = {}
-        for word in words:
-            core, end = word, b""
-            if word.isascii():
-                core = word.lower()
-                if core[-1:] in self.ends and core[-2:-1].isalnum():
-                    core, end = core[:-1], core[-1:]
-            split[word] = core, end
-        new = list({c for c, _ in split.values()} - self.cores.keys())
-        for core, got in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self.cores[core] = np.asarray(got.ids, "<u4").tobytes()
-        for word, (core, end) in split.items():
-            self.known[word] = self.cores[core] + self.ends.get(end, b"")
+        self.older: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = _PLAIN.fullmatch(text.lower())
+        if not plain:
+            return self._whole(text)
+        core, marks = plain.groups()
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(core)]).tobytes()
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            self.marks[marks] = self._whole(marks)
+        return ids + self.marks[marks]
 
     def encode(self, data: bytes) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         words = data.split()
-        if len(self.known) + len(self.cores) > REMEMBERED:
-            self.known, self.cores = {}, {}
-        missing = set(words) - self.known.keys()
+        missing = set(words).difference(self.known)
         if missing:
-            self.learn(missing)
+            if len(self.known) > REMEMBERED:
+                self.known, self.older = {}, self.known
+                missing = set(words)
+            older = self.older
+            for word in missing:
+                self.known[word] = older[word] if word in older else self._word(word)
         return b"".join(map(self.known.__getitem__, words))
 
 
