@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,51 +128,63 @@ def _prefixes(size: int, percent: int, counts):
 
 
 def _shared(percent: int):
-    """Rows whose shingle another row has too, from rows sorted by shingle and document.
+    """Rows that may link with another under their shingle, from rows sorted by it.
 
-    ``lead`` is the first document under the shingle, where the two may link. Memory is
-    bounded by a batch: of a run that goes on, only its first and last row are remembered.
+    Up to ``EARLY_BOUND`` rows under a shingle are compared by length and position here, and
+    those that fit none go. More rows, or hot ones, all stay and are marked ``many``.
+    ``lead`` is the first document under the shingle, where the two may link. Of a run that
+    goes on in the next batch, at most ``EARLY_BOUND`` rows are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, previous, leader = None, None, None
+        held, long_run = None, None  # rows of a short run; token and first row of a long one
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            if not len(columns[0]):
-                continue
             if held is not None:
                 columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
-            held = [c[-1:] for c in columns]
-            if len(columns[0]) > 1:
-                yield from out(columns, previous, leader, True)
-                previous, leader = columns[0][-2], following(columns, previous, leader)
+            n = len(columns[0])
+            if not n:
+                continue
+            begin = int(np.searchsorted(columns[0], columns[0][-1]))
+            goes_on = long_run is not None and columns[0][-1] == long_run[0]
+            short = n - begin <= EARLY_BOUND and not goes_on
+            cut = begin if short else n
+            held = [c[begin:] for c in columns] if short else None
+            if cut:
+                done = [c[:cut] for c in columns]
+                yield from out(done, long_run)
+                if short:
+                    long_run = None
+                elif not goes_on:
+                    long_run = columns[0][-1], *(int(c[begin]) for c in columns[1:4])
         if held is not None:
-            yield from out(held, previous, leader, False)
-
-    def heads(columns, previous):
-        """Where each row's run begins; -1 if before these rows."""
-        token = columns[0]
-        begins = np.concatenate([[previous is None or token[0] != previous], token[1:] != token[:-1]])
-        return np.maximum.accumulate(np.where(begins, np.arange(len(token)), -1)), begins
+            yield from out(held, None)
 
-    def following(columns, previous, leader):
-        """The first row of the run that the last but one row belongs to."""
-        head = heads(columns, previous)[0][-2]
-        return leader if head < 0 else tuple(int(c[head]) for c in columns[1:4])
-
-    def out(columns, previous, leader, more):
+    def out(columns, long_run):
         token, doc, n, place, hot = columns
-        head, begins = heads(columns, previous)
-        last = np.concatenate([token[1:] == token[:-1], [False]])
-        keep = hot.astype(bool) | ~begins | last
-        if more:  # the last row waits for what follows it
-            keep[-1] = False
-        at = np.maximum(head, 0)
-        lead = [np.where(head < 0, leader[i] if leader else 0, c[at]).astype(np.int64) for i, c in enumerate((doc, n, place))]
-        fits = (lead[0] != doc) & _may_link(lead[1], n.astype(np.int64), lead[2], place.astype(np.int64), percent)
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        rows = np.arange(len(token))
+        begins = np.concatenate([[True], token[1:] != token[:-1]])
+        head = np.maximum.accumulate(np.where(begins, rows, 0))
+        length = np.diff(np.concatenate([np.flatnonzero(begins), [len(token)]]))
+        many = hot.astype(bool) | np.repeat(length > EARLY_BOUND, length)
+        lead = [c[head].astype(np.int64) for c in (doc, n, place)]
+        if long_run is not None:
+            later = token == long_run[0]
+            many |= later
+            for c, first in zip(lead, long_run[1:], strict=True):
+                c[later] = first
+        keep, index, d = many.copy(), rows[~many], 0
+        while len(index):  # rows d apart in one run, for all runs at once
+            d += 1
+            index = index[index + d < len(token)]
+            index = index[token[index] == token[index + d]]
+            fits = index[_may_link(n[index], n[index + d], place[index], place[index + d], percent)]
+            keep[fits] = keep[fits + d] = True
+        fits = (lead[0] != doc) & _may_link(lead[1], n, lead[2], place, percent)
         if keep.any():
-            arrays = [pa.array(token[keep]), pa.array(doc[keep]), pa.array(n[keep]), pa.array(place[keep]), pa.array(hot[keep].astype(bool)), pa.array(lead[0][keep], mask=~fits[keep])]
-            yield pa.RecordBatch.from_arrays(arrays, ["token", "doc_key", "n", "place", "hot", "lead"])
+            arrays = [pa.array(c[keep]) for c in (token, doc, columns[2], columns[3], many)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(lead[0][keep], mask=~fits[keep])], ["token", "doc_key", "n", "place", "many", "lead"])
 
     return run
 
@@ -265,11 +277,11 @@ class _Join:
         self.moved = written(members.join(moved, "doc_key", "left_semi"), "moved")
 
     def groups(self) -> DataFrame:
-        """``token, doc_key, n, place, hot, lead`` under every prefix shingle that is shared."""
+        """``token, doc_key, n, place, many, lead`` under every prefix shingle that is shared."""
         prefixes = self.rows.filter("doc_key is not null").mapInArrow(_prefixes(self.size, self.percent, self.counts), "token long, doc_key long, n int, place int, hot boolean")
         part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_key"), F.lit(HOT_PARTS)))
         dealt = prefixes.repartition("token", part).sortWithinPartitions("token", "doc_key")
-        return written(dealt.mapInArrow(_shared(self.percent), "token long, doc_key long, n int, place int, hot boolean, lead long"), "groups")
+        return written(dealt.mapInArrow(_shared(self.percent), "token long, doc_key long, n int, place int, many boolean, lead long"), "groups")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs that the class counts let pass."""
@@ -293,20 +305,20 @@ class _Join:
         """``a, b, shared`` of the pairs that link, on the whole sets."""
         size = self.size
         asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        asked = written(asked.join(self.classes.select("rep", "set_high", "set_low"), "rep"), "asked")
+        tag = F.col("set_low").bitwiseAND(F.lit(0x7FFF)).cast("smallint").alias("tag")  # tells a class's text from another with its id
+        asked = written(asked.join(self.classes.select("rep", tag), "rep"), "asked")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep, sets = [], []
-                for i, (data, high, low) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("data", "set_high", "set_low")), strict=True)):
+                for i, (data, tag) in enumerate(zip(batch.column("data").to_pylist(), batch.column("tag").to_pylist(), strict=True)):
                     s = shingles(data, size)
-                    whole = xxhash.xxh3_128_intdigest(s.tobytes())
-                    if (whole >> 64) - (1 << 63) == high and (whole & (1 << 64) - 1) - (1 << 63) == low:  # else another text with this id
+                    if xxhash.xxh3_128_intdigest(s.tobytes()) & 0x7FFF == tag:
                         keep.append(i)
                         sets.append(s.view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(keep, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["rep", "elements"])
 
-        texts = self.rows.join(asked, self.rows.doc_key == asked.rep).select("rep", "data", "set_high", "set_low")
+        texts = self.rows.join(asked, self.rows.doc_key == asked.rep).select("rep", "data", "tag")
         sets = written(texts.mapInArrow(run, "rep long, elements array<long>").dropDuplicates(["rep"]), "sets")
         end = lambda x: sets.select(F.col("rep").alias(x), F.col("elements").alias(f"set_{x}"))
         both = pairs.join(end("b"), "b").join(end("a"), "a")
@@ -326,17 +338,13 @@ class _Join:
         known = self.moved.unionByName(of.join(self.moved.select(F.col("doc_key").alias("rep")).distinct(), "rep", "left_anti").select(F.col("rep").alias("doc_key"), "rep"))
         known = written(known.join(of, "rep", "left").select("doc_key", "rep", "label"), "known")
         rep, label = F.coalesce("rep", "doc_key"), F.coalesce("label", "rep", "doc_key")
-        named = groups.join(known, "doc_key", "left").select("token", rep.alias("rep"), label.alias("label"), "n", "place", "hot")
-        # shingles that few share: one exchange, and their rows stand together after it
-        token = Window.partitionBy("token")
-        counted = named.filter("not hot").withColumn("all", F.count("*").over(token)).withColumn("low", F.min("label").over(token)).withColumn("high", F.max("label").over(token))
-        counted = counted.filter("low < high").drop("low", "high", "hot")
-        none = F.lit(None).cast("binary")
+        named = groups.join(known, "doc_key", "left").select("token", rep.alias("rep"), label.alias("label"), "n", "place", "many")
         cols = ["block", "rep", "label", "n", "place", "own", "cross", "classes"]
-        few = counted.filter(F.col("all") <= EARLY_BOUND).select(F.col("token").alias("block"), "rep", "label", "n", "place", F.lit(0).alias("own"), F.lit(False).alias("cross"), none.alias("classes"))
-        few = few.select(cols).mapInArrow(_pairs_in_blocks(self.percent), "a long, b long")
+        # shingles that few share: a block each
+        few = named.filter("not many").select(F.col("token").alias("block"), "rep", "label", "n", "place", F.lit(0).alias("own"), F.lit(False).alias("cross"), F.lit(None).cast("binary").alias("classes"))
+        few = few.select(cols).repartition("block").sortWithinPartitions("block").mapInArrow(_pairs_in_blocks(self.percent), "a long, b long")
         # those that many share: blocks of bounded size
-        many = counted.filter(F.col("all") > EARLY_BOUND).drop("all").unionByName(named.filter("hot").drop("hot"))
+        many = written(named.filter("many").drop("many"), "many")
         sizes = many.groupBy("token", "label").agg(F.count("*").alias("rows"))
         tokens = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("rows").alias("all"), F.max(F.struct("rows", (-F.col("label")).alias("minus"))).alias("largest")).filter("labels > 1")
         tokens = tokens.select("token", "all", F.col("largest.rows").alias("most"), (-F.col("largest.minus")).alias("major"))
