@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from idweft.llm.components import components
 from idweft.llm.storage import written
-from idweft.llm.words import Rolling, word_hashes
+from idweft.llm.words import Rolling, slices, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Fixed sizes: the table of shingle counts, the classes of the suffix bound, a block's rows,
@@ -73,7 +73,7 @@ def _describe(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << COUNT_BITS, np.int64), set()
-        for batch in batches:
+        for batch in slices(batches):
             n, high, low, marks, parts = [], [], [], [], []
             for data in batch.column(1).to_pylist():
                 s = shingles(data, size)
@@ -105,7 +105,7 @@ def _prefixes(size: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = counts.value, set()
         most = max(HOT_LEAST, HOT_TIMES * float(often.mean()))
-        for batch in batches:
+        for batch in slices(batches):
             tokens, rows, sizes, places, hot = [], [], [], [], []
             for i, data in enumerate(batch.column(1).to_pylist()):
                 s = shingles(data, size)
@@ -309,7 +309,7 @@ class _Join:
         asked = written(asked.join(self.classes.select("rep", tag), "rep"), "asked")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 keep, sets = [], []
                 for i, (data, tag) in enumerate(zip(batch.column("data").to_pylist(), batch.column("tag").to_pylist(), strict=True)):
                     s = shingles(data, size)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,9 +15,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
-    """The UTF-8 bytes of a string column."""
-    return batch.column(name).cast(pa.binary()).to_pylist()
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that what a worker holds besides them stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
