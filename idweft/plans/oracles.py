@@ -112,6 +112,26 @@ ORIENT = """WITH {cards}, sums AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN x
 SELECT doc_id, CASE WHEN wide >= 3 * tall AND wide > 0 THEN 'wide' WHEN tall >= 3 * wide AND tall > 0 THEN 'tall' END AS direction,
   CAST(CASE WHEN n < 3 OR NOT (wide >= 3 * tall AND wide > 0) THEN NULL WHEN turned <= 0.3 * wide THEN 0 WHEN turned >= 0.7 * wide THEN 180 END AS INT) AS angle FROM sums"""
 
+_redactions = (
+    (r"([^0-9])[0-9]{4}(\s?)[0-9]{4}(\s?)[0-9]{4}(\s?)([0-9]{4})([^0-9])", r"\1XXXX\2XXXX\3XXXX\4\5\6"),
+    (r"([^0-9 \t]|[^0-9][ \t])[0-9]{4}(\s?)[0-9]{4}(\s?)([0-9]{4})([^0-9 \t]|[ \t][^0-9])", r"\1XXXX\2XXXX\3\4\5"),
+    (r"([^A-Z0-9])([A-Z]{2})[A-Z]{3}[0-9]{2}([0-9]{2}[A-Z])([^A-Z0-9])", r"\1\2XXXXX\3\4"),
+    (r"([^A-Z0-9])[A-Z]{3}[0-9]{3}([0-9]{4})([^A-Z0-9])", r"\1XXXXXX\2\3"),
+    (r"[A-Z]{2}([\s-]?)[0-9]{2}([\s-]?)[0-9]{7}([0-9]{4})([^0-9])", r"XX\1XX\2XXXXXXX\3\4"),
+)
+
+
+def _redaction() -> str:
+    """Each rule twice: a match takes its neighbours with it, so of two in a row one is left."""
+    t = "' ' || text || ' '"
+    for rx, mask in _redactions:
+        if rx.startswith("[A-Z]"):  # not after a letter or digit
+            rx, mask = f"([^A-Z0-9]){rx}", r"\1" + "".join(c if not (c.isdigit() and mask[i - 1] == "\\") else str(int(c) + 1) for i, c in enumerate(mask))
+        for _ in range(2):
+            t = f"regexp_replace({t}, {q(rx)}, {q(mask)}, 'g')"
+    return f"WITH r AS (SELECT doc_id, text, {t} AS t FROM documents) SELECT doc_id, t <> ' ' || text || ' ' AS redacted, sha256(t[2:length(t) - 1]) AS text_sha256 FROM r"
+
+
 ORACLE_SQL = {
     "reading_order": f"{TEXT} SELECT doc_id, region_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1, region_idx) AS INT) AS rn FROM text_regions",
     "document_confidence": f"{TEXT} SELECT doc_id, round(avg(CASE WHEN conf > 0 THEN conf END), 6) AS avg_confidence, count(*) AS n_regions FROM text_regions GROUP BY doc_id",
@@ -159,12 +179,7 @@ SELECT doc_id, line1, line2, 'P' AS type_of_passport, substr(line1, 3, 3) AS cou
     "error_status": f"{OUTCOMES}, codes(error_code, http_status, retryable) AS (VALUES {_codes}) SELECT doc_id, o.error_code, CAST(coalesce(http_status, 200) AS INT) AS http_status, coalesce(retryable, false) AS retryable FROM outcomes o LEFT JOIN codes USING (error_code)",
     "outcome_windows": f"{OUTCOMES} SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, count(error_code) AS n_failed, count(*) FILTER (error_code = 'timeout') AS n_timeouts, round(count(error_code) / count(*), 6) AS failure_rate FROM outcomes GROUP BY 1",
     "value_after": f"{CARDS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1, region_idx) AS rn FROM card_regions), a AS (SELECT doc_id, min(rn) AS spot FROM o WHERE regexp_matches(text, '(?i)OLD\\s*PASSPORT') GROUP BY doc_id) SELECT doc_id, trim(text) AS value, conf FROM o JOIN a USING (doc_id) WHERE rn = spot + 1 AND NOT regexp_matches(text, {q(P.PASSPORT_LABELS)})",
-    "redact_text": f"""WITH a AS (SELECT doc_id, text AS was, regexp_replace(' ' || text || ' ', {q(r"([^0-9])[0-9]{4}(\s?)[0-9]{4}(\s?)[0-9]{4}(\s?)([0-9]{4})([^0-9])")}, {q(r"\1XXXX\2XXXX\3XXXX\4\5\6")}, 'g') AS t FROM documents),
-b AS (SELECT doc_id, was, regexp_replace(t, {q(r"([^0-9 \t]|[^0-9][ \t])[0-9]{4}(\s?)[0-9]{4}(\s?)([0-9]{4})([^0-9 \t]|[ \t][^0-9])")}, {q(r"\1XXXX\2XXXX\3\4\5")}, 'g') AS t FROM a),
-c AS (SELECT doc_id, was, regexp_replace(t, {q(r"([^A-Z0-9])([A-Z]{2})[A-Z]{3}[0-9]{2}([0-9]{2}[A-Z])([^A-Z0-9])")}, {q(r"\1\2XXXXX\3\4")}, 'g') AS t FROM b),
-d AS (SELECT doc_id, was, regexp_replace(t, {q(r"([^A-Z0-9])[A-Z]{3}[0-9]{3}([0-9]{4})([^A-Z0-9])")}, {q(r"\1XXXXXX\2\3")}, 'g') AS t FROM c),
-e AS (SELECT doc_id, was, regexp_replace(t, {q(r"([^A-Z0-9])[A-Z]{2}([\s-]?)[0-9]{2}([\s-]?)[0-9]{7}([0-9]{4})([^0-9])")}, {q(r"\1XX\2XX\3XXXXXXX\4\5")}, 'g') AS t FROM d),
-f AS (SELECT doc_id, was, t[2:length(t) - 1] AS t FROM e) SELECT doc_id, t <> was AS redacted, sha256(t) AS text_sha256 FROM f""",
+    "redact_text": _redaction(),
     "identity_groups": f"{DOCS}, numbers AS (SELECT doc_id, regexp_replace(regexp_extract(t, {q(P.AADHAAR_RE2)}, 1), '\\s+', '', 'g') AS number FROM docs) SELECT sha256(number) AS uniqueness_id, count(*) AS n_docs, min(doc_id) AS first_doc_id FROM numbers WHERE number <> '' GROUP BY 1",
     "passport_address": f"""{CARDS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1, region_idx) AS rn FROM card_regions),
 starts AS (SELECT doc_id, min(rn) AS spot FROM o WHERE regexp_matches(text, '(?i)ADDRESS') GROUP BY doc_id),
