@@ -129,8 +129,10 @@ def train_dictionary(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             ids = [_packed(encoder.encode(x or b""), end_id, width)[:SAMPLE_TEXT_BYTES] for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
-    sample = docs.select(F.col(text_col).cast("binary").alias("data"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", F.xxhash64("data")).limit(sample_docs)
-    parts = [bytes(r[0]) for r in sample.select("data").mapInArrow(run, "ids binary").collect()]
+    rows = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("binary").alias("data"))
+    few = rows.filter("doc_key is not null").select("doc_key").orderBy(F.xxhash64("doc_key"), "doc_key").limit(sample_docs).distinct()  # ids only, so that no task gathers texts
+    sample = rows.join(F.broadcast(few), "doc_key", "left_semi").select("data").mapInArrow(run, "ids binary").limit(sample_docs)
+    parts = [bytes(r[0]) for r in sample.collect()]
     if sum(map(len, parts)) < 16_384 or len(parts) < 16:
         return b""
     try:
