@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a low-discrepancy schedule, with DataFrame functions only.
 
-Every source is shuffled by a hash and cut into blocks of equally many words. Points of the
-golden-ratio sequence fall into the sources' cumulative weights; the slots of a source are
+Every source is shuffled by a hash and cut evenly into blocks of its own count, so that its
+target is worth LEAST_TARGET blocks or more, however small it is beside the others. Points of
+the golden-ratio sequence fall into the sources' cumulative slots; the slots of a source are
 ranked and take its blocks in turn, from the first again once all are taken.
 """
 
@@ -20,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST_TIMES = 1.5, 2
 #: Slots: at least the first, this many for each source, and blocks of at most so many words.
 LEAST_SLOTS, SLOTS_A_SOURCE, MOST_BLOCK = 1 << 16, 256, 1 << 20
+#: Slots that a source's target is worth at least; the points miss that by two or three.
+LEAST_TARGET = 512
 GOLDEN = (math.sqrt(5) - 1) / 2
 _BINS, _CHUNK = 4096, 4096
 
@@ -49,7 +52,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     )
 
 
-def schedule(spark, targets: DataFrame, slots: int, block: int, most_times: int = MOST_TIMES) -> DataFrame:
+def cut(targets: DataFrame, block: int) -> DataFrame:
+    """``targets`` with ``blocks``, the source's count of them, and ``slots``, how many of them make its target.
+
+    Both are null where the target is 0. Blocks have at most ``block`` words. Where a target
+    has fewer words than LEAST_TARGET, blocks outnumber words and some are empty; word p is
+    in the block of its middle, (p + 1/2) * blocks / source_size, so empty ones lie between.
+    """
+    blocks = F.greatest(F.ceil(F.col("source_size") / F.lit(block)), F.ceil(F.lit(LEAST_TARGET) * F.col("source_size") / F.col("target")))
+    some = F.col("target") > 0
+    return targets.withColumn("blocks", F.when(some, blocks.cast("long"))).withColumn("slots", F.when(some, F.col("target") * F.col("blocks") / F.col("source_size")))
+
+
+def schedule(spark, cuts: DataFrame, slots: int, most_times: int = MOST_TIMES) -> DataFrame:
     """``slot, place, turn, block_no``: which block of which source each slot takes.
 
     Slot k stands at frac((k + 1/2) * golden ratio). A slot whose source has been taken
@@ -57,10 +72,9 @@ def schedule(spark, targets: DataFrame, slots: int, block: int, most_times: int
     """
     up_to = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     ends = (
-        targets.filter("target > 0").withColumn("high", F.sum("target").over(up_to) / F.sum("target").over(Window.partitionBy()))
+        cuts.filter("slots > 0").withColumn("high", F.sum("slots").over(up_to) / F.sum("slots").over(Window.partitionBy()))
         .withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("place")), F.lit(0.0)))
         .withColumn("high", F.when(F.lead("high").over(Window.orderBy("place")).isNull(), F.lit(2.0)).otherwise(F.col("high")))
-        .withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
         .select("place", "low", "high", "blocks", F.explode(F.expr(f"sequence(int(floor(low * {_BINS})), least(int(floor(high * {_BINS})), {_BINS - 1}))")).alias("bin"))
     )
     point = spark.range(slots).withColumn("u", (F.col("id") + 0.5) * GOLDEN)
@@ -92,16 +106,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     n_sources, total = targets.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
     slots = max(LEAST_SLOTS, SLOTS_A_SOURCE * n_sources, math.ceil(total / MOST_BLOCK))
     block = max(1, math.ceil(total / slots))
-    turns = schedule(spark, targets, math.ceil(total / block), block, most_times).groupBy("place", "block_no").agg(F.count("*").alias("times"))
+    cuts = written(cut(targets, block), "cuts")
+    dealt = math.ceil(cuts.agg(F.coalesce(F.sum("slots"), F.lit(0.0))).first()[0])
+    turns = schedule(spark, cuts, dealt, most_times).groupBy("place", "block_no").agg(F.count("*").alias("times"))
     # two levels of running sums, so that a large source is not one window
-    rows = rows.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("part", F.expr("shiftrightunsigned(shuffled, 52)"))
+    rows = rows.join(cuts.drop("slots").withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("part", F.expr("shiftrightunsigned(shuffled, 52)"))
     parts = rows.groupBy("place", "part").agg(F.sum("size").alias("n"))
     parts = parts.select("place", "part", F.coalesce(F.sum("n").over(Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = Window.partitionBy("place", "part").orderBy("shuffled", "doc_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = rows.join(parts, ["place", "part"]).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     own = ["doc_key", "source", "size", "source_size", "target"]
-    pieces = laid.filter("size > 0").select(*own, "place", "start", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block_no"))
-    words = F.expr(f"least(start + size, (block_no + 1) * {block}) - greatest(start, block_no * {block})")
+    # decimals, as the product of a word's place and the blocks may pass 64 bits
+    holder = "(cast(2 * ({}) + 1 as decimal(19, 0)) * blocks) div (2 * source_size)"
+    first_word = "cast((cast(2 * ({}) as decimal(19, 0)) * source_size + blocks - 1) div (2 * blocks) as long)"
+    pieces = laid.filter("size > 0").select(*own, "place", "start", "blocks", F.explode(F.expr(f"sequence({holder.format('start')}, {holder.format('start + size - 1')})")).alias("block_no"))
+    words = F.expr(f"least(start + size, {first_word.format('block_no + 1')}) - greatest(start, {first_word.format('block_no')})")
     times = F.coalesce(F.col("times"), F.lit(0))
     taken = (
         pieces.join(turns, ["place", "block_no"], "left").groupBy("place", "start", *own)

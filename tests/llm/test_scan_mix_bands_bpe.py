@@ -172,3 +172,21 @@ def test_mix_meets_its_targets(spark, cut):
 def test_mix_of_one_source_and_schema(spark):
     data = [(i, "a b c", None, None, 0, None) for i in range(5)]
     assert {r["taken"] for r in source_mix.mix(spark.createDataFrame(data, SCHEMA)).collect()} <= {3, 4, 5, 6}
+
+
+def test_mix_keeps_small_sources_beside_a_large_one(spark):
+    from pyspark.sql import functions as F
+
+    large = spark.range(2_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), 1_500).alias("text"), F.lit("a").alias("source"))
+    small = {"b": [1], "c": [3, 0, 4], "d": [7] * 9, "e": [25] * 12, "f": [100] * 10, "g": [250] * 12}
+    data = [(10_000 + 100 * i + j, "w " * n, s) for i, (s, sizes) in enumerate(small.items()) for j, n in enumerate(sizes)]
+    got = source_mix.mix(large.unionByName(spark.createDataFrame(data, large.schema))).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert target == pytest.approx(plain_targets({"a": 3_000_000, **{s: sum(n) for s, n in small.items()}}))
+    for s, n in target.items():
+        assert abs(taken[s] - n) <= max(1, 0.01 * n), (s, taken[s], n)
+    for r in got:
+        assert r["source"] == "a" or r["size"] == 0 or r["copies"] >= 1
