@@ -50,6 +50,17 @@ def test_bands_reject_repetition_and_noise_only(spark):
     assert {r["doc_id"]: r["in_bands"] for r in compression_bands.score(table(spark, data)).collect()} == {1: False, 2: True, 3: False}
 
 
+def test_bands_take_manuals_of_any_length(spark):
+    from pydoc_data.topics import topics
+
+    manual = "\n".join(topics.values())
+    cuts = [manual[:n] for n in (2_000, 12_000, 20_000, 60_000, 200_000, len(manual))]
+    passage = manual[5_000:8_000]
+    data = [(i, t, None, None, 0, None) for i, t in enumerate([*cuts, passage * 5, passage * 30, passage * 200])]
+    got = {r["doc_id"]: r["in_bands"] for r in compression_bands.score(table(spark, data)).collect()}
+    assert got == {i: i < len(cuts) for i in range(len(data))}
+
+
 # ---- byte BPE
 
 
