@@ -65,12 +65,13 @@ class WordEncoder:
     ids are its words' ids in order. A word of Latin letters is one pre-token, already in
     the form that normalizing gives once it is lower case, and goes to the library's model
     directly; marks after it are one more pre-token. Any other word takes the whole way.
-    Two generations of words are remembered, so frequent ones stay.
+    Two generations of words are remembered, so frequent ones stay. With ``special_as_text``
+    a literal <|endoftext|> is ordinary pieces; without, as the library has it, its special id.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
@@ -110,9 +111,9 @@ class WordEncoder:
 
 
 def word_encoder(path: str) -> WordEncoder:
-    """The encoder of a vocabulary file, kept in each Python worker."""
+    """The encoder of a vocabulary file with the library's defaults, kept in each Python worker."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, special_as_text=False)
     return _encoders[path]
 
 
@@ -185,6 +186,7 @@ class Shard:
 def write(docs: DataFrame, vocabulary: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, level: int = 3, shard_bytes: int = SHARD_BYTES, partitions: int | None = None) -> str:
     """Encodes every text, appends ``end_id``, and writes shards in ascending id order.
 
+    Literal special tokens get their ids, as in the library's ``encode``.
     A null text counts as empty and gives the end id alone. Null ids come first; rows with
     equal ids are ordered by their text, so equal rows are interchangeable. Texts are dealt
     by ranges of the id before they are encoded, each partition sorted on its own.

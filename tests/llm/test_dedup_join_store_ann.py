@@ -155,6 +155,16 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_store_gives_special_tokens_their_ids(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    texts = ["<|startoftext|>", "one<|endoftext|>two <|endoftext|>, <|STARTOFTEXT|> <|end oftext|> (<|endoftext|>) é<|startoftext|><|endoftext|>"]
+    path = token_store.write(table(spark, [(i, t, None, None, 0, None) for i, t in enumerate(texts)]), VOCABULARY, f"file://{tmp_path}/t")
+    ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert ids[0] == [49406, 1] and 49407 in ids[1]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_store.read(spark, path, digests=True).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.asarray(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 # ---- nearest neighbours
 
 
