@@ -35,8 +35,10 @@ from tokenizers import Tokenizer
 from idweft.llm.storage import new_path
 
 MAGIC, HEAD = b"IDTS", struct.Struct("<4sBBxx8sQQ")
-#: Documents and bytes of their texts that the dictionary is trained on at most, and its size.
+#: Documents and bytes of their ids that the dictionary is trained on at most, and its size.
 SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 512, 4_096, 32_768
+#: Pieces that an array of more bytes is sampled by, from its start to its end.
+SAMPLE_PIECES = 8
 #: A shard is closed once it holds this many bytes of ids before compression.
 SHARD_BYTES = 1 << 20
 #: Distinct words of a generation that a Python worker remembers, some 200 bytes each.
@@ -121,19 +123,19 @@ def train_dictionary(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     """A dictionary for serialized ids; empty where the sample is too small to train one.
 
     The sample is the ``sample_docs`` documents of smallest id hash, each up to
-    ``SAMPLE_TEXT_BYTES`` of ids, so what reaches the driver is bounded.
+    ``SAMPLE_TEXT_BYTES`` of ids from all over it, so what reaches the driver is bounded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             encoder = word_encoder(vocabulary)
-            ids = [_packed(encoder.encode(x or b""), end_id, width)[:SAMPLE_TEXT_BYTES] for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+            ids = [spread(_packed(encoder.encode(x or b""), end_id, width), width) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.binary()))], ["ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("binary").alias("data"))
     few = rows.filter("doc_key is not null").select("doc_key").orderBy(F.xxhash64("doc_key"), "doc_key").limit(sample_docs).distinct()  # ids only, so that no task gathers texts
-    sample = rows.join(F.broadcast(few), "doc_key", "left_semi").select("data").mapInArrow(run, "ids binary").limit(sample_docs)
-    parts = [bytes(r[0]) for r in sample.collect()]
+    sample = rows.join(F.broadcast(few), "doc_key", "left_semi").select("data").mapInArrow(run, "ids array<binary>").limit(sample_docs)
+    parts = [bytes(x) for r in sample.collect() for x in r[0]]
     if sum(map(len, parts)) < 16_384 or len(parts) < 16:
         return b""
     try:
@@ -142,6 +144,15 @@ def train_dictionary(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         return b""
 
 
+def spread(ids: bytes, width: int) -> list[bytes]:
+    """``ids`` whole, or where they are too long, pieces at even distances with the first and last id."""
+    if len(ids) <= SAMPLE_TEXT_BYTES:
+        return [ids]
+    size = SAMPLE_TEXT_BYTES // SAMPLE_PIECES
+    starts = [(len(ids) - size) // width * i // (SAMPLE_PIECES - 1) * width for i in range(SAMPLE_PIECES)]
+    return [ids[s : s + size] for s in starts]
+
+
 def _packed(ids: bytes, end_id: int, width: int) -> bytes:
     if width == 4:
         return ids + struct.pack("<I", end_id)

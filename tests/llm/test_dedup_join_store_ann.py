@@ -165,6 +165,16 @@ def test_store_gives_special_tokens_their_ids(spark, tmp_path):
     assert got == {i: (len(x), zlib.crc32(np.asarray(x, "<u4").tobytes())) for i, x in enumerate(ids)}
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_dictionary_sample_spans_long_texts(width):
+    data = np.arange(50_001, dtype=f"<u{width}").tobytes()
+    pieces = token_store.spread(data, width)
+    got = [np.frombuffer(p, f"<u{width}") for p in pieces]
+    assert sum(map(len, pieces)) <= token_store.SAMPLE_TEXT_BYTES and got[0][0] == 0 and got[-1][-1] == 50_000
+    assert all((np.diff(p) == 1).all() for p in got) and max(np.diff([p[0] for p in got])) < 50_000 / 6
+    assert token_store.spread(data[:400], width) == [data[:400]]
+
+
 # ---- nearest neighbours
 
 
