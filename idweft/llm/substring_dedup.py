@@ -1,4 +1,9 @@
-"""Removal of passages that an earlier document holds, by relative Lempel-Ziv factors.
+"""Removal of passages that an earlier document holds, by runs of repeated window hashes.
+
+This replaces greedy relative Lempel-Ziv parsing: the index holds no positions, no longest
+match is extended against one reference, and a factor below is a run of repeated windows
+without (document, position, length). What is removed is every window that an earlier
+document holds, which needs no reference text beside the document.
 
 Every document is cut into content-defined blocks: each window of 50 words belongs to the
 smallest hash among its 8-word grams (its anchor), and a block is a run of windows with one
