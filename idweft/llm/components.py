@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idweft.llm.storage import written
+from idweft.llm.storage import discard, written
 
 MOST_ROUNDS = 60
 
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not seen[0]:
             break
-        now = written(_stars(now), "edges")
+        before, now = now, written(_stars(now), "edges")
+        discard(before)
         if (found := mark(now)) == seen:
             break
         seen = found

@@ -1,40 +1,50 @@
 """N-gram Jaccard self-join of documents with rare-first prefix filtering.
 
 Documents with one shingle set are one class and are joined once. Shingles are ordered by
-how often they occur (counts of all documents in a table of fixed size), rarest first. Two
-sets of Jaccard similarity J share a shingle among their first ``n - ceil(J n) + 1``, so only
-those prefixes are joined. Length and position bound what a pair can still share; counts of
-shingles in 128 hash classes bound it again, which is the suffix filter's bound taken once
-over the whole set. Every pair that is left is verified once, on the exact sets.
+how often they occur, rarest first; the counts are of all documents, in a table that grows
+with the input up to 2^26 bytes. Two sets of Jaccard similarity J share a shingle among
+their first ``n - ceil(J n) + 1``, so only those prefixes are joined, and of these only
+shingles that can occur twice. Length and position bound what a pair can still share; counts
+of shingles in 128 hash classes bound it again, which is the suffix filter's bound taken
+once over the whole set. Every pair that is left is verified once, on the exact sets.
 
 A prefix shingle shared by many is never expanded into all its pairs. First every document
-meets the smallest one under its shingle; verified links are merged into components. Then
-only pairs of different components are looked at, in blocks of bounded size, and those
-within the largest component under a shingle never. No link between components is lost.
+meets one other: the first document under its shingles, the one under most of them. Verified
+links are merged into components. Shingles whose documents are all in one component are then
+done; under the others pairs of different components are formed, in blocks of bounded size,
+within the largest component never. No link between components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from idweft.llm.components import components
-from idweft.llm.storage import written
+from idweft.llm.storage import discard, written
 from idweft.llm.words import Rolling, slices, word_hashes
 
 WORDS, PERCENT = 5, 80
-#: Fixed sizes: the table of shingle counts, the classes of the suffix bound, a block's rows,
-#: and the group size from which that bound is applied before pairs are formed.
-COUNT_BITS, CLASSES, BLOCK, EARLY_BOUND = 17, 128, 256, 64
+#: Fixed sizes: the classes of the suffix bound, a block's rows, and the group size from which
+#: pairs wait for the blocks.
+CLASSES, BLOCK, EARLY_BOUND = 128, 256, 64
+#: The table of shingle counts has a byte for some LOAD shingles, between these powers of two.
+#: It is summed in ranges of 2^18 buckets, at most so many partitions' in a task, and kept as
+#: STEPS levels to each doubling. A level of SINGLE is a bucket with one shingle of one set.
+LOAD, LEAST_BITS, MOST_BITS, RANGE_BITS, MOST_SUMMED, STEPS = 4, 18, 26, 18, 256, 8
+SINGLE = STEPS
+#: Shingles held before a partition's counts are written out.
+MOST_HELD = 1 << 24
 #: A shingle whose bucket counts this many times the mean bucket, and so many at least, may be
-#: shared by many documents: its rows are dealt to several tasks. Results don't depend on it.
-HOT_TIMES, HOT_LEAST, HOT_PARTS = 8, 1_024, 64
+#: shared by many documents: a task gets about HOT_LEAST of them. Results don't depend on it.
+HOT_TIMES, HOT_LEAST = 8, 1_024
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -49,8 +59,8 @@ def shingles(data: bytes | None, size: int = WORDS) -> np.ndarray:
     return np.unique(rolling.windows(size))
 
 
-def _buckets(s: np.ndarray) -> np.ndarray:
-    return ((s >> np.uint64(20)) & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)
+def _buckets(s: np.ndarray, bits: int) -> np.ndarray:
+    return ((s >> np.uint64(20)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
 def _signature(s: np.ndarray) -> bytes | None:
@@ -68,13 +78,29 @@ def _least_shared(total, percent: int):
     return -(-percent * total // (100 + percent))
 
 
-def _describe(size: int):
-    """A row for each document, then one for each used bucket of the partition's counts."""
+def _describe(size: int, bits: int):
+    """A row for each document, and one for each range of the partition's shingle counts."""
+    names = ["doc_key", "n", "set_high", "set_low", "classes", "range", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+
+    def batch_of(**columns) -> pa.RecordBatch:
+        rows = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(rows, k) for c, k in zip(names, kinds, strict=True)], names)
+
+    def tables(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        held, pack = np.sort(np.concatenate(parts)), zstandard.ZstdCompressor(level=1)
+        ends = np.searchsorted(held, np.arange(1, (1 << bits - RANGE_BITS) + 1, dtype=np.uint64) << RANGE_BITS)
+        begin = 0
+        for k, end in enumerate(ends):
+            if end > begin:
+                counts = np.bincount(held[begin:end] - np.uint32(k << RANGE_BITS), minlength=1 << RANGE_BITS)
+                yield batch_of(range=[k], counts=[pack.compress(counts.astype("<u4").tobytes())])
+            begin = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(1 << COUNT_BITS, np.int64), set()
+        seen, parts, count = set(), [], 0
         for batch in slices(batches):
-            n, high, low, marks, parts = [], [], [], [], []
+            n, high, low, marks = [], [], [], []
             for data in batch.column(1).to_pylist():
                 s = shingles(data, size)
                 whole = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -84,45 +110,72 @@ def _describe(size: int):
                 marks.append(_signature(s) if len(s) else None)
                 if len(s) and whole not in seen:
                     seen.add(whole)
-                    parts.append(_buckets(s))
-            if parts:
-                counts += np.bincount(np.concatenate(parts), minlength=len(counts))
-            empty = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(marks, pa.binary()), empty, empty.cast(pa.int64())], names)
-        used = np.flatnonzero(counts)
-        if len(used):
-            none = lambda kind: pa.nulls(len(used), kind)
-            yield pa.RecordBatch.from_arrays([none(key_kind), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(used, pa.int32()), pa.array(counts[used])], names)
-
-    key_kind = pa.int64()
-    names = ["doc_key", "n", "set_high", "set_low", "classes", "bucket", "times"]
+                    parts.append(_buckets(s, bits))
+                    count += len(s)
+            yield batch_of(doc_key=batch.column(0), n=n, set_high=high, set_low=low, classes=marks)
+            if count > MOST_HELD:
+                yield from tables(parts)
+                parts, count = [], 0
+        if parts:
+            yield from tables(parts)
+
+    return run
+
+
+def _summed(levels: bool):
+    """Counts of each range from rows sorted by it; with ``levels`` as a byte a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, None
+        for batch in batches:
+            for k, counts in zip(batch.column("range").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if k != at:
+                    if at is not None:
+                        yield out(at, sums)
+                    at, sums = k, np.zeros(1 << RANGE_BITS, np.int64)
+                sums += np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), "<u4")
+        if at is not None:
+            yield out(at, sums)
+
+    def out(k: int, sums: np.ndarray) -> pa.RecordBatch:
+        data = np.minimum(np.round(STEPS * np.log2(1.0 + sums)), 255).astype(np.uint8) if levels else np.minimum(sums, (1 << 32) - 1).astype("<u4")
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(data.tobytes())])], ["range", "counts"])
+
     return run
 
 
-def _prefixes(size: int, percent: int, counts):
-    """The prefix of every set, once for each partition: ``token, doc_key, n, place, hot``."""
+def _prefixes(size: int, percent: int, bits: int, levels):
+    """The prefix of every set, once for each partition: ``token, doc_key, n, place, parts``.
+
+    Shingles that occur once keep their place and are left out. ``parts`` is over how many
+    tasks a shingle's documents are dealt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = counts.value, set()
-        most = max(HOT_LEAST, HOT_TIMES * float(often.mean()))
+        often, seen = levels.value, set()
+        times = np.exp2(np.arange(256) / STEPS) - 1
+        most = max(HOT_LEAST, HOT_TIMES * float(np.bincount(often, minlength=256) @ times) / len(often))
+        parts = np.where(times > most, np.minimum(times // HOT_LEAST + 1, 1 << 20), 1).astype(np.int32)
         for batch in slices(batches):
-            tokens, rows, sizes, places, hot = [], [], [], [], []
+            tokens, rows, sizes, places, dealt = [], [], [], [], []
             for i, data in enumerate(batch.column(1).to_pylist()):
                 s = shingles(data, size)
                 if not len(s) or (whole := xxhash.xxh3_128_digest(s.tobytes())) in seen:
                     continue
                 seen.add(whole)
                 k = prefix_length(len(s), percent)
-                times = often[_buckets(s)]
-                order = np.lexsort((s, times))[:k]
+                level = often[_buckets(s, bits)]
+                order = np.lexsort((s, level))[:k]
+                place = np.flatnonzero(level[order] != SINGLE)
+                order = order[place]
                 tokens.append(s[order])
-                hot.append(times[order] > most)
-                rows.append(np.full(k, i))
-                sizes.append(np.full(k, len(s), np.int32))
-                places.append(np.arange(k, dtype=np.int32))
+                dealt.append(parts[level[order]])
+                rows.append(np.full(len(order), i))
+                sizes.append(np.full(len(order), len(s), np.int32))
+                places.append(place.astype(np.int32))
             if tokens:
                 keys = batch.column(0).take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), keys, pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(hot))], ["token", "doc_key", "n", "place", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), keys, pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(dealt))], ["token", "doc_key", "n", "place", "parts"])
 
     return run
 
@@ -161,13 +214,13 @@ def _shared(percent: int):
             yield from out(held, None)
 
     def out(columns, long_run):
-        token, doc, n, place, hot = columns
+        token, doc, n, place, parts = columns
         n, place = n.astype(np.int64), place.astype(np.int64)
         rows = np.arange(len(token))
         begins = np.concatenate([[True], token[1:] != token[:-1]])
         head = np.maximum.accumulate(np.where(begins, rows, 0))
         length = np.diff(np.concatenate([np.flatnonzero(begins), [len(token)]]))
-        many = hot.astype(bool) | np.repeat(length > EARLY_BOUND, length)
+        many = (parts > 1) | np.repeat(length > EARLY_BOUND, length)
         lead = [c[head].astype(np.int64) for c in (doc, n, place)]
         if long_run is not None:
             later = token == long_run[0]
@@ -260,26 +313,49 @@ class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int):
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
         self.rows = docs.select(F.col(id_col).cast("long").alias("doc_key"), F.col(text_col).cast("binary").alias("data"))
-        schema = "doc_key long, n long, set_high long, set_low long, classes binary, bucket int, times long"
-        described = written(self.rows.mapInArrow(_describe(size), schema), "described")
-        self.sets = described.filter("bucket is null").drop("bucket", "times")
-        # at most 2 ** COUNT_BITS rows, whatever the input
-        found = described.filter("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("times")).toPandas()
-        counts = np.zeros(1 << COUNT_BITS, np.int64)
-        counts[found["bucket"].to_numpy(np.int64)] = found["times"].to_numpy(np.int64)
-        self.counts = self.spark.sparkContext.broadcast(counts)
+        words = (self.rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0) / 6
+        self.bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, words / LOAD)))))
+        schema = "doc_key long, n long, set_high long, set_low long, classes binary, range int, counts binary"
+        described = written(self.rows.mapInArrow(_describe(size, self.bits), schema), "described")
+        self.levels = self.spark.sparkContext.broadcast(self._levels(described.filter("range is not null").select("range", "counts")))
+        self.sets = written(described.filter("range is null").drop("range", "counts"), "sets")
+        discard(described)
         known = self.sets.filter("n > 0 and doc_key is not null")
-        classes = known.groupBy("set_high", "set_low").agg(F.min("doc_key").alias("rep"), F.first("n").cast("int").alias("n"), F.first("classes").alias("classes"))
-        self.classes = written(classes, "classes")
+        self.classes = written(known.groupBy("set_high", "set_low").agg(F.min("doc_key").alias("rep"), F.max("n").cast("int").alias("n")), "classes")
+        # documents with more than one row, and those of them with several texts
+        often = written(known.groupBy("doc_key").agg(F.count("*").alias("rows"), (F.min("set_low") < F.max("set_low")).alias("twins")).filter("rows > 1"), "often")
+        self.repeats = not often.isEmpty()
         # where a document is not its class's smallest; one with several texts has a row for each
         members = known.select("doc_key", "set_high", "set_low").distinct().join(self.classes, ["set_high", "set_low"]).select("doc_key", "rep")
         moved = members.filter("doc_key <> rep").select("doc_key").distinct()
         self.moved = written(members.join(moved, "doc_key", "left_semi"), "moved")
+        # the texts of one document are linked; no bound is taken on a class that stands for several
+        several = members.join(often.filter("twins").select("doc_key"), "doc_key", "left_semi") if self.repeats else members.limit(0)
+        least = several.groupBy("doc_key").agg(F.min("rep").alias("b"))
+        self.twins = written(several.join(least, "doc_key").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct(), "twins")
+        bounds = known.select(F.col("doc_key").alias("rep"), F.col("n").cast("int").alias("n"), "classes")
+        if self.repeats:
+            mixed = often.filter("twins").select(F.col("doc_key").alias("rep"), F.lit(True).alias("mixed"))
+            bounds = bounds.dropDuplicates(["rep"]).join(mixed, "rep", "left").select("rep", "n", F.when(F.col("mixed").isNull(), F.col("classes")).alias("classes"))
+        self.bounds = bounds
+
+    def _levels(self, counts: DataFrame) -> np.ndarray:
+        """A byte for each bucket, at most 2 ** MOST_BITS whatever the input."""
+        most = counts.groupBy("range").count().agg(F.max("count")).first()[0] or 0
+        schema = "range int, counts binary"
+        if most > MOST_SUMMED:
+            part = F.pmod(F.xxhash64("counts"), F.lit(math.ceil(most / MOST_SUMMED)))
+            counts = written(counts.repartition("range", part).sortWithinPartitions("range").mapInArrow(_summed(False), schema), "counts")
+        found = counts.repartition("range").sortWithinPartitions("range").mapInArrow(_summed(True), schema).collect()
+        levels = np.zeros(1 << self.bits, np.uint8)
+        for k, data in found:
+            levels[k << RANGE_BITS : (k + 1) << RANGE_BITS] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(data)), np.uint8)
+        return levels
 
     def groups(self) -> DataFrame:
         """``token, doc_key, n, place, many, lead`` under every prefix shingle that is shared."""
-        prefixes = self.rows.filter("doc_key is not null").mapInArrow(_prefixes(self.size, self.percent, self.counts), "token long, doc_key long, n int, place int, hot boolean")
-        part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_key"), F.lit(HOT_PARTS)))
+        prefixes = self.rows.filter("doc_key is not null").mapInArrow(_prefixes(self.size, self.percent, self.bits, self.levels), "token long, doc_key long, n int, place int, parts int")
+        part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_key"), F.col("parts")))
         dealt = prefixes.repartition("token", part).sortWithinPartitions("token", "doc_key")
         return written(dealt.mapInArrow(_shared(self.percent), "token long, doc_key long, n int, place int, many boolean, lead long"), "groups")
 
@@ -298,55 +374,66 @@ class _Join:
                     keep[at] = _bound(table(left), table(right)) >= need[at]
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-        end = lambda x: self.classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("classes").alias(f"classes_{x}"))
+        end = lambda x: self.bounds.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("classes").alias(f"classes_{x}"))
         return pairs.join(end("b"), "b").join(end("a"), "a").mapInArrow(run, "a long, b long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, shared`` of the pairs that link, on the whole sets."""
+        """``a, b`` of the pairs that link, on the whole sets."""
         size = self.size
         asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        tag = F.col("set_low").bitwiseAND(F.lit(0x7FFF)).cast("smallint").alias("tag")  # tells a class's text from another with its id
-        asked = written(asked.join(self.classes.select("rep", tag), "rep"), "asked")
+        asked = written(asked.join(self.classes.select("rep", F.col("set_low").alias("tag")), "rep"), "asked")  # the tag tells a class's text from another with its id
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 keep, sets = [], []
                 for i, (data, tag) in enumerate(zip(batch.column("data").to_pylist(), batch.column("tag").to_pylist(), strict=True)):
                     s = shingles(data, size)
-                    if xxhash.xxh3_128_intdigest(s.tobytes()) & 0x7FFF == tag:
+                    if (xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1) - (1 << 63) == tag:
                         keep.append(i)
                         sets.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(keep, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["rep", "elements"])
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(at), batch.column("tag").take(at), pa.array(sets, pa.list_(pa.int64()))], ["rep", "tag", "elements"])
 
         texts = self.rows.join(asked, self.rows.doc_key == asked.rep).select("rep", "data", "tag")
-        sets = written(texts.mapInArrow(run, "rep long, elements array<long>").dropDuplicates(["rep"]), "sets")
+        sets = texts.mapInArrow(run, "rep long, tag long, elements array<long>")
+        if self.repeats:
+            sets = sets.dropDuplicates(["rep", "tag"])
+        sets = written(sets, "elements")
         end = lambda x: sets.select(F.col("rep").alias(x), F.col("elements").alias(f"set_{x}"))
         both = pairs.join(end("b"), "b").join(end("a"), "a")
         both = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), (F.size("set_a") + F.size("set_b")).alias("total"))
-        return both.filter(f"100 * shared >= {self.percent} * (total - shared)").drop("total")
+        links = written(both.filter(f"100 * shared >= {self.percent} * (total - shared)").select("a", "b"), "links")
+        discard(asked, sets)
+        return links
 
     def first_pairs(self, groups: DataFrame) -> DataFrame:
-        """Each class with the smallest one under its shingles."""
+        """Each class with the document that is first under most of its shingles."""
+        led = groups.filter("lead is not null").groupBy("doc_key", "lead").agg(F.count("*").alias("times"))
+        one = led.groupBy("doc_key").agg(F.max_by("lead", F.struct("times", -F.col("lead"))).alias("lead"))
         end = lambda x: self.moved.select(F.col("doc_key").alias(x), F.col("rep").alias(f"rep_{x}"))
-        pairs = groups.filter("lead is not null").select(F.col("lead").alias("a"), F.col("doc_key").alias("b")).distinct()
+        pairs = one.select(F.col("lead").alias("a"), F.col("doc_key").alias("b"))
         pairs = pairs.join(end("b"), "b", "left").join(end("a"), "a", "left").select(F.coalesce("rep_a", "a").alias("a"), F.coalesce("rep_b", "b").alias("b"))
         return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def other_pairs(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different components under one shingle, formed in blocks."""
+        """Pairs of different components under one shingle, formed in blocks and bounded there."""
         of = labels.filter("node <> label").select(F.col("node").alias("rep"), "label")
         known = self.moved.unionByName(of.join(self.moved.select(F.col("doc_key").alias("rep")).distinct(), "rep", "left_anti").select(F.col("rep").alias("doc_key"), "rep"))
         known = written(known.join(of, "rep", "left").select("doc_key", "rep", "label"), "known")
         rep, label = F.coalesce("rep", "doc_key"), F.coalesce("label", "rep", "doc_key")
-        named = groups.join(known, "doc_key", "left").select("token", rep.alias("rep"), label.alias("label"), "n", "place", "many")
+        named = written(groups.join(known, "doc_key", "left").select("token", rep.alias("rep"), label.alias("label"), "n", "place", "many"), "named")
+        discard(groups, known)
+        # shingles under which all are in one component are done
+        open_ = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+        mixed = written(named.join(open_, "token", "left_semi"), "mixed")
+        discard(named)
         cols = ["block", "rep", "label", "n", "place", "own", "cross", "classes"]
         # shingles that few share: a block each
-        few = named.filter("not many").select(F.col("token").alias("block"), "rep", "label", "n", "place", F.lit(0).alias("own"), F.lit(False).alias("cross"), F.lit(None).cast("binary").alias("classes"))
-        few = few.select(cols).repartition("block").sortWithinPartitions("block").mapInArrow(_pairs_in_blocks(self.percent), "a long, b long")
+        few = mixed.filter("not many").select(F.col("token").alias("block"), "rep", "label", "n", "place", F.lit(0).alias("own"), F.lit(False).alias("cross"))
         # those that many share: blocks of bounded size
-        many = written(named.filter("many").drop("many"), "many")
+        many = mixed.filter("many").drop("many").distinct()
         sizes = many.groupBy("token", "label").agg(F.count("*").alias("rows"))
-        tokens = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("rows").alias("all"), F.max(F.struct("rows", (-F.col("label")).alias("minus"))).alias("largest")).filter("labels > 1")
+        tokens = sizes.groupBy("token").agg(F.sum("rows").alias("all"), F.max(F.struct("rows", (-F.col("label")).alias("minus"))).alias("largest"))
         tokens = tokens.select("token", "all", F.col("largest.rows").alias("most"), (-F.col("largest.minus")).alias("major"))
         rows = many.join(tokens, "token").withColumn("main", F.col("label") == F.col("major"))
         rows = rows.withColumn("mains", F.ceil(F.col("most") / BLOCK).cast("int")).withColumn("others", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
@@ -360,8 +447,10 @@ class _Join:
                         transform(sequence(0, others - 1), k -> struct(2 as kind, least(at, k) as i, greatest(at, k) as j, at as own, at <> k as cross))) end""")
         dealt = rows.select("token", "rep", "label", "n", "place", F.explode(blocks).alias("x")).select("token", "rep", "label", "n", "place", "x.*")
         dealt = dealt.withColumn("block", F.xxhash64("token", "kind", "i", "j")).drop("token", "kind", "i", "j")
-        dealt = dealt.join(self.classes.select("rep", "classes"), "rep").select(cols).repartition("block").sortWithinPartitions("block")
-        return few.union(dealt.mapInArrow(_pairs_in_blocks(self.percent), "a long, b long")).distinct()
+        dealt = few.unionByName(dealt).join(self.bounds.select("rep", "classes"), "rep").select(cols).repartition("block").sortWithinPartitions("block")
+        found = written(dealt.mapInArrow(_pairs_in_blocks(self.percent), "a long, b long").distinct(), "pairs")
+        discard(mixed)
+        return found
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -371,19 +460,22 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole text where it is shorter. Documents link when 100 * shared >= percent * union.
     ``component_id`` is the smallest id that links reach. A null text, or one without words,
     has no shingles and reaches itself. A row with a null id takes no part: its component is
-    null. Repeated rows are one class. Ids are integers; other columns are left out.
+    null. Repeated rows are one class. Rows with one id and several texts are one document,
+    linked by any of them. Ids are integers; other columns are left out.
     """
     join = _Join(docs, id_col, text_col, words, percent)
     groups = join.groups()
     tried = written(join.bounded(join.first_pairs(groups)), "tried")
-    links = written(join.verified(tried), "links")
-    labels = components(links)
-    more = join.other_pairs(groups, labels).join(tried, ["a", "b"], "left_anti")
-    more = written(join.bounded(more), "more")
-    found = written(join.verified(more), "links")
-    labels = components(links.unionByName(found))
+    links = join.verified(tried)
+    labels = written(components(links.unionByName(join.twins)), "labels")
+    others = join.other_pairs(groups, labels)
+    more = written(others.join(tried, ["a", "b"], "left_anti"), "more")
+    found = join.verified(more)
+    discard(tried, others, more, labels)
+    labels = written(components(links.unionByName(found).unionByName(join.twins)), "labels")
+    discard(links, found, join.twins, join.moved)
     classes = join.classes.select("set_high", "set_low", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("set_high", "set_low", F.coalesce("label", "rep").alias("component"))
-    out = join.sets.join(classes, ["set_high", "set_low"], "left")
+    out = join.sets.drop("classes").join(classes, ["set_high", "set_low"], "left")
     component = F.when(F.col("doc_key").isNotNull(), F.coalesce("component", "doc_key"))
     return out.select(F.col("doc_key").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is set (tests), a local one is set."""
+    """The shared folder of the session; where none is set in local mode (tests), a local one is."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -32,4 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: the lineage is cut there."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`written` returned, once all that reads them is itself written."""
+    for table in tables:
+        spark, path = table.sparkSession, table.written_to
+        path = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
