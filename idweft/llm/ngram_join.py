@@ -38,7 +38,7 @@ CLASSES, BLOCK, EARLY_BOUND = 128, 256, 64
 #: The table of shingle counts has a byte for some LOAD shingles, between these powers of two.
 #: It is summed in ranges of 2^18 buckets, at most so many partitions' in a task, and kept as
 #: STEPS levels to each doubling. A level of SINGLE is a bucket with one shingle of one set.
-LOAD, LEAST_BITS, MOST_BITS, RANGE_BITS, MOST_SUMMED, STEPS = 4, 18, 26, 18, 256, 8
+LOAD, LEAST_BITS, MOST_BITS, RANGE_BITS, MOST_SUMMED, STEPS = 16, 18, 26, 18, 256, 8
 SINGLE = STEPS
 #: Shingles held before a partition's counts are written out.
 MOST_HELD = 1 << 24
@@ -152,10 +152,7 @@ def _prefixes(size: int, percent: int, bits: int, levels):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = levels.value, set()
-        times = np.exp2(np.arange(256) / STEPS) - 1
-        most = max(HOT_LEAST, HOT_TIMES * float(np.bincount(often, minlength=256) @ times) / len(often))
-        parts = np.where(times > most, np.minimum(times // HOT_LEAST + 1, 1 << 20), 1).astype(np.int32)
+        (often, parts), seen = levels.value, set()
         for batch in slices(batches):
             tokens, rows, sizes, places, dealt = [], [], [], [], []
             for i, data in enumerate(batch.column(1).to_pylist()):
@@ -339,8 +336,8 @@ class _Join:
             bounds = bounds.dropDuplicates(["rep"]).join(mixed, "rep", "left").select("rep", "n", F.when(F.col("mixed").isNull(), F.col("classes")).alias("classes"))
         self.bounds = bounds
 
-    def _levels(self, counts: DataFrame) -> np.ndarray:
-        """A byte for each bucket, at most 2 ** MOST_BITS whatever the input."""
+    def _levels(self, counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """A byte for each bucket, at most 2 ** MOST_BITS whatever the input, and a level's tasks."""
         most = counts.groupBy("range").count().agg(F.max("count")).first()[0] or 0
         schema = "range int, counts binary"
         if most > MOST_SUMMED:
@@ -350,7 +347,9 @@ class _Join:
         levels = np.zeros(1 << self.bits, np.uint8)
         for k, data in found:
             levels[k << RANGE_BITS : (k + 1) << RANGE_BITS] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(data)), np.uint8)
-        return levels
+        times = np.exp2(np.arange(256) / STEPS) - 1
+        most = max(HOT_LEAST, HOT_TIMES * sum(float(times @ np.bincount(part, minlength=256)) for part in np.split(levels, 64)) / len(levels))
+        return levels, np.where(times > most, np.minimum(times // HOT_LEAST + 1, 1 << 20), 1).astype(np.int32)
 
     def groups(self) -> DataFrame:
         """``token, doc_key, n, place, many, lead`` under every prefix shingle that is shared."""
