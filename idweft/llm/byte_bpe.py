@@ -1,7 +1,10 @@
 """Byte-level BPE encoding and decoding with the tiktoken library.
 
 The ranks come from a local file whose path is a parameter. Long texts are cut before
-encoding, only where no match of the pattern can reach across the cut.
+encoding, only where no match of the pattern can reach across the cut: before white space
+that follows anything else, and before a mark that follows a letter or digit. A long run of
+white space is one match of the pattern (but for its last character, where more text
+follows), and is merged without asking the pattern, whose lookahead would exhaust its stack.
 """
 
 from __future__ import annotations
@@ -20,19 +23,50 @@ from pyspark.sql import types as T
 
 #: Texts of more characters than this are cut into pieces of about this many.
 PIECE_CHARS = 65_536
-#: Before a single space with a letter or digit on both sides every match of the pattern ends.
-SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+#: What the pattern's \\s matches.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and digits, and marks, that every version of Unicode classes alike.
+_LETTER = r"0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_MARK = r"!-/:-@\[-`{-~\u2010-\u2027\u3001-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff20"
+#: Places at which every match of the pattern ends.
+SAFE_CUT = re.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])|(?<=[{_LETTER}])(?=[{_MARK}])")
+#: Runs of white space from this length on are merged on their own.
+LONG_RUN = 8_192
+_LONG = re.compile(rf"[{SPACE}]{{{LONG_RUN},}}")
+
+
+class Encoder:
+    """The encoding of a rank file, and one that takes what it is given as a single match."""
+
+    def __init__(self, rank_path: str, pattern: str):
+        with open(rank_path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.split = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
-_encodings: dict[tuple[str, str], tiktoken.Encoding] = {}
+    def ids(self, text: str) -> list[int]:
+        """The ids of a text of any content."""
+        if len(text) < LONG_RUN or not (run := _LONG.search(text)):
+            return self.split.encode_ordinary(text)
+        out, at = [], 0
+        while run:
+            end = run.end() - (run.end() < len(text))  # the last one may join what follows
+            out += self.split.encode_ordinary(text[at : run.start()]) + self.whole.encode_ordinary(text[run.start() : end])
+            at, run = end, _LONG.search(text, run.end())
+        return out + self.split.encode_ordinary(text[at:])
 
+    def text_bytes(self, ids) -> bytes:
+        return self.split.decode_bytes(ids)
 
-def encoding(rank_path: str, pattern: str) -> tiktoken.Encoding:
-    """The encoding of a rank file, read once in each Python worker."""
-    if (rank_path, pattern) not in _encodings:
-        with open(rank_path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encodings[rank_path, pattern] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[rank_path, pattern]
+
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def encoding(rank_path: str, pattern: str) -> Encoder:
+    """The encoder of a rank file, read once in each Python worker."""
+    if (rank_path, pattern) not in _encoders:
+        _encoders[rank_path, pattern] = Encoder(rank_path, pattern)
+    return _encoders[rank_path, pattern]
 
 
 def safe_pieces(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
@@ -40,18 +74,18 @@ def safe_pieces(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
     start = 0
     while len(text) - start > piece_chars:
         cut = SAFE_CUT.search(text, start + piece_chars)
-        if not cut:
+        if not cut or cut.start() >= len(text):
             break
         yield text[start : cut.start()]
         start = cut.start()
     yield text[start:]
 
 
-def encode_text(enc: tiktoken.Encoding, text: str, piece_chars: int = PIECE_CHARS) -> np.ndarray:
+def encode_text(enc: Encoder, text: str, piece_chars: int = PIECE_CHARS) -> np.ndarray:
     """All ids of a text as little-endian unsigned 32-bit integers."""
     if len(text) <= piece_chars:
-        return np.asarray(enc.encode_ordinary(text), "<u4")
-    return np.concatenate([np.asarray(enc.encode_ordinary(p), "<u4") for p in safe_pieces(text, piece_chars)])
+        return np.asarray(enc.ids(text), "<u4")
+    return np.concatenate([np.asarray(enc.ids(p), "<u4") for p in safe_pieces(text, piece_chars)])
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = PIECE_CHARS) -> DataFrame:
@@ -78,7 +112,7 @@ def decoder(rank_path: str, pattern: str):
     @F.pandas_udf(T.BinaryType())
     def decode(ids):
         enc = encoding(rank_path, pattern)
-        return ids.map(lambda x: enc.decode_bytes(np.frombuffer(x, "<u4").tolist()))
+        return ids.map(lambda x: enc.text_bytes(np.frombuffer(x, "<u4").tolist()))
 
     return decode
 
@@ -98,11 +132,9 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
                 ids = encode_text(enc, text or "", piece_chars)
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                of_bytes.append(hashlib.sha256(enc.decode_bytes(ids.tolist())).hexdigest())
+                of_bytes.append(hashlib.sha256(enc.text_bytes(ids.tolist())).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_key", rows.schema[0].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return rows.mapInArrow(run, schema).withColumnRenamed("doc_key", id_col)
-
-

@@ -1,103 +1,122 @@
 """Token counts that follow edits without counting the whole text again.
 
-A text is cut into leaves of about ``LEAF`` characters, only where no match of the
-tokenizer's pattern can reach across, so that the leaves' counts add up to the text's. The
-counts stand in a binary tree of sums. An edit touches the leaves that it changes; these and
-the neighbours whose border is no longer a safe one are encoded again, and the sums above
-them are updated. All other leaves keep their counts.
+A text is cut into leaves, runs of whole pre-tokens of about ``LEAF`` characters, only where
+no match of the tokenizer's pattern can reach across, so that the leaves' counts add up to
+the text's. Characters and counts of the leaves stand in two binary trees of sums. An edit
+finds its leaves from the root; these and the neighbours whose border is no longer a safe
+one are encoded again, and the sums above them are updated. All other leaves keep their
+counts, and their text is not copied.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idweft.llm.byte_bpe import SAFE_CUT, encoding
+from idweft.llm.byte_bpe import SAFE_CUT, Encoder, encoding, safe_pieces
 
 LEAF = 512
 
 
 def border_is_safe(left: str, right: str) -> bool:
     """Whether no match of the pattern reaches from the end of ``left`` into ``right``."""
-    return bool(left) and SAFE_CUT.match(left[-1] + right[:2], 1) is not None
+    return bool(left) and bool(right) and SAFE_CUT.match(left[-1] + right[0], 1) is not None
+
+
+def _sums(values: list[int]) -> list[list[int]]:
+    """The values, then on each next level the sums of pairs below."""
+    levels = [list(values)]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([sum(below[i : i + 2]) for i in range(0, len(below), 2)])
+    return levels
+
+
+def _put(levels: list[list[int]], i: int, value: int) -> None:
+    """Sets a leaf's value and every sum above it."""
+    change = value - levels[0][i]
+    if change:
+        for level in levels:
+            level[i] += change
+            i //= 2
 
 
 class CountTree:
-    """Leaves of one text, and the sums of their counts.
+    """Leaves of one text, and the sums of their characters and tokens.
 
-    ``sums[0]`` holds the leaves' counts, each next level the sums of pairs below. An edit
-    keeps the number of leaves: a touched run of leaves becomes one, followed by empty ones.
-    ``lengths`` are characters; empty leaves have length 0 and count 0.
+    ``chars[0]`` and ``counts[0]`` hold the leaves' values, each next level the sums of pairs
+    below. An edit that needs no more leaves than it touches keeps the trees' shape, with
+    empty leaves (no characters, count 0) for those it does not need; one that needs more
+    builds the trees anew from the counts it has.
     """
 
-    def __init__(self, text: str, enc: tiktoken.Encoding, leaf: int = LEAF, lengths=None, counts=None):
-        self.text, self.enc, self.leaf, self.encoded = text, enc, leaf, 0
+    def __init__(self, text: str, enc: Encoder, leaf: int = LEAF, lengths=None, counts=None):
+        self.enc, self.leaf, self.encoded = enc, leaf, 0
         if lengths is None:
-            parts, start = [], 0
-            while len(text) - start > leaf:
-                cut = SAFE_CUT.search(text, start + leaf)
-                if not cut:
-                    break
-                parts.append(text[start : cut.start()])
-                start = cut.start()
-            parts.append(text[start:])
-            lengths, counts = [len(p) for p in parts], [self._count(p) for p in parts]
-        self.lengths = list(lengths)
-        self.sums = [list(counts)]
-        while len(self.sums[-1]) > 1:
-            below = self.sums[-1]
-            self.sums.append([sum(below[i : i + 2]) for i in range(0, len(below), 2)])
+            self.leaves = list(safe_pieces(text, leaf))
+            counts = [self._count(p) for p in self.leaves]
+        else:
+            self.leaves, at = [], 0
+            for n in lengths:
+                self.leaves.append(text[at : at + n])
+                at += n
+        self.chars, self.counts = _sums([len(x) for x in self.leaves]), _sums(counts)
 
     def _count(self, part: str) -> int:
         self.encoded += len(part)
-        return len(self.enc.encode_ordinary(part)) if part else 0
+        return len(self.enc.ids(part)) if part else 0
 
     @property
-    def total(self) -> int:
-        return self.sums[-1][0]
+    def text(self) -> str:
+        return "".join(self.leaves)
 
-    def _set(self, i: int, count: int) -> None:
-        """Sets a leaf's count and every sum above it."""
-        change = count - self.sums[0][i]
-        if change:
-            for level in self.sums:
-                level[i] += change
-                i //= 2
+    @property
+    def total(self) -> int:
+        return self.counts[-1][0]
+
+    def _leaf_at(self, place: int) -> tuple[int, int]:
+        """The leaf with the character at ``place`` (the last one beyond the end), and its start."""
+        i = begin = 0
+        for level in reversed(self.chars[:-1]):
+            i *= 2
+            if i + 1 < len(level) and begin + level[i] <= place:
+                begin += level[i]
+                i += 1
+        return i, begin
 
     def replace(self, start: int, end: int, new: str) -> int:
         """Replaces characters ``start`` to ``end`` by ``new``; the new total.
 
         Positions beyond the text mean its end.
         """
-        start, end = sorted((min(max(0, start), len(self.text)), min(max(0, end), len(self.text))))
-        ends = list(np.cumsum(self.lengths))
-        first = min(bisect.bisect_right(ends, start), len(ends) - 1)
-        last = max(first, min(bisect.bisect_left(ends, end), len(ends) - 1))
-        begin, stop = ends[first] - self.lengths[first], ends[last]
-        self.text = self.text[:start] + new + self.text[end:]
-        stop += len(new) - (end - start)
+        size = self.chars[-1][0]
+        start, end = sorted((min(max(0, start), size), min(max(0, end), size)))
+        first, begin = self._leaf_at(start)
+        last, last_begin = self._leaf_at(max(start, end - 1))
+        part = self.leaves[first][: start - begin] + new + self.leaves[last][max(0, end - last_begin) :]
         # borders that the edit has made unsafe: take in the next leaf that has characters
-        while begin > 0 and not border_is_safe(self.text[max(0, begin - 1) : begin], self.text[begin : begin + 2]):
+        while first > 0 and not border_is_safe(self.leaves[first - 1], part):
             first -= 1
-            begin -= self.lengths[first]
-        while stop < len(self.text) and not (stop > begin and border_is_safe(self.text[stop - 1 : stop], self.text[stop : stop + 2])):
+            part = self.leaves[first] + part
+        while last + 1 < len(self.leaves) and not border_is_safe(part, self.leaves[last + 1]):
             last += 1
-            stop += self.lengths[last]
-        if stop - begin > 8 * self.leaf and stop - begin > 8 * (last - first + 1) * self.leaf:  # much new text: new leaves for all
-            used = self.encoded
-            self.__init__(self.text, self.enc, self.leaf)
-            self.encoded += used
+            part += self.leaves[last]
+        parts = list(safe_pieces(part, self.leaf))
+        counts = [self._count(p) for p in parts]
+        room = last - first + 1
+        if len(parts) > room:
+            self.leaves[first : last + 1] = parts
+            self.chars = _sums([len(x) for x in self.leaves])
+            self.counts = _sums(self.counts[0][:first] + counts + self.counts[0][last + 1 :])
             return self.total
-        for i in range(first, last + 1):
-            self.lengths[i] = stop - begin if i == first else 0
-            self._set(i, self._count(self.text[begin:stop]) if i == first else 0)
+        for k in range(room):
+            self.leaves[first + k] = parts[k] if k < len(parts) else ""
+            _put(self.chars, first + k, len(self.leaves[first + k]))
+            _put(self.counts, first + k, counts[k] if k < len(parts) else 0)
         return self.total
 
 
@@ -113,7 +132,7 @@ def build(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             trees = [CountTree(t or "", enc, leaf) for t in batch.column(1).to_pylist()]
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.lengths for t in trees], ints), pa.array([t.sums[0] for t in trees], ints), pa.array([t.total for t in trees], pa.int64())], ["doc_key", "doc_text", "leaf_lengths", "leaf_counts", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.chars[0] for t in trees], ints), pa.array([t.counts[0] for t in trees], ints), pa.array([t.total for t in trees], pa.int64())], ["doc_key", "doc_text", "leaf_lengths", "leaf_counts", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("doc_text"))
     schema = T.StructType([rows.schema["doc_key"], rows.schema["doc_text"]]).add("leaf_lengths", T.ArrayType(T.IntegerType())).add("leaf_counts", T.ArrayType(T.IntegerType())).add("n_tokens", "long")
@@ -145,7 +164,7 @@ def apply_edits(state: DataFrame, rank_path: str, pattern: str, edits_col: str =
                         tree.replace(e["start"] or 0, e["end"] or 0, e["new"] or "")
                 trees.append(tree)
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_key"), pa.array([t.text for t in trees], pa.string()), pa.array([t.lengths for t in trees], ints), pa.array([t.sums[0] for t in trees], ints), pa.array([t.total for t in trees], pa.int64()), pa.array(before, pa.int64()), pa.array([t.encoded for t in trees], pa.int64())], ["doc_key", "doc_text", "leaf_lengths", "leaf_counts", "n_tokens", "n_before", "n_recoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_key"), pa.array([t.text for t in trees], pa.string()), pa.array([t.chars[0] for t in trees], ints), pa.array([t.counts[0] for t in trees], ints), pa.array([t.total for t in trees], pa.int64()), pa.array(before, pa.int64()), pa.array([t.encoded for t in trees], pa.int64())], ["doc_key", "doc_text", "leaf_lengths", "leaf_counts", "n_tokens", "n_before", "n_recoded"])
 
     rows = state.select(F.col(id_col).alias("doc_key"), F.col(text_col).alias("doc_text"), "leaf_lengths", "leaf_counts", F.col(edits_col).cast(EDITS).alias("edits"))
     schema = T.StructType([rows.schema["doc_key"], rows.schema["doc_text"], rows.schema["leaf_lengths"], rows.schema["leaf_counts"]]).add("n_tokens", "long").add("n_before", "long").add("n_recoded", "long")

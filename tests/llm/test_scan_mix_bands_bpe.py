@@ -2,13 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
 
-from idweft.llm import byte_bpe, compression_bands, secret_scan, source_mix
+from idweft.llm import byte_bpe, compression_bands, edit_counts, secret_scan, source_mix
 from tests.llm.data import PATTERN, RANKS, SCHEMA, rows, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,7 +71,7 @@ def test_bpe_matches_the_library_and_round_trips(spark):
     wanted = []
     for r in rows():
         text = r[1] or ""
-        ids = enc.encode_ordinary(text)
+        ids = enc.split.encode_ordinary(text)
         raw = b"".join(i.to_bytes(4, "little") for i in ids)
         wanted.append((r[0], len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     same(out, wanted)
@@ -81,7 +82,26 @@ def test_bpe_cuts_change_nothing(spark):
     for r in rows():
         if r[1]:
             assert "".join(byte_bpe.safe_pieces(r[1], 40)) == r[1]
-            assert byte_bpe.encode_text(enc, r[1], 40).tolist() == enc.encode_ordinary(r[1])
+            assert byte_bpe.encode_text(enc, r[1], 40).tolist() == enc.split.encode_ordinary(r[1])
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\u3000", " \t"])
+def test_long_runs_of_white_space(run, monkeypatch):
+    enc = byte_bpe.encoding(RANKS, PATTERN)
+    for n in (byte_bpe.LONG_RUN - 1, byte_bpe.LONG_RUN, 40_001):
+        for text in (run * n, "a" + run * n, run * n + "b", "a" + run * n + "b" + run * n + "!", "x\n" + run * n + "\u00a0y"):
+            assert enc.ids(text) == enc.split.encode_ordinary(text) == byte_bpe.encode_text(enc, text, 100).tolist()
+    long = "a" + run * 2_000_000 + "b"
+    assert enc.text_bytes(byte_bpe.encode_text(enc, long).tolist()) == long.encode()
+    assert edit_counts.CountTree(long, enc).total == len(byte_bpe.encode_text(enc, long))
+
+
+def test_safe_cuts_change_nothing_in_any_script():
+    enc, rng = byte_bpe.encoding(RANKS, PATTERN), random.Random(8)
+    signs = ["a", "Z", "7", "é", "ж", "中", "の", "한", "א", "'", "'s", "'ll", "!", "。", "，", "“", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x1f", "\u0301", "😀", "ª", "½", "_", "ǅ", "\u200b"]
+    for _ in range(400):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 60)))
+        assert byte_bpe.encode_text(enc, text, rng.randrange(1, 9)).tolist() == enc.split.encode_ordinary(text), text
 
 
 def test_bpe_decode_column(spark):

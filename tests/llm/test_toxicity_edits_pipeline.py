@@ -81,35 +81,37 @@ def test_edits_equal_a_recount(leaf):
     for r in rows()[:30]:
         text = r[1] or ""
         tree = edit_counts.CountTree(text, enc, leaf)
-        assert tree.total == len(enc.encode_ordinary(text))
+        assert tree.total == len(enc.split.encode_ordinary(text))
         for _ in range(25):
             a = rng.randrange(0, len(text) + 2)
             b = a + rng.choice([0, 0, 1, 3, 40, 700])
             new = rng.choice(["", " ", "x", "  ", "\n", " word", "word ", "'s", "é", prose(rng, 30), " 1"])
             a, b = sorted((min(a, len(text)), min(b, len(text))))
             text = text[:a] + new + text[b:]
-            assert tree.replace(a, b, new) == len(enc.encode_ordinary(text))
-            assert tree.text == text and sum(tree.lengths) == len(text)
-            assert all(s == sum(tree.sums[k][2 * i : 2 * i + 2]) for k, level in enumerate(tree.sums[1:]) for i, s in enumerate(level))
+            assert tree.replace(a, b, new) == len(enc.split.encode_ordinary(text))
+            assert tree.text == text and tree.chars[0] == [len(x) for x in tree.leaves]
+            for sums in (tree.chars, tree.counts):
+                assert all(s == sum(sums[k][2 * i : 2 * i + 2]) for k, level in enumerate(sums[1:]) for i, s in enumerate(level))
 
 
 def test_edits_touch_few_characters():
     enc = byte_bpe.encoding(RANKS, PATTERN)
-    text = prose(random.Random(3), 20_000)
-    tree = edit_counts.CountTree(text, enc)
-    before = tree.encoded
-    tree.replace(50_000, 50_010, "changed")
-    assert before == len(text) and tree.encoded - before < 6 * edit_counts.LEAF
+    for text in (prose(random.Random(3), 20_000), "слово и дело, " * 20_000, "中文没有空格，但有标点。" * 20_000):
+        tree = edit_counts.CountTree(text, enc)
+        before = tree.encoded
+        tree.replace(50_000, 50_010, "changed")
+        assert before == len(text) and tree.encoded - before < 6 * edit_counts.LEAF
+        assert tree.total == len(enc.split.encode_ordinary(tree.text)) and len(tree.leaves) > 150
 
 
 def test_edits_in_a_table(spark):
     enc = byte_bpe.encoding(RANKS, PATTERN)
     state = edit_counts.build(table(spark), RANKS, PATTERN)
-    assert Counter((r["doc_id"], r["n_tokens"]) for r in state.collect()) == Counter((r[0], len(enc.encode_ordinary(r[1] or ""))) for r in rows())
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in state.collect()) == Counter((r[0], len(enc.split.encode_ordinary(r[1] or ""))) for r in rows())
     out = edit_counts.apply_edits(state.withColumn("edits", edit_counts.derived_edits(state.text, state.doc_id)), RANKS, PATTERN).collect()
     assert len(out) == len(rows())
     for r in out:
-        assert r["n_tokens"] == len(enc.encode_ordinary(r["text"])) and r["n_tokens"] == sum(r["leaf_counts"])
+        assert r["n_tokens"] == len(enc.split.encode_ordinary(r["text"])) and r["n_tokens"] == sum(r["leaf_counts"])
     none = state.withColumn("edits", state.doc_id.cast("string").cast("binary")).selectExpr("doc_id", "text", "leaf_lengths", "leaf_counts", "cast(null as array<struct<start:int,end:int,new:string>>) as edits")
     assert all(r["n_tokens"] == r["n_before"] and r["n_recoded"] == 0 for r in edit_counts.apply_edits(none, RANKS, PATTERN).collect())
 
@@ -146,7 +148,7 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     enc = byte_bpe.encoding(RANKS, PATTERN)
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     for r in ids.collect():
-        assert np.frombuffer(r["ids"], "<u4").tolist() == enc.encode_ordinary(texts[r["doc_id"]] or "") and 4 * r["n_tokens"] == len(r["ids"])
+        assert np.frombuffer(r["ids"], "<u4").tolist() == enc.split.encode_ordinary(texts[r["doc_id"]] or "") and 4 * r["n_tokens"] == len(r["ids"])
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter((r["doc_id"], r["ids_sha256"]) for r in whole.collect()) == Counter((r["doc_id"], r["ids_sha256"]) for r in ids.collect())
     assert public_tokenizers.PATTERN == PATTERN
