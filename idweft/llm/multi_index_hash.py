@@ -7,13 +7,16 @@ code within the radius of a query's is within a share of it in some substring, s
 those values finds every such code. Codes found are filtered by full Hamming distance, and
 the rest are ranked by inner products of the original vectors in double precision.
 
-The rows are dealt into shards and the queries into blocks, of bounded sizes; a shard and a
-block meet in one task, which builds the shard's indexes and keeps the nearest of each query.
+The rows are dealt into shards of bounded size. A task holds one shard at a time with its
+indexes, and the queries stream through it; it keeps the nearest of each query. Vectors of
+candidates are copied only where there are fewer shards than tasks: then the queries are
+dealt into blocks so that all tasks have work.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,8 @@ SAMPLE, SAMPLE_QUERIES = 8_192, 256
 #: apart than among all rows, so recall over all rows is higher.
 REACH = 0.985
 SUBSTRING_BITS = 8
-SHARD_ROWS, BLOCK_QUERIES = 32_768, 1_024
+#: Bytes of vectors in double precision that a shard holds.
+SHARD_BYTES = 1 << 26
 SEED = 11
 
 
@@ -123,15 +127,51 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", bits: int | None = None, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def _meet(model, width: int, k: int):
+    """The nearest of each query in each shard, from rows sorted by tile, candidates first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, radius = model.value
+        tile, held, shard = None, [], None
+        for batch in batches:
+            tiles, asks = batch.column("tile").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            ids, values = batch.column("id").to_numpy(), batch.column("v").flatten().to_numpy().reshape(-1, width)
+            kind = 2 * tiles + asks
+            ends = [*(np.flatnonzero(kind[1:] != kind[:-1]) + 1).tolist(), len(kind)]
+            begin = 0
+            for end in ends:
+                if begin == end:
+                    continue
+                if tiles[begin] != tile:
+                    tile, held, shard = tiles[begin], [], None
+                part = slice(begin, end)
+                begin = end
+                if not asks[part.start]:
+                    held.append((ids[part].copy(), values[part].copy()))
+                    continue
+                if shard is None and held:
+                    shard, held = Shard(*map(np.concatenate, zip(*held, strict=True)), codes), []
+                if shard is not None:
+                    yield nearest(shard, ids[part], values[part], codes, radius)
+
+    def nearest(shard: Shard, ids, values, codes, radius) -> pa.RecordBatch:
+        found = [shard.nearest(i, v, code, radius, k) for i, v, code in zip(ids.tolist(), values, codes.of(values), strict=True)]
+        query_ids = np.repeat(ids, [len(near) for near, _ in found])
+        return pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(np.concatenate([near for near, _ in found])), pa.array(np.concatenate([scores for _, scores in found]))], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", bits: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found for every ``every``-th id.
 
     Nearness is the largest inner product in double precision; ties go to the smaller id, and
     ranks begin at 1. Fewer rows than ``k`` are returned only where there are fewer
     candidates. Vectors that are null, zero, or hold a null or non-finite component take no
     part, nor do rows with a null id or of another length than most of the sample. A row with
-    the query's own id is no candidate; repeated ids are candidates each. Other columns are
-    left out; an empty table gives no rows.
+    the query's own id is no candidate; repeated ids are candidates each, and rows of one
+    query id ask once (the row whose vector hashes lowest). Other columns are left out; an
+    empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
@@ -144,31 +184,17 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     sample = np.array([v for v in sample if len(v) == width], np.float64)
     bits = bits or max(SUBSTRING_BITS, width // SUBSTRING_BITS * SUBSTRING_BITS)
     codes = Codes(sample, bits)
-    radius = fit_radius(codes, sample, k)
+    model = spark.sparkContext.broadcast((codes, fit_radius(codes, sample, k)))
     rows = rows.filter(F.size("v") == width)
-    count = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
-    shards, blocks = (max(1, math.ceil(n / most)) for n, most in zip(count, (shard_rows, block_queries), strict=True))
-    model = spark.sparkContext.broadcast((codes, radius))
-    numbered = rows.withColumn("h", F.xxhash64("id", F.lit(SEED)))
-    base = numbered.select("id", "v", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"))
-    asked = numbered.filter(F.col("id") % every == 0).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod("h", F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"))
-
-    def meet(table: pa.Table) -> pa.Table:
-        codes, radius = model.value
-        ids = table.column("id").to_numpy()
-        flat = table.column("v").combine_chunks()
-        values = (flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy().reshape(-1, width)
-        asks = table.column("asks").to_numpy().astype(bool)
-        out: list[tuple] = []
-        if asks.any() and not asks.all():
-            shard = Shard(ids[~asks], values[~asks], codes)
-            for query_id, query, code in zip(ids[asks], values[asks], codes.of(values[asks]), strict=True):
-                near, scores = shard.nearest(query_id, query, code, radius, k)
-                out.append((np.full(len(near), query_id), near, scores))
-        parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": parts[0], "vec_id": parts[1], "score": parts[2]})
-
-    found = base.unionByName(asked).groupBy("shard", "block").applyInArrow(meet, "query_id long, vec_id long, score double")
+    shards = max(1, math.ceil(rows.count() * 8 * width / shard_bytes))
+    blocks = max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / shards))
+    # the seed alone places a row, so that many rows of one id don't meet in one shard
+    base = rows.select("id", "v", F.floor(F.rand(SEED) * shards).cast("long").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"))
+    queries = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    asked = queries.select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"))
+    tiles = base.unionByName(asked).select("id", "v", (F.col("shard") * blocks + F.col("block")).alias("tile"), "asks")
+    dealt = tiles.repartition(min(shards * blocks, 1 << 17), "tile").sortWithinPartitions("tile", "asks")
+    found = dealt.mapInArrow(_meet(model, width, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -186,7 +186,7 @@ def test_search_recall_and_order(spark):
     rng = np.random.default_rng(5)
     data = [(i, (rng.normal(size=32) + 3 * (i % 5 == 0)).astype("f4").tolist(), 1) for i in range(1500)]
     frame = vectors(spark, data)
-    found = multi_index_hash.search(frame, shard_rows=400, block_queries=30)
+    found = multi_index_hash.search(frame, shard_bytes=400 * 32 * 8)
     assert multi_index_hash.recall(frame, found) >= 0.9
     values = {i: np.array(v, "f4").astype(float) for i, v, _ in data}
     by = defaultdict(list)
@@ -209,6 +209,20 @@ def test_search_odd_vectors_and_ties(spark):
     assert multi_index_hash.search(vectors(spark, [])).count() == 0
 
 
+def test_search_recall_on_the_given_vectors_and_beyond_the_sample(spark, monkeypatch):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    monkeypatch.setattr(multi_index_hash, "SAMPLE", 400)  # a fifth of the table
+    assert multi_index_hash.recall(frame, multi_index_hash.search(frame)) >= 0.95
+
+
+def test_search_with_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    data = [(i % 50, rng.normal(size=16).tolist(), 0) for i in range(120)] + [(7, [1.0] * 16, 0)] * 40
+    found = multi_index_hash.search(vectors(spark, data), k=300, shard_bytes=64 * 16 * 8).collect()
+    assert Counter(r["query_id"] for r in found) == {q: sum(d[0] != q for d in data) for q in (0, 20, 40)}
+    assert all(r["query_id"] != r["vec_id"] for r in found) and len({(r["query_id"], r["rank"]) for r in found}) == len(found)
+
+
 def test_probes_keep_every_code_within_the_radius():
     for radius in range(0, 40):
         reach = multi_index_hash.probe_radii(radius, 8)
