@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from idweft.llm.storage import written
+from idweft.llm.storage import discard, written
 from idweft.llm.words import WORD
 
 WEIGHTS = (5, 2, 1)
@@ -25,6 +25,8 @@ LEAST_SLOTS, SLOTS_A_SOURCE, MOST_BLOCK = 1 << 16, 256, 1 << 20
 LEAST_TARGET = 512
 GOLDEN = (math.sqrt(5) - 1) / 2
 _BINS, _CHUNK = 4096, 4096
+#: Sources up to which their steps are broadcast (a few hundred bytes each); more are joined.
+MOST_BROADCAST = 50_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most_times: int = MOST_TIMES) -> DataFrame:
@@ -129,3 +131,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     none = laid.filter("size = 0").select(*own, F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies"))
     return taken.unionByName(none).withColumnRenamed("doc_key", id_col)
+
+
+def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies_col: str = "copies", seed: int = 7, **how) -> DataFrame:
+    """Every row of ``docs`` with the copies that :func:`mix` gives it, without moving the texts.
+
+    A source's blocks stand in the order of its rows' hashes, and those that are taken once
+    more than the others come first. So a source's copies are a few steps along the hash,
+    which a row looks up by its own. Rows that share a hash, as those of one id do, get the
+    copies of the last of them. ``how`` is passed on to :func:`mix`.
+    """
+    key = lambda col: F.xxhash64(F.col(col).cast("string"), F.lit(seed)).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  the unsigned order
+    mixed = mix(docs, id_col, text_col, source_col, seed=seed, **how).filter("size > 0").select("source", key(id_col).alias("at"), F.col("copies").cast("int").alias("copies"))
+    mixed = mixed.groupBy("source", "at").agg(F.max("copies").alias("copies")).withColumn("part", F.shiftright("at", 52))
+    # changes inside a part of the hashes, then between parts
+    inside, parts = Window.partitionBy("source", "part").orderBy("at"), Window.partitionBy("source").orderBy("part")
+    marks = mixed.withColumn("before", F.lag("copies").over(inside)).withColumn("next", F.lead("copies").over(inside)).filter("before is null or next is null or before <> copies")
+    ends = written(marks, "step_marks")
+    last = ends.filter("next is null").select("source", "part", F.lag("copies").over(parts).alias("earlier"))
+    steps = ends.join(last.withColumnsRenamed({"source": "of", "part": "of_part"}), F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
+    steps = steps.withColumn("before", F.coalesce("before", "earlier")).filter("before is null or before <> copies")
+    steps = written(steps.groupBy(F.col("source").alias("mixed_source")).agg(F.array_sort(F.collect_list(F.struct("at", "copies"))).alias("steps")), "steps")
+    discard(ends)
+    if steps.count() <= MOST_BROADCAST:
+        steps = F.broadcast(steps)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source_col).alias("own_source"), key(id_col).alias("own_key"), F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)).alias("has_words"))
+    joined = rows.join(steps, F.col("own_source").eqNullSafe(F.col("mixed_source")), "left")
+    reached = F.filter("steps", lambda step: step["at"] <= F.col("own_key"))
+    copies = F.when(F.col("has_words") & (F.size(reached) > 0), F.element_at(reached, -1)["copies"]).otherwise(F.lit(0))
+    return joined.select("doc.*", F.coalesce(copies, F.lit(0)).alias(copies_col))

@@ -221,3 +221,19 @@ def test_mix_keeps_small_sources_beside_a_large_one(spark):
         assert abs(taken[s] - n) <= max(1, 0.01 * n), (s, taken[s], n)
     for r in got:
         assert r["source"] == "a" or r["size"] == 0 or r["copies"] >= 1
+
+
+def test_copies_without_moving_texts(spark):
+    data = [(2_000 + i, " ".join(["w"] * (i * 7 % 90)), None, [None, "a", "a", "a", "b", "cc"][i % 6], 0, "x") for i in range(900)] + rows()
+    for seed in (7, 8):
+        wanted = defaultdict(int)
+        for r in source_mix.mix(table(spark, data), seed=seed).collect():
+            wanted[r["doc_id"]] = max(wanted[r["doc_id"]], r["copies"])
+        got = source_mix.with_copies(table(spark, data), seed=seed).collect()
+        assert Counter(tuple(r)[:6] for r in got) == Counter(data)
+        for r in got:
+            if data.count(tuple(r)[:6]) == 1 and r["doc_id"] is not None:
+                assert r["copies"] == wanted[r["doc_id"]]
+        assert any(r["copies"] == 2 for r in got) and any(r["copies"] == 1 for r in got)
+    none = source_mix.with_copies(table(spark, []))
+    assert none.count() == 0 and none.columns[-1] == "copies"
