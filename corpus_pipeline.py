@@ -39,10 +39,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes the block that holds its first word."""
-    mixed = source_mix.mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
-    mixed = written(mixed, "copies")
-    joined = docs.select(*COLUMNS).join(mixed, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("turn")).drop("turn")
+    mixed = source_mix.with_copies(docs.select(*COLUMNS)).filter("copies > 0")
+    return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("turn")).drop("turn")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
