@@ -10,9 +10,10 @@ once over the whole set. Every pair that is left is verified once, on the exact
 
 A prefix shingle shared by many is never expanded into all its pairs. First every document
 meets one other: the first document under its shingles, the one under most of them. Verified
-links are merged into components. Shingles whose documents are all in one component are then
-done; under the others pairs of different components are formed, in blocks of bounded size,
-within the largest component never. No link between components is lost.
+links are merged into components, and shingles whose documents are all in one component are
+done. Under the others every document meets one of another component, in a few rounds. What
+then is left are pairs of different components under one shingle; they are formed in blocks
+of bounded size, within the largest component never. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ CLASSES, BLOCK, EARLY_BOUND = 128, 256, 64
 #: STEPS levels to each doubling. A level of SINGLE is a bucket with one shingle of one set.
 LOAD, LEAST_BITS, MOST_BITS, RANGE_BITS, MOST_SUMMED, STEPS = 16, 18, 26, 18, 256, 8
 SINGLE = STEPS
+#: Rounds in which a document meets one of another component before all such pairs are formed.
+ROUNDS = 2
 #: Shingles held before a partition's counts are written out.
 MOST_HELD = 1 << 24
 #: A shingle whose bucket counts this many times the mean bucket, and so many at least, may be
@@ -414,18 +417,33 @@ class _Join:
         pairs = pairs.join(end("b"), "b", "left").join(end("a"), "a", "left").select(F.coalesce("rep_a", "a").alias("a"), F.coalesce("rep_b", "b").alias("b"))
         return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def other_pairs(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different components under one shingle, formed in blocks and bounded there."""
+    def named(self, groups: DataFrame) -> DataFrame:
+        """``token, rep, n, place, many``: the groups by class."""
+        known = groups.join(self.moved, "doc_key", "left").select("token", F.coalesce("rep", "doc_key").alias("rep"), "n", "place", "many")
+        return written(known, "named")
+
+    def open_rows(self, named: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+        """Rows of ``named`` under shingles with several components, with labels and one row picked for each shingle."""
         of = labels.filter("node <> label").select(F.col("node").alias("rep"), "label")
-        known = self.moved.unionByName(of.join(self.moved.select(F.col("doc_key").alias("rep")).distinct(), "rep", "left_anti").select(F.col("rep").alias("doc_key"), "rep"))
-        known = written(known.join(of, "rep", "left").select("doc_key", "rep", "label"), "known")
-        rep, label = F.coalesce("rep", "doc_key"), F.coalesce("label", "rep", "doc_key")
-        named = written(groups.join(known, "doc_key", "left").select("token", rep.alias("rep"), label.alias("label"), "n", "place", "many"), "named")
-        discard(groups, known)
-        # shingles under which all are in one component are done
-        open_ = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-        mixed = written(named.join(open_, "token", "left_semi"), "mixed")
-        discard(named)
+        rows = named.join(of, "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label"), "n", "place", "many")
+        pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("to"), F.col("label").alias("to_label"), F.col("n").alias("to_n"), F.col("place").alias("to_place")))
+        tokens = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), pick.alias("pick")).filter("low < high").select("token", "pick.to", "pick.to_label", "pick.to_n", "pick.to_place")
+        return written(rows.join(tokens, "token"), "open")
+
+    def next_pairs(self, rows: DataFrame, tried: DataFrame) -> DataFrame:
+        """Each class with one of another component that is picked under most of its shingles."""
+        n, to_n, place, to_place = (F.col(c).cast("long") for c in ("n", "to_n", "place", "to_place"))
+        p = self.percent
+        need = F.ceil(F.lit(p) * (n + to_n) / F.lit(100.0 + p) - 1e-6)
+        fits = (100 * n >= p * to_n) & (100 * to_n >= p * n) & (F.least(place, to_place) + 1 + F.least(n - place - 1, to_n - to_place - 1) >= need)
+        asks = rows.filter((F.col("label") != F.col("to_label")) & fits).groupBy("rep", "to").agg(F.count("*").alias("times"))
+        asks = asks.select("rep", "to", "times", F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).join(tried, ["a", "b"], "left_anti")
+        one = asks.groupBy("rep").agg(F.max_by("to", F.struct("times", -F.col("to"))).alias("to"))
+        return one.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
+
+    def other_pairs(self, mixed: DataFrame) -> DataFrame:
+        """Pairs of different components under one shingle, formed in blocks and bounded there."""
+        mixed = mixed.select("token", "rep", "label", "n", "place", "many")
         cols = ["block", "rep", "label", "n", "place", "own", "cross", "classes"]
         # shingles that few share: a block each
         few = mixed.filter("not many").select(F.col("token").alias("block"), "rep", "label", "n", "place", F.lit(0).alias("own"), F.lit(False).alias("cross"))
@@ -447,9 +465,7 @@ class _Join:
         dealt = rows.select("token", "rep", "label", "n", "place", F.explode(blocks).alias("x")).select("token", "rep", "label", "n", "place", "x.*")
         dealt = dealt.withColumn("block", F.xxhash64("token", "kind", "i", "j")).drop("token", "kind", "i", "j")
         dealt = few.unionByName(dealt).join(self.bounds.select("rep", "classes"), "rep").select(cols).repartition("block").sortWithinPartitions("block")
-        found = written(dealt.mapInArrow(_pairs_in_blocks(self.percent), "a long, b long").distinct(), "pairs")
-        discard(mixed)
-        return found
+        return written(dealt.mapInArrow(_pairs_in_blocks(self.percent), "a long, b long").distinct(), "pairs")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -467,12 +483,21 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tried = written(join.bounded(join.first_pairs(groups)), "tried")
     links = join.verified(tried)
     labels = written(components(links.unionByName(join.twins)), "labels")
-    others = join.other_pairs(groups, labels)
-    more = written(others.join(tried, ["a", "b"], "left_anti"), "more")
-    found = join.verified(more)
-    discard(tried, others, more, labels)
-    labels = written(components(links.unionByName(found).unionByName(join.twins)), "labels")
-    discard(links, found, join.twins, join.moved)
+    rows = join.named(groups)
+    discard(groups, links)
+    for turn in range(ROUNDS + 1):
+        before, rows = rows, join.open_rows(rows.select("token", "rep", "n", "place", "many"), labels, turn)
+        discard(before)
+        if rows.isEmpty():
+            break
+        pairs = written(join.bounded(join.next_pairs(rows, tried)) if turn < ROUNDS else join.other_pairs(rows).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        links = join.verified(pairs)
+        earlier, labels = labels, written(components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), "labels")
+        before, tried = tried, written(tried.unionByName(pairs), "tried")
+        discard(before, pairs, links, earlier)
+    discard(rows, tried, join.twins, join.moved)
     classes = join.classes.select("set_high", "set_low", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("set_high", "set_low", F.coalesce("label", "rep").alias("component"))
     out = join.sets.drop("classes").join(classes, ["set_high", "set_low"], "left")

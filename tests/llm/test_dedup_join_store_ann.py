@@ -107,7 +107,13 @@ def near(seed, n=420):
     return data
 
 
-@pytest.mark.parametrize("data", [rows(), near(4), []], ids=["odd", "near", "none"])
+def twins():
+    """Ids with several texts, which link groups of others."""
+    data = near(11, 60)
+    return data + [(data[0][0], data[7][1], None, None, 0, None), (data[0][0], "a text of its own with some words", None, None, 0, None), (data[14][0], data[0][1], None, None, 0, None), data[20], data[20]]
+
+
+@pytest.mark.parametrize("data", [rows(), near(4), twins(), []], ids=["odd", "near", "twins", "none"])
 def test_join_matches_all_pairs(spark, data):
     got = ngram_join.link_documents(table(spark, data)).collect()
     same([tuple(r) for r in got], plain_join(data))
