@@ -39,6 +39,8 @@ MAGIC, HEAD = b"IDTS", struct.Struct("<4sBBxx8sQQ")
 SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 512, 4_096, 32_768
 #: Pieces that an array of more bytes is sampled by, from its start to its end.
 SAMPLE_PIECES = 8
+#: The least size that the library's trainer takes.
+LEAST_TRAINED = 256
 #: A shard is closed once it holds this many bytes of ids before compression.
 SHARD_BYTES = 1 << 20
 #: Distinct words of a generation that a Python worker remembers, some 200 bytes each.
@@ -120,10 +122,12 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, end_id: int = 1, width: int = 2) -> bytes:
-    """A dictionary for serialized ids; empty where the sample is too small to train one.
+    """A dictionary for serialized ids; empty only where there is no document with an id.
 
     The sample is the ``sample_docs`` documents of smallest id hash, each up to
     ``SAMPLE_TEXT_BYTES`` of ids from all over it, so what reaches the driver is bounded.
+    Where the library can train nothing from it, the sampled ids themselves are the
+    dictionary, as zstandard allows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +139,17 @@ def train_dictionary(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("binary").alias("data"))
     few = rows.filter("doc_key is not null").select("doc_key").orderBy(F.xxhash64("doc_key"), "doc_key").limit(sample_docs).distinct()  # ids only, so that no task gathers texts
     sample = rows.join(F.broadcast(few), "doc_key", "left_semi").select("data").mapInArrow(run, "ids array<binary>").limit(sample_docs)
-    parts = [bytes(x) for r in sample.collect() for x in r[0]]
-    if sum(map(len, parts)) < 16_384 or len(parts) < 16:
-        return b""
+    parts = sorted(bytes(x) for r in sample.collect() for x in r[0])
+    size = min(DICTIONARY_BYTES, sum(map(len, parts)) // 4)
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, parts)) // 4), parts).as_bytes()
-    except zstandard.ZstdError:  # the sample has nothing in common
-        return b""
+        return zstandard.train_dictionary(size, parts).as_bytes() if size >= LEAST_TRAINED else raw_dictionary(parts)
+    except zstandard.ZstdError:  # too few ids, or nothing that they have in common
+        return raw_dictionary(parts)
+
+
+def raw_dictionary(parts: list[bytes]) -> bytes:
+    """The ids of a sample as a dictionary without entropy tables."""
+    return b"".join(parts)[:DICTIONARY_BYTES]
 
 
 def spread(ids: bytes, width: int) -> list[bytes]:

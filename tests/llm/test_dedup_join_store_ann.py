@@ -131,8 +131,8 @@ def test_components(spark):
 @pytest.mark.parametrize("data", [rows(), rows()[:3], []], ids=["odd", "few", "none"])
 def test_store_reads_back_what_the_library_encodes(spark, tmp_path, data):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     path = token_store.write(table(spark, data), VOCABULARY, f"file://{tmp_path}/t", shard_bytes=5_000)
+    assert (spark.read.parquet(f"{path}/dictionary").first()["dictionary"] != b"") == any(r[0] is not None for r in data)
     got = token_store.read(spark, path, digests=True).collect()
     wanted, start = [], 0
     for r in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode() if r[1] is not None else b"")):
