@@ -82,7 +82,9 @@ def cards_sql(duck: bool) -> str:
         ("PASSPORT", 1): [("'Name of Father'", 40), (father, 40), ("'Name of Mother'", 40), ("parent || ' DEVI'", 40), ("'Address'", 40), ("'12 Rose Lane, Kharar'", 40), ("'PIN:140301, PUNJAB, INDIA'", 40), ("'Old Passport No'", 40), ("passport", 40), ("'File No'", 40), (f"'CH' || {d.pad('k', 13)}", 40)],
         ("PASSPORT", 2): [("'REPUBLIC OF INDIA'", 40), ("'PASSPORT'", 40), ("passport", 300), (f"'Date of Birth ' || {dmy(dob)}", 40), (sex, 40), (f"'Date of Expiry ' || {dmy(issue)}", 40)],
     }
-    cases = "\n".join(f"WHEN shown = '{t}' AND layout = {v} THEN {d.lines(*rows)}" for (t, v), rows in layouts.items())
+    # a branch for each class: as one expression they would be too large for one generated method
+    cases = {t: " ".join(f"WHEN layout = {v} THEN {d.lines(*rows)}" for (u, v), rows in layouts.items() if u == t) for t in TYPES}
+    branches = " UNION ALL ".join(f"SELECT *, CASE {case} END AS lines FROM cards WHERE shown = '{t}'" for t, case in cases.items())
     letters = "'0123456789', 'ABCDEFGHIJ'"
     ten = "100000000000"
     return f"""
@@ -99,7 +101,7 @@ cards AS (
   SELECT *, 'HR41' || CAST(year(issue_day) AS VARCHAR(4)) || {d.pad("k % 10000000", 7)} AS dl,
     CASE WHEN variant = 3 THEN {d.pick(TYPES, "(k + 1) % 5")} ELSE doc_type END AS shown, CASE WHEN variant = 3 THEN 0 ELSE variant END AS layout
   FROM card_keys),
-card_lines AS (SELECT *, CASE {cases} END AS lines FROM cards),
+card_lines AS ({branches}),
 card_rows AS ({d.unnest("card_lines")}),
 card_regions AS (
   SELECT k AS doc_id, 'crop' AS attempt, CAST(pos AS INT) AS region_idx, line.t AS text,

@@ -2,7 +2,7 @@
 
 import pytest
 
-from idweft.plans.oracles import ORACLE_SQL
+from idweft.plans.job_oracles import ORACLE_SQL
 from idweft.plans.queries import QUERIES
 from tests.compare import differences
 
