@@ -184,6 +184,93 @@ padded AS (SELECT i.*, greatest(4, CAST(floor((y2 - y1) * 0.18) AS INT)) AS pad,
 framed AS (SELECT *, greatest(0, x1 - pad) AS bx1, greatest(0, y1 - pad) AS by1, least(width - 1, x2 + pad) AS rx2, least(height - 1, y2 + pad) AS ry2 FROM padded),
 rects AS (SELECT doc_id, CASE kind {_fields} ELSE 'id_number' END AS field, bx1 AS x1, by1 AS y1, least(rx2, greatest(bx1 + 1, CASE WHEN kind = 'AADHAAR' THEN rx2 - CAST(floor((rx2 - bx1) * 0.34) AS INT) ELSE CAST(round_even(x2 - 4 * ((x2 - x1) / greatest(n_chars, 1)), 0) AS INT) END)) AS x2, ry2 AS y2, coalesce(conf, 0.0) AS conf FROM framed)"""
 
+# ---- driving licence
+def iso(c: str) -> str:
+    """A date with a numeric or named month as ISO; '' if it is none."""
+    numeric, named = r"^\s*(\d{1,2})[/\-.\s]+(\d{1,2})[/\-.\s]+(\d{4})", r"^\s*(\d{1,2})[/\-.\s]*([A-Za-z]{3,})[/\-.\s]*(\d{4})"
+    months = ", ".join(q(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split())
+    made = lambda rx, month: f"CASE WHEN CAST(regexp_extract({c}, {q(rx)}, 1) AS INT) BETWEEN 1 AND 31 AND {month} BETWEEN 1 AND 12 THEN regexp_extract({c}, {q(rx)}, 3) || '-' || lpad(CAST({month} AS VARCHAR), 2, '0') || '-' || lpad(regexp_extract({c}, {q(rx)}, 1), 2, '0') ELSE '' END"
+    return f"CASE WHEN regexp_matches({c}, {q(numeric)}) THEN {made(numeric, f'CAST(regexp_extract({c}, {q(numeric)}, 2) AS INT)')} WHEN regexp_matches({c}, {q(named)}) THEN {made(named, f'coalesce(list_position([{months}], lower(left(regexp_extract({c}, {q(named)}, 2), 3))), 0)')} ELSE '' END"
+
+
+_blood = "(regexp_matches(trim(text), '(?i)^(?:AB|A|B|O)\\s*[+\\-]') OR regexp_matches(trim(text), '(?i)^(?:NOT|NIL)'))"
+LICENCE_ADDRESS = f"(trim(text) <> '' AND NOT regexp_matches(trim(text), {q(P.DL_ADDRESS_STOP)}) AND NOT regexp_matches(trim(text), '^[\\d/\\-.\\s]+$') AND {iso('trim(text)')} = '' AND NOT {_blood} AND ({_latin} >= 4 OR regexp_matches(text, '\\d{{3}}')))"
+_tail = lambda rx: f"regexp_replace(regexp_extract(text, {q(f'(?s)^.*?(?:(?i:{rx}))(.*)$')}, 1), '^[ \\t:.\\-/]+|[ \\t:.\\-/]+$', '', 'g')"
+_worded = lambda c: f"CASE WHEN regexp_matches({c}, '[\\p{{L}}\\p{{N}}]') THEN {c} ELSE '' END"
+
+
+def label_rows(alias: str, test: str, tail_rx: str) -> str:
+    """The first line of each document that passes, with what is behind the label, its centre and height."""
+    return f"{alias} AS (SELECT * EXCLUDE (n), {_worded('behind')} AS tail FROM (SELECT *, {_tail(tail_rx)} AS behind, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, greatest(y2 - y1, 1) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY region_idx) AS n FROM card_regions WHERE {test}) WHERE n = 1)"
+
+
+def pairs(alias: str, test: str, tail_rx: str, accept: str = "true") -> str:
+    """``<alias>_pair (doc_id, value, conf, ...)``: behind the label, else right of it and vertically nearest."""
+    return f"""{label_rows(alias, test, tail_rx)},
+{alias}_beside AS (SELECT l.doc_id, r.text, r.conf, r.x1, row_number() OVER (PARTITION BY l.doc_id ORDER BY abs((r.y1 + r.y2) / 2 - l.cy), r.region_idx) AS n FROM {alias} l JOIN (SELECT * FROM card_regions WHERE {accept}) r ON r.doc_id = l.doc_id AND r.region_idx <> l.region_idx AND (r.x1 + r.x2) / 2 > l.cx AND abs((r.y1 + r.y2) / 2 - l.cy) <= greatest(1.6 * l.h, 50)),
+{alias}_pair AS (SELECT l.doc_id, l.region_idx, l.x1, l.x2, l.y1, l.h, CASE WHEN tail <> '' THEN tail ELSE trim(coalesce(b.text, '')) END AS value, CASE WHEN tail <> '' OR b.text IS NULL THEN l.conf ELSE b.conf END AS conf, CASE WHEN tail <> '' OR b.text IS NULL THEN l.x1 ELSE b.x1 END AS anchor_x FROM {alias} l LEFT JOIN {alias}_beside b ON b.doc_id = l.doc_id AND b.n = 1)"""
+
+
+def under(alias: str, label: str, accept: str) -> str:
+    """The topmost accepted line printed under a label, left-aligned with it."""
+    return f"{alias} AS (SELECT doc_id, text, conf FROM (SELECT l.doc_id, r.text, r.conf, row_number() OVER (PARTITION BY l.doc_id ORDER BY r.y1, r.region_idx) AS n FROM {label} l JOIN (SELECT * FROM card_regions WHERE {accept}) r ON r.doc_id = l.doc_id AND r.region_idx <> l.region_idx AND r.y1 >= l.y2 - 0.3 * l.h AND r.y1 - l.y2 <= 1.5 * l.h AND abs(r.x1 - l.x1) <= 1.5 * l.h) WHERE n = 1)"
+
+
+_name_test = "regexp_matches(text, '(?i)\\bNAME\\b') AND NOT regexp_matches(text, '(?i)MAKER|MODEL')"
+_nearest = lambda alias, source, test: f"{alias} AS (SELECT doc_id, arg_min(text, (cy, region_idx)) AS text, arg_min(conf, (cy, region_idx)) AS conf, min(cy) AS cy FROM {source} WHERE {test} GROUP BY doc_id)"
+_guardian = lambda c: name(f"regexp_replace(trim({c}, ' :./'), '^(?:[DWM]\\s*)*O[Ff]([A-Z]|\\s+|$)\\s*', '\\1')")
+LICENCE_NAMES = f"""{label_rows("name_label", _name_test, P.DL_NAME_GLUE[4:])}, {label_rows("guard_label", f"regexp_matches(text, {q(P.DL_GUARDIAN)})", P.DL_GUARDIAN[4:])},
+refs AS (SELECT d.doc_id, coalesce(n.cx, g.cx) AS ref_x, coalesce(n.region_idx, -1) AS name_idx, coalesce(g.region_idx, -1) AS guard_idx, coalesce(n.tail, '') AS name_tail, coalesce(g.tail, '') AS guard_tail, n.conf AS name_label_conf, g.conf AS guard_label_conf,
+  n.doc_id IS NOT NULL AND coalesce(n.tail, '') = '' AS need, n.cy - greatest(1.3 * n.h, 36) AS name_floor, g.cy - greatest(1.3 * g.h, 36) AS guard_floor FROM docs d LEFT JOIN name_label n USING (doc_id) LEFT JOIN guard_label g USING (doc_id)),
+value_column AS (SELECT r.doc_id, text, conf, region_idx, (y1 + y2) / 2 AS cy, refs.* EXCLUDE (doc_id) FROM card_regions r JOIN refs USING (doc_id) WHERE region_idx <> name_idx AND region_idx <> guard_idx AND x1 > ref_x AND {LICENCE_NAME}),
+{_nearest("in_column", "value_column", "need AND cy >= name_floor")}, {under("below_name", "name_label", LICENCE_NAME)}, {under("below_guard", "guard_label", LICENCE_NAME)},
+spots_l AS (SELECT r.*, c.text AS column_text, c.conf AS column_conf, CASE WHEN need AND c.doc_id IS NULL THEN b.text END AS under_text, CASE WHEN need AND c.doc_id IS NULL THEN b.conf END AS under_conf, coalesce(c.cy, guard_floor, -1) AS base FROM refs r LEFT JOIN in_column c USING (doc_id) LEFT JOIN below_name b USING (doc_id)),
+{_nearest("lower_line", "(SELECT v.*, base, under_text FROM value_column v JOIN spots_l s USING (doc_id)) AS v", "under_text IS NULL AND guard_tail = '' AND cy > base + 6")},
+licence_names AS (SELECT s.doc_id, {name("CASE WHEN name_tail <> '' THEN name_tail ELSE trim(coalesce(column_text, under_text, '')) END")} AS name, CASE WHEN name_tail <> '' THEN name_label_conf ELSE coalesce(column_conf, under_conf, 0.0) END AS name_conf,
+  {_guardian("CASE WHEN guard_tail <> '' THEN guard_tail ELSE trim(coalesce(CASE WHEN under_text IS NOT NULL THEN bg.text END, lo.text, '')) END")} AS guardian, CASE WHEN guard_tail <> '' THEN guard_label_conf ELSE coalesce(CASE WHEN under_text IS NOT NULL THEN bg.conf END, lo.conf, 0.0) END AS guardian_conf
+  FROM spots_l s LEFT JOIN below_guard bg USING (doc_id) LEFT JOIN lower_line lo USING (doc_id))"""
+LICENCE_ADDRESSES = f"""{pairs("addr", f"regexp_matches(text, {q(P.DL_ADDRESS)})", P.DL_ADDRESS[4:], LICENCE_ADDRESS)},
+addr_top AS (SELECT *, anchor_x > x2 - 8 AS own_column, CASE WHEN anchor_x > x2 - 8 THEN y1 - greatest(1.5 * h, 45) ELSE y1 - 5 END AS top FROM addr_pair),
+addr_lines AS (SELECT r.doc_id, trim(r.text) AS part, r.conf, row_number() OVER w AS n, coalesce(r.y1 - lag(r.y2) OVER w > 55, false) AS gap FROM (SELECT * FROM card_regions WHERE {LICENCE_ADDRESS}) r JOIN addr_top a ON a.doc_id = r.doc_id AND r.region_idx <> a.region_idx AND r.y1 >= top AND abs(r.x1 - anchor_x) <= 90 WINDOW w AS (PARTITION BY r.doc_id ORDER BY r.y1, r.x1, r.region_idx)),
+addr_kept AS (SELECT doc_id, n, part, conf, sum(CAST(gap AS INT)) OVER (PARTITION BY doc_id ORDER BY n) AS gaps FROM addr_lines),
+addr_rows AS (SELECT doc_id, n, part, conf FROM addr_kept WHERE gaps = 0 UNION ALL SELECT doc_id, 0, value, conf FROM addr_top WHERE NOT own_column AND value <> ''),
+addr_full AS (SELECT doc_id, trim(regexp_replace(regexp_replace(string_agg(part, ', ' ORDER BY n), '\\s*,\\s*', ', ', 'g'), ',\\s*,', ',', 'g'), ' ,') AS value, arg_min(conf, n) AS conf FROM addr_rows GROUP BY doc_id),
+licence_addresses AS (SELECT a.doc_id, coalesce(f.value, a.value) AS address, coalesce(f.conf, CASE WHEN a.value <> '' THEN a.conf ELSE 0 END) AS conf FROM addr_pair a LEFT JOIN addr_full f USING (doc_id))"""
+
+_legacy_number = rf"((?:DLF)?(?:{P.DL_STATES})[\s-]?\d{{12}})(?:[^\d]|$)"
+_birth = rf"(?i)(?:DOB|DATE\s*OF\s*BIRTH|BIRTH)[:\s]*({P.DL_DATE})"
+_glued = lambda i: rf"(?i){P.DL_ISSUE_LABELS[i]}\s*[:\-]?\s*{P.DL_DATE_TOKEN}"
+_issue = range(len(P.DL_ISSUE_LABELS))
+_kept_date = "day <> '' AND day <> born"
+LICENCE = f"""{DOCS}, {LICENCE_NAMES}, {LICENCE_ADDRESSES}, {pairs("blood", f"regexp_matches(text, {q(P.DL_BLOOD)})", P.DL_BLOOD[4:], _blood)},
+raw_numbers AS (SELECT doc_id, t, {_pick(f"regexp_extract(t, {q(P.DL_MODERN)})", f"regexp_extract(t, {q(_legacy_number)}, 1)", f"regexp_extract(t, {q(rf'{chr(92)}b({P.VEHICLE}){chr(92)}b')}, 1)")} AS raw FROM docs),
+licence_numbers AS (SELECT *, regexp_replace(raw, '[^A-Z0-9]', '', 'g') AS number, regexp_replace(raw, '[^0-9]', '', 'g') AS d FROM raw_numbers),
+years AS (SELECT *, CASE WHEN y BETWEEN 1950 AND {AS_OF_YEAR} THEN y ELSE 0 END AS issue_year FROM (SELECT *, CASE length(d) WHEN 13 THEN CAST(d[3:6] AS INT) WHEN 12 THEN CAST(d[9:12] AS INT) ELSE 0 END AS y FROM licence_numbers)),
+text_lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS no FROM docs),
+told AS (SELECT *, coalesce(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) || chr(10), '') AS earlier, regexp_extract(line, {q(P.DL_DATE)}) AS date FROM text_lines),
+dates AS (SELECT doc_id, no, date, {iso("date")} AS day, right(earlier || split_part(line, date, 1), 30) AS ctx FROM told WHERE date <> ''),
+oldest AS (SELECT doc_id, arg_min(day, (day, date, ctx)) AS day, arg_min(date, (day, date, ctx)) AS date FROM dates JOIN years USING (doc_id) WHERE day <> '' AND NOT regexp_matches(ctx, {q(P.DL_ISSUE_NEAR)}) AND NOT (issue_year > 0 AND CAST(day[1:4] AS INT) > issue_year - 16) GROUP BY doc_id),
+birth_labels AS (SELECT doc_id, regexp_extract(t, {q(_birth)}, 1) AS labelled FROM docs), birth_days AS (SELECT doc_id, labelled, {iso("labelled")} AS day FROM birth_labels),
+births AS (SELECT b.doc_id, CASE WHEN b.day <> '' THEN b.day ELSE coalesce(o.day, '') END AS born, CASE WHEN b.day <> '' THEN labelled ELSE coalesce(o.date, '') END AS printed FROM birth_days b LEFT JOIN oldest o USING (doc_id)),
+birth_conf AS ({conf_of("printed", "births")}), raw_conf AS ({conf_of("raw", "(SELECT doc_id, raw FROM years) AS y")}),
+{", ".join(pairs(f"issue{i}", f"regexp_matches(text, {q('(?i)' + P.DL_ISSUE_LABELS[i])})", P.DL_ISSUE_LABELS[i]) for i in _issue)},
+issue_found AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS step, region_idx, {iso(f'regexp_extract(text, {q(_glued(i))}, 1)')} AS day, conf FROM card_regions WHERE regexp_matches(text, {q(_glued(i))})" for i in _issue)}
+  UNION ALL {" UNION ALL ".join(f"SELECT doc_id, {i + 5}, 0, {iso(f'regexp_replace(value, {q("^[:" + chr(92) + "s]+")}, {q("")})')}, conf FROM issue{i}_pair" for i in _issue)}),
+issued AS (SELECT doc_id, arg_min(day, (step, region_idx)) AS day, arg_min(conf, (step, region_idx)) AS conf FROM issue_found JOIN births USING (doc_id) WHERE {_kept_date} GROUP BY doc_id),
+bare AS (SELECT y.doc_id, raw, n.name = '' AND n.guardian = '' AND coalesce(a.address, '') = '' AS bare FROM years y JOIN licence_names n USING (doc_id) LEFT JOIN licence_addresses a USING (doc_id)),
+number_lines AS (SELECT * FROM (SELECT r.*, greatest(y2 - y1, 1) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY region_idx) AS n FROM card_regions r JOIN bare USING (doc_id) WHERE bare AND raw <> '' AND contains(regexp_replace(upper(text), '[^A-Z0-9]', '', 'g'), regexp_replace(raw, '[^A-Z0-9]', '', 'g'))) WHERE n = 1),
+column_under AS (SELECT r.*, coalesce(r.y1 - coalesce(lag(r.y2) OVER w, a.y2) > 1.5 * a.h, false) OR regexp_matches(r.text, {q(P.DL_ADDRESS_STOP)}) OR {iso("r.text")} <> '' AS stop, row_number() OVER w AS n FROM card_regions r JOIN number_lines a ON a.doc_id = r.doc_id AND r.region_idx <> a.region_idx AND abs(r.x1 - a.x1) <= greatest(1.5 * a.h, 0.12 * (a.x2 - a.x1)) AND r.y1 >= a.y1 + 0.5 * a.h WINDOW w AS (PARTITION BY r.doc_id ORDER BY r.y1, r.x1, r.region_idx)),
+walk_under AS (SELECT *, sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY n) AS stops, {LICENCE_NAME} AS is_name, {LICENCE_ADDRESS} OR regexp_matches(trim(text), '^[\\d/\\-]{{2,}}$') AS is_part FROM column_under),
+heads_under AS (SELECT doc_id, CASE WHEN bool_or(n = 1 AND is_name) THEN 1 + CAST(bool_or(n = 2 AND is_name) AS INT) ELSE 0 END AS n_names, max(text) FILTER (n = 1) AS one_text, max(conf) FILTER (n = 1) AS one_conf, max(text) FILTER (n = 2) AS two_text, max(conf) FILTER (n = 2) AS two_conf FROM walk_under WHERE stops = 0 GROUP BY doc_id),
+rest_under AS (SELECT doc_id, string_agg(trim(text), ', ' ORDER BY n) AS address, min(conf) AS conf FROM walk_under JOIN heads_under USING (doc_id) WHERE stops = 0 AND n > n_names AND n_names > 0 AND is_part GROUP BY doc_id),
+late_dates AS (SELECT y.doc_id, no, regexp_extract(line, {q(P.FULL_DATE)}) AS date FROM text_lines l JOIN years y USING (doc_id) JOIN births b USING (doc_id) WHERE regexp_matches(line, {q(P.FULL_DATE)}) AND {iso(f"regexp_extract(line, {q(P.FULL_DATE)})")} NOT IN ('', born) AND issue_year > 0 AND CAST(regexp_extract({iso(f"regexp_extract(line, {q(P.FULL_DATE)})")}, '^\\d{{4}}') AS INT) = issue_year),
+late AS (SELECT doc_id, arg_min(date, no) AS date FROM late_dates GROUP BY doc_id), late_conf AS ({conf_of("date", "late")}),
+licences AS (SELECT y.doc_id, number AS license_number, {_pct("c.conf")} AS license_number_confidence, CASE WHEN coalesce(n_names, 0) > 0 THEN {name("trim(coalesce(one_text, ''))")} ELSE n.name END AS name, CASE WHEN coalesce(n_names, 0) > 0 THEN {_pct("one_conf")} ELSE {_pct("name_conf")} END AS name_confidence,
+  CASE WHEN coalesce(n_names, 0) > 1 THEN {name("trim(coalesce(two_text, ''))")} ELSE guardian END AS swd, CASE WHEN coalesce(n_names, 0) > 1 THEN {_pct("two_conf")} ELSE {_pct("guardian_conf")} END AS swd_confidence, born AS dob, {_pct("bc.conf")} AS dob_confidence,
+  trim(regexp_replace(coalesce(b.value, ''), '^[:\\s.]+', '')) AS blood_group, {_pct("b.conf")} AS blood_group_confidence, coalesce(r.address, a.address, '') AS address, {_pct("coalesce(r.conf, a.conf)")} AS address_confidence,
+  CASE WHEN i.day IS NOT NULL THEN i.day WHEN l.date IS NOT NULL THEN {iso("l.date")} ELSE '' END AS issue_date, CASE WHEN i.day IS NOT NULL THEN {_pct("i.conf")} ELSE {_pct("lc.conf")} END AS issue_date_confidence
+  FROM years y JOIN licence_names n USING (doc_id) JOIN births USING (doc_id) LEFT JOIN licence_addresses a USING (doc_id) LEFT JOIN blood_pair b USING (doc_id) LEFT JOIN raw_conf c USING (doc_id) LEFT JOIN birth_conf bc USING (doc_id) LEFT JOIN issued i USING (doc_id) LEFT JOIN heads_under USING (doc_id) LEFT JOIN rest_under r USING (doc_id) LEFT JOIN late l USING (doc_id) LEFT JOIN late_conf lc USING (doc_id))"""
+
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | {
     "drop_script_garbage": f"{TEXT} SELECT doc_id, count(*) AS n_lines FROM text_regions WHERE NOT {GARBAGE} GROUP BY doc_id",
     "name_above": f"{ORDERED}, {NAMED} SELECT doc_id, {name('coalesce(name_text, ' + q('') + ')')} AS value, coalesce(name_conf, 0.0) AS conf FROM docs LEFT JOIN anchored USING (doc_id)",
@@ -233,4 +320,8 @@ judged AS (SELECT i.doc_id, doc_type, extracted_id IS NOT NULL AS has_id, extrac
 listed AS (SELECT *, CASE WHEN already THEN list_transform(found, lambda x: {{'field': 'vid', 'bbox': x.bbox, 'confidence': x.confidence}}) WHEN has_id THEN found ELSE [] END AS regions FROM judged)
 SELECT doc_id, has_id OR already AS document_detected, already AS already_masked, CAST(to_json(regions) AS VARCHAR) AS masked_regions, CAST(len(regions) AS INT) AS n_regions, NOT already AND len(regions) = 0 AS withheld,
   CASE WHEN already THEN 'Aadhaar number is already masked on the document' WHEN len(regions) > 0 THEN NULL WHEN has_id THEN 'Identity number found but could not be localized for masking' ELSE 'No ' || doc_type || ' identity number located' END AS message FROM listed""",
+    "value_below": f"{DOCS}, {label_rows('people_label', "regexp_matches(text, '(?i)^Name of (?:Father|Mother)$')", 'NAME')}, {under('below_label', 'people_label', LICENCE_NAME)} SELECT doc_id, trim(text) AS value, conf FROM below_label",
+    "licence_names": f"{DOCS}, {LICENCE_NAMES} SELECT * FROM licence_names",
+    "licence_address": f"{DOCS}, {LICENCE_ADDRESSES} SELECT * FROM licence_addresses WHERE address <> ''",
+    "extract_licence": f"{LICENCE} SELECT * FROM licences",
 }

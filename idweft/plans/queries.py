@@ -271,7 +271,7 @@ def label_value_pairs(spark, sf_dir):
 
 @query
 def value_below(spark, sf_dir):
-    return pairing.value_below(cards.card_regions(spark, sf_dir), r"^DRIVING LICENCE$").filter("value <> ''")
+    return pairing.value_below(cards.card_regions(spark, sf_dir), r"(?i)^Name of (?:Father|Mother)$").filter("value <> ''")
 
 
 @query
