@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idweft.llm.storage import written
+from idweft.llm.storage import discard, written
 from idweft.llm.words import Rolling, mixed, word_hashes
 
 WINDOW, GRAM = 50, 8
@@ -163,23 +163,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = rows.schema["doc_key"].dataType
     schema = lambda *names: T.StructType([*[T.StructField(n, T.LongType()) for n in names], T.StructField("doc_key", key)])
     blocks = written(rows.filter("doc_key is not null").mapInArrow(_blocks(window, gram), schema("anchor", "block")), "blocks")
-    # the reference index: anchors that two documents or more have, the first document of each block
-    shared = blocks.groupBy("anchor").agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high")).filter("low < high").select("anchor")
-    index = written(blocks.join(shared, "anchor"), "index")
-    first = index.groupBy("anchor", "block").agg(F.min("doc_key").alias("first"))
-    several = index.groupBy("anchor").agg(F.min("block").alias("a"), F.max("block").alias("b")).filter("a < b").select("anchor", F.lit(True).alias("several"))
-    judged = index.join(first, ["anchor", "block"]).join(several, "anchor", "left")
+    # the reference index: each block with the first document that has it, under anchors that
+    # two documents or more have; both sums are made before rows are exchanged
+    first = blocks.groupBy("anchor", "block").agg(F.min("doc_key").alias("first"), F.max("doc_key").alias("last"))
+    first = written(first, "first")
+    anchors = first.groupBy("anchor").agg(F.min("first").alias("low"), F.max("last").alias("high"), (F.count("*") > 1).alias("several")).filter("low < high").select("anchor", "several")
+    index = written(first.join(anchors, "anchor").select("anchor", "block", "first", "several"), "index")
+    judged = blocks.join(index, ["anchor", "block"])
     marks = (
         judged.filter("doc_key > first or several").groupBy("doc_key")
         .agg(F.collect_list(F.when(F.expr("doc_key > first"), F.col("block"))).alias("blocks"), F.collect_list(F.when(F.expr("doc_key = first"), F.col("block"))).alias("edges"))
     )
     marks = written(marks, "marks")
+    discard(blocks, first, index)
     # one exchange of the texts serves all three reads below
-    dealt = rows.repartition("doc_key")
+    dealt = rows.filter("doc_key is not null").repartition("doc_key")
     edges = dealt.join(marks.select(F.col("doc_key").alias("marked"), "blocks", "edges"), F.col("doc_key") == F.col("marked"), "left").drop("marked")
     windows = edges.select("doc_key", "data", "edges").mapInArrow(_edge_windows(window, gram), schema("anchor", "hit"))
     earliest = windows.groupBy("anchor", "hit").agg(F.min("doc_key").alias("first"), F.max("doc_key").alias("last")).filter("first < last").drop("last")
     hits = windows.join(earliest, ["anchor", "hit"]).filter("doc_key > first").groupBy(F.col("doc_key").alias("hit_key")).agg(F.collect_list("hit").alias("hits"))
     out = f"doc_key {key.simpleString()}, n_words long, n_removed long, factors array<struct<start:long,end:long>>, kept_text string"
     joined = edges.join(hits, F.col("doc_key") == F.col("hit_key"), "left").select("doc_key", "data", "blocks", "hits")
+    none = F.lit(None).cast("array<long>")
+    joined = joined.unionByName(rows.filter("doc_key is null").select("doc_key", "data", none.alias("blocks"), none.alias("hits")))
     return joined.mapInArrow(_factor(window, gram), out).withColumnRenamed("doc_key", id_col)
