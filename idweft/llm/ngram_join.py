@@ -41,6 +41,8 @@ CLASSES, BLOCK, EARLY_BOUND = 128, 256, 64
 #: STEPS levels to each doubling. A level of SINGLE is a bucket with one shingle of one set.
 LOAD, LEAST_BITS, MOST_BITS, RANGE_BITS, MOST_SUMMED, STEPS = 16, 18, 26, 18, 256, 8
 SINGLE = STEPS
+#: Shingles of a set, the first in order, by which a pair is known to have been formed already.
+FIRST = 16
 #: Rounds in which a document meets one of another component before all such pairs are formed.
 ROUNDS = 2
 #: Shingles held before a partition's counts are written out.
@@ -234,7 +236,7 @@ def _shared(percent: int):
             index = index[token[index] == token[index + d]]
             fits = index[_may_link(n[index], n[index + d], place[index], place[index + d], percent)]
             keep[fits] = keep[fits + d] = True
-        fits = (lead[0] != doc) & _may_link(lead[1], n, lead[2], place, percent)
+        fits = (lead[0] != doc) & _may_link(lead[1], n, lead[2], place, percent, first=False)
         if keep.any():
             arrays = [pa.array(c[keep]) for c in (token, doc, columns[2], columns[3], many)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(lead[0][keep], mask=~fits[keep])], ["token", "doc_key", "n", "place", "many", "lead"])
@@ -242,12 +244,16 @@ def _shared(percent: int):
     return run
 
 
-def _may_link(n1, n2, p1, p2, percent: int):
-    """Length and position filter, on numpy arrays."""
+def _may_link(n1, n2, p1, p2, percent: int, first: bool = True):
+    """Length and position filter, on numpy arrays, for a shingle of two sets at places p1 and p2.
+
+    With ``first`` it is for the first shingle that both share; every linked pair passes at its own.
+    """
     need = _least_shared(n1 + n2, percent)
     length = (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1)
-    # what both can share: the lesser of the places so far, this shingle, the lesser of the rests
-    same = (np.minimum(p1, p2) + 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1)) >= need
+    before = 0 if first else np.minimum(p1, p2)
+    # what both can share: of the places so far, this shingle, the lesser of the rests
+    same = before + 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= need
     return length & same
 
 
@@ -256,11 +262,31 @@ def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b).sum(axis=1, dtype=np.int64)
 
 
+def _share_one(lists: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the lists of rows i and j have an element in common."""
+    out = np.zeros(len(i), bool)
+    at = np.arange(lists.shape[1])
+    for begin in range(0, len(i), 4_096):
+        a, b = i[begin : begin + 4_096], j[begin : begin + 4_096]
+        same = lists[a][:, :, None] == lists[b][:, None, :]
+        same &= (at < sizes[a][:, None])[:, :, None] & (at < sizes[b][:, None])[:, None, :]
+        out[begin : begin + 4_096] = same.any(axis=(1, 2))
+    return out
+
+
 def _pairs_in_blocks(percent: int):
-    """Pairs of different components from rows sorted by block; a block's rows stand together."""
+    """Pairs of different components from rows sorted by block; a block's rows stand together.
+
+    A pair is formed under the first shingle that both share: ``earlier`` holds shingles that
+    come before a row's own, and a pair with one of these in common is left to that one.
+    """
 
     def pairs(key, rows):
-        rep, label, n, place, own, cross, classes = rows
+        rep, label, n, place, own, cross, classes, earlier = rows
+        sizes = np.array([len(e) for e in earlier], np.int64)
+        lists = np.zeros((len(key), FIRST), np.int64)
+        for row in np.flatnonzero(sizes):
+            lists[row, : sizes[row]] = earlier[row]
         found, index, d = [], np.arange(len(key)), 0
         has = np.array([c is not None for c in classes], bool)
         table = np.zeros((len(classes), CLASSES), np.uint8)
@@ -281,6 +307,8 @@ def _pairs_in_blocks(percent: int):
                 fits[both] = _bound(table[i[both]], table[j[both]]) >= _least_shared(n[i[both]] + n[j[both]], percent)
                 i, j = i[fits], j[fits]
             if len(i):
+                new = ~_share_one(lists, sizes, i, j)
+                i, j = i[new], j[new]
                 found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
         return np.unique(np.concatenate(found, axis=1), axis=1) if found else None
 
@@ -300,7 +328,7 @@ def _pairs_in_blocks(percent: int):
 
     def out(table):
         column = lambda name: table.column(name).to_numpy()
-        got = pairs(column("block"), (column("rep"), column("label"), column("n").astype(np.int64), column("place").astype(np.int64), column("own"), column("cross").astype(bool), table.column("classes").to_pylist()))
+        got = pairs(column("block"), (column("rep"), column("label"), column("n").astype(np.int64), column("place").astype(np.int64), column("own"), column("cross").astype(bool), table.column("classes").to_pylist(), table.column("earlier").to_pylist()))
         if got is not None:
             yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
 
@@ -444,7 +472,11 @@ class _Join:
     def other_pairs(self, mixed: DataFrame) -> DataFrame:
         """Pairs of different components under one shingle, formed in blocks and bounded there."""
         mixed = mixed.select("token", "rep", "label", "n", "place", "many")
-        cols = ["block", "rep", "label", "n", "place", "own", "cross", "classes"]
+        firsts = mixed.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct("place", "token"))), 1, FIRST).alias("firsts"))
+        # a class that stands for several texts has no bound, and its shingles no common order
+        firsts = self.bounds.select("rep", "classes").join(firsts, "rep").select("rep", "classes", F.when(F.col("classes").isNotNull(), F.col("firsts")).otherwise(F.array().cast("array<struct<place:int,token:long>>")).alias("firsts"))
+        earlier = F.transform(F.filter("firsts", lambda x: x["place"] < F.col("place")), lambda x: x["token"]).alias("earlier")
+        cols = ["block", "rep", "label", "n", "place", "own", "cross", "classes", earlier]
         # shingles that few share: a block each
         few = mixed.filter("not many").select(F.col("token").alias("block"), "rep", "label", "n", "place", F.lit(0).alias("own"), F.lit(False).alias("cross"))
         # those that many share: blocks of bounded size
@@ -464,7 +496,7 @@ class _Join:
                         transform(sequence(0, others - 1), k -> struct(2 as kind, least(at, k) as i, greatest(at, k) as j, at as own, at <> k as cross))) end""")
         dealt = rows.select("token", "rep", "label", "n", "place", F.explode(blocks).alias("x")).select("token", "rep", "label", "n", "place", "x.*")
         dealt = dealt.withColumn("block", F.xxhash64("token", "kind", "i", "j")).drop("token", "kind", "i", "j")
-        dealt = few.unionByName(dealt).join(self.bounds.select("rep", "classes"), "rep").select(cols).repartition("block").sortWithinPartitions("block")
+        dealt = few.unionByName(dealt).join(firsts, "rep").select(*cols).repartition("block").sortWithinPartitions("block")
         return written(dealt.mapInArrow(_pairs_in_blocks(self.percent), "a long, b long").distinct(), "pairs")
 
 
