@@ -45,6 +45,8 @@ SINGLE = STEPS
 FIRST = 16
 #: Rounds in which a document meets one of another component before all such pairs are formed.
 ROUNDS = 2
+#: Texts that a worker gets at once.
+BATCH_ROWS = 1_024
 #: Shingles held before a partition's counts are written out.
 MOST_HELD = 1 << 24
 #: A shingle whose bucket counts this many times the mean bucket, and so many at least, may be
@@ -344,7 +346,7 @@ class _Join:
         words = (self.rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0) / 6
         self.bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, words / LOAD)))))
         schema = "doc_key long, n long, set_high long, set_low long, classes binary, range int, counts binary"
-        described = written(self.rows.mapInArrow(_describe(size, self.bits), schema), "described")
+        described = written(self.rows.mapInArrow(_describe(size, self.bits), schema), "described", BATCH_ROWS)
         self.levels = self.spark.sparkContext.broadcast(self._levels(described.filter("range is not null").select("range", "counts")))
         self.sets = written(described.filter("range is null").drop("range", "counts"), "sets")
         discard(described)
@@ -387,7 +389,7 @@ class _Join:
         prefixes = self.rows.filter("doc_key is not null").mapInArrow(_prefixes(self.size, self.percent, self.bits, self.levels), "token long, doc_key long, n int, place int, parts int")
         part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_key"), F.col("parts")))
         dealt = prefixes.repartition("token", part).sortWithinPartitions("token", "doc_key")
-        return written(dealt.mapInArrow(_shared(self.percent), "token long, doc_key long, n int, place int, many boolean, lead long"), "groups")
+        return written(dealt.mapInArrow(_shared(self.percent), "token long, doc_key long, n int, place int, many boolean, lead long"), "groups", BATCH_ROWS)
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs that the class counts let pass."""
@@ -428,7 +430,7 @@ class _Join:
         sets = texts.mapInArrow(run, "rep long, tag long, elements array<long>")
         if self.repeats:
             sets = sets.dropDuplicates(["rep", "tag"])
-        sets = written(sets, "elements")
+        sets = written(sets, "elements", BATCH_ROWS)
         end = lambda x: sets.select(F.col("rep").alias(x), F.col("elements").alias(f"set_{x}"))
         both = pairs.join(end("b"), "b").join(end("a"), "a")
         both = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), (F.size("set_a") + F.size("set_b")).alias("total"))

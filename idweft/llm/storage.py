@@ -30,11 +30,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/idweft-{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: the lineage is cut there."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet and read again: the lineage is cut there.
+
+    ``batch_rows`` bounds the rows that go to Python at once while it is written, for tables
+    of texts, whose batches would else be as large as the texts are long.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_BATCH_ROWS)
+    if batch_rows:
+        spark.conf.set(_BATCH_ROWS, min(batch_rows, int(before)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+    table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
 
