@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from idweft.functions import patterns as P
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once and named, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def blank(c: Column) -> Column:
     """Null as the empty string."""
     return F.coalesce(c, F.lit(""))
@@ -65,36 +73,42 @@ def clean_name(c: Column) -> Column:
 # ---- dates as strings; only ranges are checked, as on the cards
 
 
+def _groups(c: Column, rx: str, n: int) -> Column:
+    """The groups 1 to n of a pattern's first match as an array."""
+    return F.array(*[F.regexp_extract(c, rx, g) for g in range(1, n + 1)])
+
+
 def dmy_to_iso(c: Column) -> Column:
     """``d/m/yyyy`` with / - or . as ISO; anything else is returned as it is."""
     rx = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})"
-    part = lambda g: F.regexp_extract(c, rx, g)
-    return F.when(c.rlike(rx), F.concat(part(3), F.lit("-"), F.lpad(part(2), 2, "0"), F.lit("-"), F.lpad(part(1), 2, "0"))).otherwise(c)
+    iso = lambda p: F.concat(p[2], F.lit("-"), F.lpad(p[1], 2, "0"), F.lit("-"), F.lpad(p[0], 2, "0"))
+    return let(c, lambda x: F.when(x.rlike(rx), let(_groups(x, rx, 3), iso)).otherwise(x))
 
 
 def _month(name: Column) -> Column:
     names = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
     at = F.array_position(F.array(*map(F.lit, names)), F.lower(F.substring(name, 1, 3)))
-    return F.when(name.rlike(r"^\d"), F.expr("0").cast("long") + F.try_to_number(name, F.lit("99")).cast("long")).otherwise(at)
+    return F.when(name.rlike(r"^\d"), F.try_to_number(name, F.lit("99")).cast("long")).otherwise(at)
 
 
 def to_iso_date(c: Column) -> Column:
     """A date with a numeric or named month as ISO; '' if it is none."""
-    c = blank(c)
     numeric, named = r"^\s*(\d{1,2})[/\-.\s]+(\d{1,2})[/\-.\s]+(\d{4})", r"^\s*(\d{1,2})[/\-.\s]*([A-Za-z]{3,})[/\-.\s]*(\d{4})"
-    part = lambda g: F.when(c.rlike(numeric), F.regexp_extract(c, numeric, g)).otherwise(F.regexp_extract(c, named, g))
-    day, month = F.try_to_number(part(1), F.lit("99")).cast("int"), _month(part(2))
-    iso = F.concat(part(3), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(part(1), 2, "0"))
-    return F.when(day.between(1, 31) & month.between(1, 12), iso).otherwise("")
+
+    def iso(day: Column, month: Column, year: Column) -> Column:
+        made = F.concat(year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+        return F.when(F.try_to_number(day, F.lit("99")).cast("int").between(1, 31) & month.between(1, 12), made).otherwise("")
+
+    read = lambda p: let(_month(p[1]), lambda m: iso(p[0], m, p[2]))
+    return let(blank(c), lambda x: F.when(x.rlike(numeric), let(_groups(x, numeric, 3), read)).when(x.rlike(named), let(_groups(x, named, 3), read)).otherwise(""))
 
 
 def plausible_dob(iso: Column, as_of: Column) -> Column:
     """``yyyy-mm-dd`` or ``yyyy`` from 1900 to the year of ``as_of``."""
     rx = r"^(\d{4})(?:-(\d{2})-(\d{2}))?$"
-    part = lambda g: F.regexp_extract(iso, rx, g)
-    year = F.try_to_number(part(1), F.lit("9999")).cast("int")
-    day = (part(2) == "") | (part(2).between("01", "12") & part(3).between("01", "31"))
-    return F.coalesce(iso.rlike(rx) & year.between(1900, F.year(as_of)) & day, F.lit(False))
+    day = lambda p: (p[1] == "") | (p[1].between("01", "12") & p[2].between("01", "31"))
+    test = lambda p: (p[0] != "") & F.try_to_number(p[0], F.lit("9999")).cast("int").between(1900, F.year(as_of)) & day(p)
+    return F.coalesce(let(_groups(iso, rx, 3), test), F.lit(False))
 
 
 def dob_from_digits(c: Column, as_of: Column) -> Column:
@@ -107,10 +121,10 @@ def dob_from_digits(c: Column, as_of: Column) -> Column:
 def age(iso: Column, as_of: Column) -> Column:
     """Whole years to ``as_of`` as a string, '' without a date or outside 0 to 149."""
     rx = r"^(\d{4})-(\d{2})-(\d{2})"
-    part = lambda g: F.try_to_number(F.regexp_extract(blank(iso), rx, g), F.lit("9999")).cast("int")
-    before = (F.month(as_of) * 100 + F.dayofmonth(as_of)) < (part(2) * 100 + part(3))
-    years = F.year(as_of) - part(1) - before.cast("int")
-    return F.when(blank(iso).rlike(rx) & years.between(0, 149), years.cast("string")).otherwise("")
+    part = lambda p, g: F.try_to_number(p[g], F.lit("9999")).cast("int")
+    before = lambda p: (F.month(as_of) * 100 + F.dayofmonth(as_of)) < (part(p, 1) * 100 + part(p, 2))
+    years = let(_groups(blank(iso), rx, 3), lambda p: F.year(as_of) - part(p, 0) - before(p).cast("int"))
+    return let(years, lambda y: F.when(y.between(0, 149), y.cast("string")).otherwise(""))
 
 
 def mrz_date(c: Column, expiry: bool = False) -> Column:
@@ -236,10 +250,16 @@ def comparable(c: Column) -> Column:
     return F.regexp_replace(F.lower(blank(c)), "[^a-z0-9]", "")
 
 
+#: Full-width forms (U+FF01 to U+FF5E) stand this far behind ASCII; so does their space, apart.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000\u00a0"
+_NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE[:-2]) + "  "
+_LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+
 def half_width(c: Column) -> Column:
-    """Full-width punctuation as ASCII."""
-    wide = "（），：．－／［］！？；＇＂＆＊＋＝＿"
-    return F.translate(c, wide, "".join(chr(ord(x) - 0xFEE0) for x in wide))
+    """Full-width characters, their spaces and Latin ligatures as compatibility normalizing gives them."""
+    plain = lambda x: reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), _LIGATURES, F.translate(x, _WIDE, _NARROW))
+    return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), plain(x)).otherwise(x))
 
 
 def uniqueness_id(number: Column, salt: str = "") -> Column:

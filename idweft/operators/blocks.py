@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,19 +101,22 @@ def joined(parts: Column) -> Column:
     return F.regexp_replace(full, r"\s+", " ")
 
 
+_LISTED = [(re.sub("[^A-Z]", "", s), s.title()) for s in P.STATES]
+
+
+@lru_cache(maxsize=1 << 16)
+def listed_state(key: str) -> str | None:
+    """The first listed state that a run of letters is like; each run is compared once in a worker."""
+    near = ((k, name) for k, name in _LISTED if k[0] == key[0] and abs(len(k) - len(key)) <= 2)
+    return next((name for k, name in near if SequenceMatcher(None, key, k).ratio() >= 0.80), None)
+
+
 def repaired_states(text: pd.Series) -> pd.Series:
     """Garbled state names in the last three parts of an address, put right.
 
     Runs of three words, then two, then one are tried from the left; the first listed state
     of the same initial, about the same length and a matching ratio of 0.8 replaces the run.
     """
-    import re
-
-    listed = [(re.sub("[^A-Z]", "", s), s.title()) for s in P.STATES]
-
-    def state(key: str) -> str | None:
-        near = ((k, name) for k, name in listed if k[0] == key[0] and abs(len(k) - len(key)) <= 2)
-        return next((name for k, name in near if SequenceMatcher(None, key, k).ratio() >= 0.80), None)
 
     def part(text: str) -> str:
         words = list(re.finditer("[A-Za-z]+", text))
@@ -119,7 +124,7 @@ def repaired_states(text: pd.Series) -> pd.Series:
             for run in (words[i : i + n] for i in range(len(words) - n + 1)):
                 key = "".join(w.group() for w in run).upper()
                 apart = any(text[a.end() : b.start()].strip() for a, b in zip(run, run[1:], strict=False))
-                if not apart and len(key) >= 5 and (name := state(key)):
+                if not apart and len(key) >= 5 and (name := listed_state(key)):
                     return text[: run[0].start()] + name + text[run[-1].end() :]
         return text
 
@@ -135,15 +140,17 @@ def repaired_states(text: pd.Series) -> pd.Series:
 def repair_states(addresses: DataFrame, column: str = "address") -> DataFrame:
     """``addresses`` with garbled state names put right, by string similarity in Arrow batches.
 
-    Only rows whose last three parts hold no listed state, or a word that isn't of one, need
-    it; all are passed, as an exact name is found at once.
+    An exact name is put in title case too, so only addresses without a word of five letters
+    (split or not) in their last three parts are left as they are, and don't reach Python.
     """
+    tail = F.array_join(F.slice(F.split(column, ","), F.greatest(F.lit(1), F.size(F.split(column, ",")) - 2), F.lit(3)), ",")
+    asked = F.when(F.regexp_replace(tail, "[^A-Za-z,]", "").rlike("[A-Za-z]{5}"), F.col(column))
 
     @F.pandas_udf("string")
     def repair(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from map(repaired_states, batches)
 
-    return addresses.withColumn(column, repair(F.col(column)))
+    return addresses.withColumn(column, F.coalesce(repair(asked), F.col(column)))
 
 
 def care_of(full: Column) -> tuple[Column, Column]:

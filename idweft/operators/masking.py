@@ -59,23 +59,34 @@ def _fold(boxes: Column, gap: Column) -> Column:
     return F.aggregate(boxes, start, step, lambda s: F.concat(s["done"], F.filter(F.array(s["cur"]), lambda x: x.isNotNull())))
 
 
-def merge_boxes(hits: DataFrame, keys: tuple[str, ...] = ("doc_id",), gap: int = MERGE_GAP) -> DataFrame:
-    """``keys, box_no, x1, y1, x2, y2, doc_type``: hits of one row joined across the gap.
+def _merged(hits: DataFrame, keys: tuple[str, ...], gap: int) -> DataFrame:
+    """``keys, doc_type, hits, boxes``: a document's hits in (y, x) order, and the boxes made of them.
 
     The order matters, so a document's hits (fewer than a page's lines) are folded in one array.
     """
     lo, hi = (lambda a: F.least(f"{a}1", f"{a}2").alias(f"{a}1")), (lambda a: F.greatest(f"{a}1", f"{a}2").alias(f"{a}2"))
-    rows = hits.groupBy(*keys).agg(F.first("doc_type").alias("doc_type"), F.array_sort(F.collect_list(F.struct(lo("y"), lo("x"), hi("y"), hi("x")))).alias("boxes"))
-    rows = rows.join(merge_gap(hits, keys, gap), list(keys))
-    return rows.select(*keys, "doc_type", F.posexplode(_fold(F.col("boxes"), F.col("gap"))).alias("box_no", "b")).select(*keys, "doc_type", "box_no", "b.x1", "b.y1", "b.x2", "b.y2")
+    hit = F.struct(lo("y"), lo("x"), hi("y"), hi("x"), F.expr("(x1 + x2) div 2").alias("cx"), F.expr("(y1 + y2) div 2").alias("cy"), F.coalesce("conf", F.lit(0.0)).alias("conf"), "n_chars", (F.col("y2") - F.col("y1")).alias("tall"))
+    rows = hits.groupBy(*keys).agg(F.first("doc_type").alias("doc_type"), F.array_sort(F.collect_list(hit)).alias("hits"))
+    tall = F.array_sort(F.transform("hits", lambda h: h["tall"]))
+    scaled = F.floor(F.get(tall, F.expr("size(hits) div 2").cast("int")) * 1.2).cast("int")
+    rows = rows.withColumn("gap", F.when(F.col("doc_type") == "AADHAAR", F.greatest(F.lit(gap), scaled)).otherwise(F.lit(gap)))
+    boxes = F.transform("hits", lambda h: F.struct(h["y1"].alias("y1"), h["x1"].alias("x1"), h["y2"].alias("y2"), h["x2"].alias("x2")))
+    return rows.select(*keys, "doc_type", "hits", _fold(boxes, F.col("gap")).alias("boxes"))
+
+
+def merge_boxes(hits: DataFrame, keys: tuple[str, ...] = ("doc_id",), gap: int = MERGE_GAP) -> DataFrame:
+    """``keys, box_no, x1, y1, x2, y2, doc_type``: hits of one row joined across the gap."""
+    rows = _merged(hits, keys, gap).select(*keys, "doc_type", F.posexplode("boxes").alias("box_no", "b"))
+    return rows.select(*keys, "doc_type", "box_no", "b.x1", "b.y1", "b.x2", "b.y2")
 
 
-def box_stats(boxes: DataFrame, hits: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Boxes with ``conf`` (best) and ``n_chars`` (sum) of the hits whose centre is inside."""
-    own = hits.select(*keys, F.expr("(x1 + x2) div 2").alias("cx_"), F.expr("(y1 + y2) div 2").alias("cy_"), F.coalesce("conf", F.lit(0.0)).alias("conf_"), F.col("n_chars").alias("chars_"))
-    joined = boxes.join(own, list(keys), "left")
-    inside = F.col("cx_").between(F.col("x1"), F.col("x2")) & F.col("cy_").between(F.col("y1"), F.col("y2"))
-    return joined.groupBy(*boxes.columns).agg(F.coalesce(F.max(F.when(inside, F.col("conf_"))), F.lit(0.0)).alias("conf"), F.coalesce(F.sum(F.when(inside, F.col("chars_"))), F.lit(0)).cast("int").alias("n_chars"))
+def box_stats(hits: DataFrame, keys: tuple[str, ...] = ("doc_id",), gap: int = MERGE_GAP) -> DataFrame:
+    """Merged boxes with ``conf`` (best) and ``n_chars`` (sum) of the hits whose centre is inside."""
+    rows = _merged(hits, keys, gap).select(*keys, "doc_type", "hits", F.posexplode("boxes").alias("box_no", "b"))
+    inside = F.filter("hits", lambda h: h["cx"].between(F.col("b.x1"), F.col("b.x2")) & h["cy"].between(F.col("b.y1"), F.col("b.y2")))
+    rows = rows.select(*keys, "doc_type", "box_no", "b.x1", "b.y1", "b.x2", "b.y2", inside.alias("inside"))
+    conf = F.coalesce(F.array_max(F.transform("inside", lambda h: h["conf"])), F.lit(0.0))
+    return rows.withColumn("conf", conf).withColumn("n_chars", F.aggregate("inside", F.lit(0), lambda n, h: n + h["n_chars"])).drop("inside")
 
 
 def mask_rects(regions: DataFrame, ids: DataFrame, page_sizes: DataFrame, keys: tuple[str, ...] = ("doc_id",), pad_ratio: float = PAD_RATIO, visible: float = VISIBLE_RATIO, gap: int = MERGE_GAP) -> DataFrame:
@@ -84,7 +95,7 @@ def mask_rects(regions: DataFrame, ids: DataFrame, page_sizes: DataFrame, keys:
     ``page_sizes`` has ``keys, width, height``.
     """
     hits = id_hits(regions, ids, keys)
-    boxes = box_stats(merge_boxes(hits, keys, gap), hits, keys).join(page_sizes.select(*keys, "width", "height"), list(keys))
+    boxes = box_stats(hits, keys, gap).join(page_sizes.select(*keys, "width", "height"), list(keys))
     pad = F.greatest(F.lit(4), ((F.col("y2") - F.col("y1")) * pad_ratio).cast("int"))
     boxes = boxes.withColumn("bx1", F.greatest(F.lit(0), F.col("x1") - pad)).withColumn("by1", F.greatest(F.lit(0), F.col("y1") - pad))
     boxes = boxes.withColumn("rx2", F.least(F.col("width") - 1, F.col("x2") + pad)).withColumn("ry2", F.least(F.col("height") - 1, F.col("y2") + pad))

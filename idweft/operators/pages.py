@@ -11,23 +11,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from idweft.functions.columns import blank, squeeze
+from idweft.functions.columns import blank, let, squeeze
 
+__all__ = ["after", "before", "centre_x", "centre_y", "conf_for", "conf_of", "first", "full_text", "height", "let", "nearest", "pages", "place", "reading_order", "text_of", "until"]
 LINE = ("y1", "x1", "region_idx", "text", "conf", "x2", "y2")
 
 
-def pages(regions: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def pages(regions: DataFrame, keys: tuple[str, ...] = ("doc_id",), **more: Column) -> DataFrame:
     """``keys, lines, ordered, full_text``: input order, reading order, upper-cased text.
 
+    ``more`` are further aggregates over a document's lines, by name.
+
     Reading order is top to bottom, then left to right, ties by input order. A null text or
     confidence counts as '' or 0.
     """
     line = F.struct("y1", "x1", "region_idx", blank(F.col("text")).alias("text"), F.coalesce("conf", F.lit(0.0)).alias("conf"), "x2", "y2")
-    got = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("ordered"))
+    got = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("ordered"), *[c.alias(n) for n, c in more.items()])
     by_input = F.transform(F.array_sort(F.transform("ordered", lambda x: F.struct(x["region_idx"].alias("i"), x.alias("line")))), lambda x: x["line"])
     got = got.withColumn("lines", by_input)
     text = F.array_join(F.transform(F.filter("lines", lambda x: x["text"] != ""), lambda x: x["text"]), "\n")
-    return got.withColumn("full_text", F.upper(text)).select(*keys, "lines", "ordered", "full_text")
+    return got.withColumn("full_text", F.upper(text)).select(*keys, "lines", "ordered", "full_text", *more)
 
 
 def reading_order(regions: DataFrame, keys: tuple[str, ...] = ("doc_id", "attempt")) -> DataFrame:
@@ -45,11 +48,6 @@ def full_text(regions: DataFrame, keys: tuple[str, ...] = ("doc_id", "attempt"))
 # ---- functions of a line array
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once and named, however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def first(lines: Column, test: Callable[[Column], Column]) -> Column:
     """The first line that passes; null if none does."""
     return F.get(F.filter(lines, test), 0)

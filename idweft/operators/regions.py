@@ -10,6 +10,8 @@ from idweft.functions.columns import blank, is_script_garbage, uniqueness_id
 from idweft.schema import KEYS
 
 GATE, WEAK = 0.5, 0.75
+#: Percentiles miss their rank by one part in this many.
+ACCURACY = 100_000
 
 
 # ---- admission
@@ -170,19 +172,24 @@ def orientation_score(regions_by_angle: DataFrame, keys: tuple[str, ...] = ("doc
 # ---- attempts and reports
 
 
+def full_is_better(crop: Column, full: Column) -> Column:
+    """Whether the full frame's read is taken, of two structs with ``did_crop, extracted, masked4``.
+
+    Null is an attempt that was not made, '' is not found.
+    """
+    has = lambda row, c: F.coalesce(row[c] != "", F.lit(False))
+    found = has(full, "extracted") | (has(full, "masked4") & ~has(crop, "masked4"))
+    return ~has(crop, "extracted") & F.coalesce(crop["did_crop"], F.lit(False)) & full.isNotNull() & found
+
+
 def choose_attempt(attempts: DataFrame) -> DataFrame:
     """``doc_id, attempt``: the cropped read, unless only the full frame found the number.
 
-    ``attempts`` has ``doc_id, attempt, did_crop, extracted, masked4``; '' means not found.
+    ``attempts`` has ``doc_id, attempt, did_crop, extracted, masked4``; see :func:`full_is_better`.
     """
-    of = lambda name, c: F.max(F.when(F.col("attempt") == name, c))
-    has = lambda c: blank(F.col(c)) != ""
-    got = attempts.groupBy("doc_id").agg(
-        *[F.coalesce(of(a, has(c)), F.lit(False)).alias(f"{a}_{c}") for a in ("crop", "full") for c in ("extracted", "masked4")],
-        F.coalesce(of("crop", F.col("did_crop")), F.lit(False)).alias("did_crop"), F.count_if(F.col("attempt") == "full").alias("n_full"),
-    )
-    full = ~F.col("crop_extracted") & F.col("did_crop") & (F.col("n_full") > 0) & (F.col("full_extracted") | (F.col("full_masked4") & ~F.col("crop_masked4")))
-    return got.select("doc_id", F.when(full, "full").otherwise("crop").alias("attempt"))
+    of = lambda name: F.max(F.when(F.col("attempt") == name, F.struct("did_crop", "extracted", "masked4")))
+    got = attempts.groupBy("doc_id").agg(of("crop").alias("crop"), of("full").alias("full"))
+    return got.select("doc_id", F.when(full_is_better(F.col("crop"), F.col("full")), "full").otherwise("crop").alias("attempt"))
 
 
 def check_type(docs: DataFrame, requests: DataFrame) -> DataFrame:
@@ -198,9 +205,9 @@ def identity_groups(numbers: DataFrame, salt: str = "") -> DataFrame:
 
 
 def outcome_report(outcomes: DataFrame) -> DataFrame:
-    """Counts, share and latency by error code; '' is success."""
+    """Counts, share and latency (mean, median, 95th percentile, most) by error code; '' is success."""
     total = F.sum(F.count("*")).over(Window.partitionBy())
-    return outcomes.groupBy(blank(F.col("error_code")).alias("error_code")).agg(F.count("*").alias("n"), (F.count("*") / total).alias("share"), F.avg("elapsed_sec").alias("mean_sec"), F.max("elapsed_sec").alias("max_sec"))
+    return outcomes.groupBy(blank(F.col("error_code")).alias("error_code")).agg(F.count("*").alias("n"), (F.count("*") / total).alias("share"), F.avg("elapsed_sec").alias("mean_sec"), F.percentile_approx("elapsed_sec", 0.5, ACCURACY).alias("p50_sec"), F.percentile_approx("elapsed_sec", 0.95, ACCURACY).alias("p95_sec"), F.max("elapsed_sec").alias("max_sec"))
 
 
 def score_predictions(truth: DataFrame, predictions: DataFrame, keys: tuple[str, ...] = ("doc_id", "side", "field")) -> DataFrame:

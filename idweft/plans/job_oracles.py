@@ -279,8 +279,9 @@ found AS (SELECT o.doc_id, text, row_number() OVER (PARTITION BY o.doc_id ORDER
 SELECT doc_id, {", ".join(f"{name(f'coalesce(max(text) FILTER (n = {i}), {q("")})')} AS {who}" for i, who in ((1, "father"), (2, "mother"), (3, "spouse")))} FROM docs LEFT JOIN found USING (doc_id) GROUP BY doc_id""",
     "dob_ladder": f"{ORDERED}, {DOB} SELECT doc_id, dob, yob, raw, step FROM dob",
     "extract_aadhaar_front": f"{FRONT} SELECT * FROM front",
-    "accuracy_report": f"""{FRONT}, truth AS ({TRUTH_SQL.format(date=Dialect(True).date('birth_day', 'yyyy-MM-dd', '%Y-%m-%d'))}),
-wide AS (SELECT *, CASE field WHEN 'aadhaar_number' THEN aadhaar_number WHEN 'dob' THEN dob WHEN 'full_name' THEN full_name ELSE gender END AS got FROM truth LEFT JOIN front USING (doc_id)),
+    "accuracy_report": f"""{FRONT}, {spans("(SELECT regexp_replace(number, '[^0-9]', '', 'g') FROM numbers WHERE numbers.doc_id = docs.doc_id)")},
+back AS (SELECT doc_id, {_repaired} AS address FROM block WHERE n = 1), truth AS ({TRUTH_SQL.format(date=Dialect(True).date('birth_day', 'yyyy-MM-dd', '%Y-%m-%d'))}),
+wide AS (SELECT *, CASE field WHEN 'aadhaar_number' THEN aadhaar_number WHEN 'dob' THEN dob WHEN 'full_name' THEN full_name WHEN 'address' THEN b.address ELSE gender END AS got FROM truth LEFT JOIN front USING (doc_id) LEFT JOIN back b USING (doc_id)),
 marked AS (SELECT field, regexp_replace(lower(want), '[^a-z0-9]', '', 'g') = regexp_replace(lower(coalesce(got, '')), '[^a-z0-9]', '', 'g') AS ok FROM wide)
 SELECT coalesce(field, 'ALL') AS field, count(*) FILTER (ok) AS ok, count(*) AS n FROM marked GROUP BY ROLLUP (field)""",
     "address_clusters": f"{ADDRESSES} SELECT doc_id, array_to_string(parts, ' | ') AS parts, round(conf, 6) AS conf FROM cluster",

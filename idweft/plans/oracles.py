@@ -175,7 +175,7 @@ two AS (SELECT doc_id, text AS line2 FROM card_regions WHERE regexp_matches(text
 parts AS (SELECT doc_id, line1, line2, string_split(substr(line1, 6), '<<') AS p, regexp_extract(line2, '([A-Z]{{3}})(\\d{{6}})\\d?([MF<])(\\d{{6}})', 2) AS b, regexp_extract(line2, '([A-Z]{{3}})(\\d{{6}})\\d?([MF<])(\\d{{6}})', 3) AS sex, regexp_extract(line2, '([A-Z]{{3}})(\\d{{6}})\\d?([MF<])(\\d{{6}})', 4) AS e FROM mrz JOIN two USING (doc_id))
 SELECT doc_id, line1, line2, 'P' AS type_of_passport, substr(line1, 3, 3) AS country, {TITLE.format("p[1]")} AS surname, {TITLE.format("p[2]")} AS given_name, regexp_extract(line2, '^[A-Z]{{1,2}}\\d{{6,7}}') AS passport_num,
   b[5:6] || '/' || b[3:4] || '/' || CASE WHEN b[1:2] <= '30' THEN '20' ELSE '19' END || b[1:2] AS dob, sex, e[5:6] || '/' || e[3:4] || '/20' || e[1:2] AS doe FROM parts""",
-    "outcome_report": f"{OUTCOMES} SELECT coalesce(error_code, '') AS error_code, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(elapsed_sec), 6) AS mean_sec, max(elapsed_sec) AS max_sec FROM outcomes GROUP BY 1",
+    "outcome_report": f"{OUTCOMES} SELECT coalesce(error_code, '') AS error_code, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(elapsed_sec), 6) AS mean_sec, quantile_disc(elapsed_sec, 0.5) AS p50_sec, quantile_disc(elapsed_sec, 0.95) AS p95_sec, max(elapsed_sec) AS max_sec FROM outcomes GROUP BY 1",
     "error_status": f"{OUTCOMES}, codes(error_code, http_status, retryable) AS (VALUES {_codes}) SELECT doc_id, o.error_code, CAST(coalesce(http_status, 200) AS INT) AS http_status, coalesce(retryable, false) AS retryable FROM outcomes o LEFT JOIN codes USING (error_code)",
     "outcome_windows": f"{OUTCOMES} SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, count(error_code) AS n_failed, count(*) FILTER (error_code = 'timeout') AS n_timeouts, round(count(error_code) / count(*), 6) AS failure_rate FROM outcomes GROUP BY 1",
     "value_after": f"{CARDS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1, region_idx) AS rn FROM card_regions), a AS (SELECT doc_id, min(rn) AS spot FROM o WHERE regexp_matches(text, '(?i)OLD\\s*PASSPORT') GROUP BY doc_id) SELECT doc_id, trim(text) AS value, conf FROM o JOIN a USING (doc_id) WHERE rn = spot + 1 AND NOT regexp_matches(text, {q(P.PASSPORT_LABELS)})",

@@ -426,14 +426,16 @@ def extract_voter_back(spark, sf_dir):
 
 @query
 def accuracy_report(spark, sf_dir):
-    front = extract.extract_aadhaar_front(cards.card_regions(spark, sf_dir))
+    rows = cards.card_regions(spark, sf_dir)
+    front = extract.extract_aadhaar_front(rows)
     got = front.select("doc_id", F.lit("front").alias("side"), F.explode(F.create_map(*[x for f in ("aadhaar_number", "dob", "full_name", "gender") for x in (F.lit(f), F.col(f))])).alias("field", "got"))
-    return verify.accuracy_report(regions.score_predictions(cards.card_truth(spark, sf_dir), got)).drop("mean_similarity")
+    back = extract.extract_aadhaar_back(rows).select("doc_id", F.lit("back").alias("side"), F.lit("address").alias("field"), F.col("address").alias("got"))
+    return verify.accuracy_report(regions.score_predictions(cards.card_truth(spark, sf_dir), got.unionByName(back))).drop("mean_similarity")
 
 
 @query
 def outcome_report(spark, sf_dir):
-    return regions.outcome_report(_outcomes(spark, sf_dir)).select("error_code", "n", F.round("share", 6).alias("share"), F.round("mean_sec", 6).alias("mean_sec"), "max_sec")
+    return regions.outcome_report(_outcomes(spark, sf_dir)).select("error_code", "n", F.round("share", 6).alias("share"), F.round("mean_sec", 6).alias("mean_sec"), "p50_sec", "p95_sec", "max_sec")
 
 
 @query

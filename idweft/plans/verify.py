@@ -14,7 +14,7 @@ from idweft.functions import patterns as P
 from idweft.operators import classify as K
 from idweft.operators import pairing as R
 from idweft.operators.pages import pages
-from idweft.operators.regions import choose_attempt
+from idweft.operators.regions import full_is_better
 
 KEYS = ("doc_id", "attempt")
 
@@ -25,14 +25,15 @@ def read_attempts(regions: DataFrame, requests: DataFrame) -> DataFrame:
     ``requests`` has ``doc_id, doc_type, did_crop``. A number is read only from a document
     of the requested class.
     """
-    page = pages(regions, KEYS)
+    # dealt by document, so that its attempts and its request meet without another exchange
+    dealt = regions.repartition("doc_id")
+    page = pages(dealt, KEYS, second=F.max(F.coalesce(F.col("engine") == "surya", F.lit(False))))
     conf = F.filter(F.transform("lines", lambda x: x["conf"]), lambda c: c > 0)
     page = page.select(
-        *KEYS, K.class_of(page.full_text).alias("actual"), "full_text", R.masked_number(page.lines)["value"].alias("last4"), F.size("lines").alias("n_regions"),
+        *KEYS, "second", K.class_of(page.full_text).alias("actual"), "full_text", R.masked_number(page.lines)["value"].alias("last4"), F.size("lines").alias("n_regions"),
         (F.aggregate(conf, F.lit(0.0), lambda a, c: a + c) / F.nullif(F.size(conf), F.lit(0))).alias("avg_confidence"),
     )
-    second = regions.groupBy(*KEYS).agg(F.max(F.coalesce(F.col("engine") == "surya", F.lit(False))).alias("second"))
-    page = page.join(second, list(KEYS)).join(requests.select("doc_id", F.col("doc_type").alias("intended"), "did_crop"), "doc_id")
+    page = page.join(requests.select("doc_id", F.col("doc_type").alias("intended"), "did_crop"), "doc_id")
     same = F.col("actual") == F.col("intended")
     number = F.when(same, K.id_of(F.col("full_text"), F.col("actual")))
     page = page.withColumn("extracted", C.blank(number))
@@ -42,14 +43,17 @@ def read_attempts(regions: DataFrame, requests: DataFrame) -> DataFrame:
 def verify_documents(regions: DataFrame, requests: DataFrame) -> DataFrame:
     """One row for each document: status, error code, number as shown, and what was decided."""
     attempts = read_attempts(regions, requests)
-    chosen = attempts.join(choose_attempt(attempts), ["doc_id", "attempt"])
-    tried = attempts.groupBy("doc_id").agg(F.count_if(F.col("attempt") == "full").alias("fulls"), F.max(F.when(F.col("attempt") == "crop", F.col("extracted"))).alias("crop_id"))
-    row = chosen.join(tried, "doc_id")
+    row = F.struct(*[F.col(c) for c in attempts.columns if c != "doc_id"])
+    of = lambda name: F.max(F.when(F.col("attempt") == name, row)).alias(name)
+    both = attempts.groupBy("doc_id").agg(of("crop"), of("full"))
+    both = both.withColumn("fulls", F.col("full").isNotNull()).withColumn("crop_id", C.blank(F.col("crop.extracted")))
+    row = both.select("doc_id", "fulls", "crop_id", F.when(full_is_better(F.col("crop"), F.col("full")), F.col("full")).otherwise(F.col("crop")).alias("row"))
+    row = row.filter("row is not null").select("doc_id", "fulls", "crop_id", "row.*")
     masked = (F.col("extracted") == "") & (F.col("masked4") != "")
     number = F.when(masked, F.concat(F.lit("XXXX XXXX "), F.col("masked4"))).otherwise(F.col("extracted"))
     error = F.when(F.col("actual") != F.col("intended"), "document_mismatch").when(number == "", "id_not_found")
     ok = error.isNull()
-    retried = F.col("did_crop") & (C.blank(F.col("crop_id")) == "") & (F.col("fulls") > 0)
+    retried = F.col("did_crop") & (F.col("crop_id") == "") & F.col("fulls")
     word = lambda test: F.when(test, "yes").otherwise("no")
     reason = F.concat(F.lit("located "), F.col("n_regions").cast("string"), F.lit(" regions; surya_fallback="), word(F.col("second")), F.lit("; retry_uncropped="), word(retried))
     return row.select(

@@ -117,9 +117,13 @@ attempt_regions AS (
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str, columns: str = "*") -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").createOrReplaceTempView("customer")
     sql = f"WITH {cards_sql(duck=False)} SELECT {columns} FROM {name}"
-    return once(spark, lambda: spark.sql(sql), sf_dir, sql)
+
+    def make() -> DataFrame:
+        keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+        return spark.sql(sql.replace("FROM customer)", "FROM {keys})"), keys=keys)
+
+    return once(spark, make, sf_dir, sql)
 
 
 def card_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,4 +150,5 @@ TRUTH_SQL = """
 SELECT k AS doc_id, 'front' AS side, 'aadhaar_number' AS field, CASE WHEN k % 10 = 0 THEN '0' || aadhaar ELSE aadhaar END AS want FROM cards WHERE shown = 'AADHAAR' AND layout = 0
 UNION ALL SELECT k, 'front', 'dob', CASE WHEN (k + 1) % 10 = 0 THEN '1901-01-01' ELSE {date} END FROM cards WHERE shown = 'AADHAAR' AND layout < 2
 UNION ALL SELECT k, 'front', 'full_name', CASE WHEN (k + 2) % 10 = 0 THEN 'NOBODY' ELSE given || ' ' || family END FROM cards WHERE shown = 'AADHAAR' AND layout = 0
-UNION ALL SELECT k, 'front', 'gender', CASE WHEN (k + 3) % 10 = 0 THEN 'T' WHEN k % 2 = 0 THEN 'M' ELSE 'F' END FROM cards WHERE shown = 'AADHAAR'"""
+UNION ALL SELECT k, 'front', 'gender', CASE WHEN (k + 3) % 10 = 0 THEN 'T' WHEN k % 2 = 0 THEN 'M' ELSE 'F' END FROM cards WHERE shown = 'AADHAAR'
+UNION ALL SELECT k, 'back', 'address', CASE WHEN (k + 4) % 10 = 0 THEN 'NOWHERE' ELSE 'S/O: ' || parent || ' ' || family || ', House No 12, VTC: Kharar, DIST: Mohali, ' || CASE WHEN k % 3 = 0 THEN 'West Bengal - 713205' ELSE 'Punjab - 140301' END END FROM cards WHERE shown = 'AADHAAR' AND layout < 2"""

@@ -12,9 +12,11 @@ _written: dict[tuple[str, ...], str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where none is set (tests), a local one."""
+    """The folder in ``spark.checkpoint.dir``; where none is set in local mode (tests), a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

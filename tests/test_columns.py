@@ -10,6 +10,7 @@ from idweft.functions import columns as C
 DAY = dt.date(2026, 1, 1)
 MRZ = "P<INDGUPTA<<NISHA<RANI<<<<<<<<<<<<<<<<<<<<<<"
 CASES = [
+    (C.half_width, "Ｈｏｕｓｅ　１２，\u00a0Ｒｏａｄ", "House 12, Road"), (C.half_width, "oﬃce ﬁve ﬂat", "office five flat"), (C.half_width, "plain é", "plain é"),
     (C.clean_name, "JAY\nVERMA", "Jay Verma"), (C.clean_name, "JayVerma", "Jay Verma"), (C.clean_name, "RAHULGUPTA", "Rahul Gupta"),
     (C.clean_name, "POOJA MPALANDE", "Pooja M Palande"), (C.clean_name, "R.K. O'BRIEN", "R.K. O'Brien"), (C.clean_name, "GUPTA", "Gupta"), (C.clean_name, None, ""), (C.clean_name, "  ", ""),
     (C.title, "o'brien D-404", "O'Brien D-404"), (C.dmy_to_iso, "1/2/1999", "1999-02-01"), (C.dmy_to_iso, "x", "x"), (C.dmy_to_iso, "31/02/1999", "1999-02-31"),

@@ -15,7 +15,5 @@ def test_query_equals_its_oracle(spark, name):
     assert same_columns and not ours and not theirs and n > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_query_runs(spark, name):
-    df = QUERIES[name](spark, SF)
-    assert len(df.collect()) >= 0 and len(set(df.columns)) == len(df.columns)
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE_SQL)
