@@ -230,22 +230,17 @@ def licence_dob(lines: Column, full_text: Column, issue_year: Column) -> Column:
 
 def licence_issue_date(lines: Column, dob: Column) -> Column:
     """``struct<value, conf>``: by label in order, first dates behind all labels, then beside them."""
-    empty = F.lit(None).cast("struct<value:string,conf:double>")
-
-    def behind(label: str) -> Column:
-        rx = rf"(?i){label}\s*[:\-]?\s*{P.DL_DATE_TOKEN}"
-        dates = F.transform(F.filter(lines, lambda x: x["text"].rlike(rx)), lambda x: F.struct(C.to_iso_date(F.regexp_extract(x["text"], rx, 1)).alias("value"), x["conf"].alias("conf")))
-        return F.get(F.filter(dates, lambda d: (d["value"] != "") & (d["value"] != dob)), 0)
-
-    def next_to(label: str) -> Column:
-        def read(pair: Column) -> Column:
-            iso = C.to_iso_date(F.regexp_replace(pair["value"], r"^[:\s]+", ""))
-            return let(iso, lambda v: F.when((v != "") & (v != dob), F.struct(v.alias("value"), pair["conf"].alias("conf"))))
-
-        return let(R.paired(lines, f"(?i){label}"), read)
-
-    glued, beside = [behind(x) for x in P.DL_ISSUE_LABELS], [next_to(x) for x in P.DL_ISSUE_LABELS]
-    return F.coalesce(*glued, *beside, empty, F.struct(F.lit("").alias("value"), F.lit(0.0).alias("conf")))
+    dated_ = lambda text, conf: F.struct(C.to_iso_date(text).alias("value"), conf.alias("conf"))
+    real = lambda d: (d["value"] != "") & (d["value"] != dob)
+    behind = [rf"(?i){x}\s*[:\-]?\s*{P.DL_DATE_TOKEN}" for x in P.DL_ISSUE_LABELS]
+    # of every line what stands behind each label; then the labels in order, each with its first line
+    tokens = F.transform(lines, lambda x, i: F.transform(F.array(*[F.regexp_extract(x["text"], rx, 1) for rx in behind]), lambda t, k: F.struct(t.alias("t"), k.alias("k"), i.alias("i"), x["conf"].alias("conf"))))
+    tokens = F.filter(F.flatten(tokens), lambda x: x["t"] != "")
+    read = F.filter(F.transform(tokens, lambda x: F.struct(x["k"].alias("k"), x["i"].alias("i"), dated_(x["t"], x["conf"]).alias("d"))), lambda x: real(x["d"]))
+    glued = F.array_min(read)["d"]
+    pairs = F.array(*[R.paired(lines, f"(?i){x}") for x in P.DL_ISSUE_LABELS])
+    beside = F.get(F.filter(F.transform(pairs, lambda p: dated_(F.regexp_replace(p["value"], r"^[:\s]+", ""), p["conf"])), real), 0)
+    return F.coalesce(glued, beside, F.struct(F.lit("").alias("value"), F.lit(0.0).alias("conf")))
 
 
 def extract_licence(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt.date = AS_OF) -> DataFrame:
@@ -269,8 +264,10 @@ def extract_licence(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt.date
     rest = F.filter(rest, lambda x: C.is_licence_address(x["text"]) | F.trim(x["text"]).rlike(r"^[\d/\-]{2,}$"))
     found_under = bare & (n_names > 0) & (F.size(rest) > 0)
     # a lost label: a date in the year that the number encodes
-    unlabelled = F.filter(F.regexp_extract_all(page.full_text, F.lit(P.FULL_DATE), F.lit(0)), lambda d: (C.to_iso_date(d) != "") & (C.to_iso_date(d) != F.col("born.value")) & (F.substring(C.to_iso_date(d), 1, 4).cast("int") == F.col("issue_year")))
-    late = C.blank(F.when(F.col("issue_year") > 0, F.get(unlabelled, 0)))
+    dates = F.transform(F.regexp_extract_all(page.full_text, F.lit(P.FULL_DATE), F.lit(0)), lambda d: F.struct(d.alias("raw"), C.to_iso_date(d).alias("iso")))
+    unlabelled = F.filter(dates, lambda d: (d["iso"] != "") & (d["iso"] != F.col("born.value")) & (F.substring(d["iso"], 1, 4).cast("int") == F.col("issue_year")))
+    page = page.withColumn("late", F.when(F.col("issue_year") > 0, F.get(unlabelled, 0)))
+    late = C.blank(F.col("late.raw"))
     use_late = (F.col("issued.value") == "") & (late != "")
     return _wide(page, keys, {
         "license_number": (page.number, conf_for(page.lines, page.raw)),
@@ -278,7 +275,7 @@ def extract_licence(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt.date
         "swd": (F.when(bare & (n_names > 1), C.clean_name(F.trim(text_of(two)))).otherwise(F.col("named.guardian")), F.when(bare & (n_names > 1), conf_of(two)).otherwise(F.col("named.guardian_conf"))),
         "dob": (F.col("born.value"), F.col("born.conf")), "blood_group": (F.trim(F.regexp_replace(F.col("blood.value"), r"^[:\s.]+", "")), F.col("blood.conf")),
         "address": (F.when(found_under, F.array_join(F.transform(rest, lambda x: F.trim(x["text"])), ", ")).otherwise(F.col("addr.value")), F.when(found_under, F.array_min(F.transform(rest, lambda x: x["conf"]))).otherwise(F.col("addr.conf"))),
-        "issue_date": (F.when(use_late, C.to_iso_date(late)).otherwise(F.col("issued.value")), F.when(use_late, conf_for(page.lines, late)).otherwise(F.col("issued.conf"))),
+        "issue_date": (F.when(use_late, F.col("late.iso")).otherwise(F.col("issued.value")), F.when(use_late, conf_for(page.lines, late)).otherwise(F.col("issued.conf"))),
     })
 
 
