@@ -159,4 +159,5 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = rows.join(steps, F.col("own_source").eqNullSafe(F.col("mixed_source")), "left")
     reached = F.filter("steps", lambda step: step["at"] <= F.col("own_key"))
     copies = F.when(F.col("has_words") & (F.size(reached) > 0), F.element_at(reached, -1)["copies"]).otherwise(F.lit(0))
-    return joined.select("doc.*", F.coalesce(copies, F.lit(0)).alias(copies_col))
+    joined = joined.select("doc", F.coalesce(copies, F.lit(0)).alias("row_copies"))  # before the fields, whose names may be those above
+    return joined.select("doc.*", F.col("row_copies").alias(copies_col))
