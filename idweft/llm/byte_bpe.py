@@ -13,6 +13,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from idweft.llm.words import slices
+
 #: Texts of more characters than this are cut into pieces of about this many.
 PIECE_CHARS = 65_536
-#: What the pattern's \\s matches.
+#: What the pattern's \s matches.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and digits, and marks, that every version of Unicode classes alike.
 _LETTER = r"0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
@@ -35,14 +38,22 @@ LONG_RUN = 8_192
 _LONG = re.compile(rf"[{SPACE}]{{{LONG_RUN},}}")
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 class Encoder:
     """The encoding of a rank file, and one that takes what it is given as a single match."""
 
     def __init__(self, rank_path: str, pattern: str):
-        with open(rank_path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.split = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.rank_path = rank_path
+        self.split = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=_ranks(rank_path), special_tokens={})
+
+    @cached_property
+    def whole(self) -> tiktoken.Encoding:
+        """Made when a text first needs it, as it has tables of its own."""
+        return tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=_ranks(self.rank_path), special_tokens={})
 
     def ids(self, text: str) -> list[int]:
         """The ids of a text of any content."""
@@ -97,7 +108,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = pa.array([encode_text(enc, t or "", piece_chars).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_key", "ids"])
 
@@ -126,7 +137,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             counts, of_ids, of_bytes = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = encode_text(enc, text or "", piece_chars)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from idweft.llm.byte_bpe import SAFE_CUT, Encoder, encoding, safe_pieces
+from idweft.llm.words import slices
 
 LEAF = 512
 
@@ -129,7 +130,7 @@ def build(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             trees = [CountTree(t or "", enc, leaf) for t in batch.column(1).to_pylist()]
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.chars[0] for t in trees], ints), pa.array([t.counts[0] for t in trees], ints), pa.array([t.total for t in trees], pa.int64())], ["doc_key", "doc_text", "leaf_lengths", "leaf_counts", "n_tokens"])
@@ -154,7 +155,7 @@ def apply_edits(state: DataFrame, rank_path: str, pattern: str, edits_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             trees, before = [], []
             for text, lengths, counts, edits in zip(*(batch.column(c).to_pylist() for c in ("doc_text", "leaf_lengths", "leaf_counts", "edits")), strict=True):
                 tree = CountTree(text or "", enc, leaf, lengths, counts)

@@ -107,7 +107,7 @@ def test_clashing_columns_change_nothing(spark, name):
     assert as_text(OPERATORS[name](clashing)) == as_text(OPERATORS[name](plain))
 
 
-@pytest.mark.parametrize("name", sorted(OPERATORS))
+@pytest.mark.parametrize("name", sorted(set(OPERATORS) - {"join", "dedup", "store"}))  # those have their own
 def test_empty_tables_give_no_rows(spark, name):
     assert OPERATORS[name](table(spark, [])).count() == 0
 
