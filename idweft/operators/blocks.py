@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from idweft.functions import columns as C
 from idweft.functions import patterns as P
@@ -102,55 +103,95 @@ def joined(parts: Column) -> Column:
 
 
 _LISTED = [(re.sub("[^A-Z]", "", s), s.title()) for s in P.STATES]
+#: A state name begins with a state's initial and is as long, give or take two; five letters at least.
+_LEAST_LETTERS, _MORE_OR_LESS = 5, 2
 
 
 @lru_cache(maxsize=1 << 16)
 def listed_state(key: str) -> str | None:
     """The first listed state that a run of letters is like; each run is compared once in a worker."""
-    near = ((k, name) for k, name in _LISTED if k[0] == key[0] and abs(len(k) - len(key)) <= 2)
+    near = ((k, name) for k, name in _LISTED if k[0] == key[0] and abs(len(k) - len(key)) <= _MORE_OR_LESS)
     return next((name for k, name in near if SequenceMatcher(None, key, k).ratio() >= 0.80), None)
 
 
-def repaired_states(text: pd.Series) -> pd.Series:
-    """Garbled state names in the last three parts of an address, put right.
+#: Initial and length of every run that a state is near to, and what exact names are read as.
+_NEAR = sorted({f"{k[0]}{n}" for k, _ in _LISTED for n in range(max(_LEAST_LETTERS, len(k) - _MORE_OR_LESS), len(k) + _MORE_OR_LESS + 1)})
+_EXACT = {k: listed_state(k) for k, _ in _LISTED if len(k) >= _LEAST_LETTERS}
 
-    Runs of three words, then two, then one are tried from the left; the first listed state
-    of the same initial, about the same length and a matching ratio of 0.8 replaces the run.
+
+def _state_runs(tokens: Column) -> Column:
+    """Runs of words that may be a state: ``array<struct<n, i, key>>`` in the order in which they are tried.
+
+    Three words, then two, then one, from the left; of each the number of words, the first
+    token's place and its letters. Nothing behind an exact name can count, so it ends there.
     """
 
-    def part(text: str) -> str:
-        words = list(re.finditer("[A-Za-z]+", text))
-        for n in (3, 2, 1):
-            for run in (words[i : i + n] for i in range(len(words) - n + 1)):
-                key = "".join(w.group() for w in run).upper()
-                apart = any(text[a.end() : b.start()].strip() for a, b in zip(run, run[1:], strict=False))
-                if not apart and len(key) >= 5 and (name := listed_state(key)):
-                    return text[: run[0].start()] + name + text[run[-1].end() :]
-        return text
+    def of_length(n: int) -> Column:
+        def run(t: Column, i: Column) -> Column:
+            rest = [F.get(tokens, i + j) for j in range(1, 2 * n - 1)]
+            apart = [F.trim(F.regexp_replace(x, r"\s", "")) == "" for x in rest[::2]]
+            key = F.upper(F.concat(t, *rest[1::2]))
+            return F.struct(F.lit(n).alias("n"), i.alias("i"), F.when(reduce(lambda a, b: a & b, apart, t.rlike("^[A-Za-z]")), key).alias("key"))
 
-    def whole(text: str | None) -> str | None:
-        if not text:
-            return text
-        parts = text.split(",")
-        return ",".join([*parts[:-3], *map(part, parts[-3:])])
+        return F.transform(tokens, run)
 
-    return text.map(whole)
+    near = lambda key: F.concat(F.left(key, F.lit(1)), F.length(key).cast("string")).isin(_NEAR)
+    # n edits between two strings leave a matching ratio of at most 1 - n / (their letters)
+    like = lambda key: F.exists(F.array(*[F.lit(k) for k, _ in _LISTED]), lambda s: (F.left(s, F.lit(1)) == F.left(key, F.lit(1))) & (F.levenshtein(key, s) * 5 <= F.length(key) + F.length(s)))
+    runs = F.filter(F.concat(*[of_length(n) for n in (3, 2, 1)]), lambda r: near(r["key"]) & like(r["key"]))
+    return until(runs, lambda r: r["key"].isin(*_EXACT), keep_stop=True)
 
 
-def repair_states(addresses: DataFrame, column: str = "address") -> DataFrame:
-    """``addresses`` with garbled state names put right, by string similarity in Arrow batches.
+def state_candidates(address: Column) -> Column:
+    """``array<struct<tokens, runs>>`` of an address's last three parts: its words and gaps, and :func:`_state_runs`."""
+    parts = F.split(address, ",")
+    tail = F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 2), F.lit(3))
+    tokens = lambda p: F.regexp_extract_all(p, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
+    return F.transform(tail, lambda p: let(tokens(p), lambda t: F.struct(t.alias("tokens"), _state_runs(t).alias("runs"))))
 
-    An exact name is put in title case too, so only addresses without a word of five letters
-    (split or not) in their last three parts are left as they are, and don't reach Python.
-    """
-    tail = F.array_join(F.slice(F.split(column, ","), F.greatest(F.lit(1), F.size(F.split(column, ",")) - 2), F.lit(3)), ",")
-    asked = F.when(F.regexp_replace(tail, "[^A-Za-z,]", "").rlike("[A-Za-z]{5}"), F.col(column))
 
-    @F.pandas_udf("string")
-    def repair(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from map(repaired_states, batches)
+def asked_states(candidates: Column) -> Column:
+    """The runs of letters whose likeness to a state has to be measured: none that is a state's own name."""
+    keys = F.flatten(F.transform(candidates, lambda c: F.transform(c["runs"], lambda r: r["key"])))
+    return F.array_distinct(F.filter(keys, lambda k: ~k.isin(*_EXACT)))
+
 
-    return addresses.withColumn(column, F.coalesce(repair(asked), F.col(column)))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def listed_states(keys: pd.Series) -> pd.Series:
+    """The state that each run of letters is like, or null, in Arrow batches."""
+    return keys.map(lambda row: None if row is None else [listed_state(k) for k in row])
+
+
+def repair_states(addresses: DataFrame, column: str = "address") -> DataFrame:
+    """``addresses`` with garbled state names in the last three parts of an address put right.
+
+    Runs of three words, then two, then one are tried from the left; the first listed state of
+    the same initial, about the same length and a matching ratio of 0.8 replaces the run. The
+    candidates are a join of word windows with the 33 states on (initial, length), which is
+    made within the row, as both sides are few: no exchange, no key, and an address that has
+    none passes by. Only their letters go to Python, each garbled name once for a worker;
+    a state's exact name is looked up here. A null address stays null.
+    """
+    names = F.create_map(*[F.lit(x) for pair in _EXACT.items() for x in pair])
+    rows = addresses.withColumn("tried_", state_candidates(F.col(column))).withColumn("asked_", asked_states(F.col("tried_")))
+    # as if not deterministic, so that no filter on the address takes the call along and asks again
+    told = listed_states.asNondeterministic()(F.when(F.size("asked_") > 0, F.col("asked_")))
+    rows = rows.withColumn("told_", told)
+
+    def read(part: Column, state: Column) -> Column:
+        name = lambda r: F.coalesce(F.element_at(names, r["key"]), F.get(state["told_"], F.array_position(state["asked_"], r["key"]).cast("int") - 1))
+        hits = F.filter(F.transform(part["runs"], lambda r: F.struct(r["i"].alias("i"), r["n"].alias("n"), name(r).alias("name"))), lambda h: h["name"].isNotNull())
+        tokens = part["tokens"]
+        put = lambda h: F.concat(F.slice(tokens, F.lit(1), h["i"]), F.array(h["name"]), F.slice(tokens, h["i"] + 2 * h["n"], F.size(tokens)))
+        return F.array_join(let(F.get(hits, 0), lambda h: F.when(h.isNotNull(), put(h)).otherwise(tokens)), "")
+
+    parts = F.split(column, ",")
+    head = F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - 3))
+    # what Python answered is an argument, as no function of an array may hold a call of it
+    tail = let(F.struct("tried_", "asked_", "told_"), lambda state: F.transform(state["tried_"], lambda part: read(part, state)))
+    # an address without a candidate is as it was
+    some = F.exists("tried_", lambda p: F.size(p["runs"]) > 0)
+    return rows.withColumn(column, F.when(some, F.array_join(F.concat(head, tail), ",")).otherwise(F.col(column))).drop("tried_", "asked_", "told_")
 
 
 def care_of(full: Column) -> tuple[Column, Column]:

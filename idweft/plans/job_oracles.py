@@ -9,7 +9,7 @@ from __future__ import annotations
 from idweft.functions import patterns as P
 from idweft.plans import oracles
 from idweft.plans.oracles import DOCS, IDS, MASK, MASKED_LINE, TEXT, TITLE, conf_of, name, q
-from idweft.sources.cards import TRUTH_SQL, Dialect
+from idweft.sources.cards import truth_sql
 
 AS_OF_YEAR = 2026
 _pct = lambda c: f"CAST(round_even(coalesce({c}, 0) * 100, 0) AS INT)"
@@ -53,8 +53,10 @@ masked AS (SELECT * FROM one UNION ALL SELECT * FROM two WHERE doc_id NOT IN (SE
 printed_conf AS ({conf_of("printed", "printed")}),
 numbers AS (SELECT p.doc_id, printed = '' AND m.value IS NOT NULL AS is_masked, CASE WHEN printed <> '' THEN printed WHEN m.value IS NOT NULL THEN 'XXXXXXXX' || m.value ELSE '' END AS number,
   CASE WHEN printed <> '' THEN c.conf WHEN m.value IS NOT NULL THEN m.conf ELSE 0 END AS number_conf FROM printed p LEFT JOIN masked m USING (doc_id) LEFT JOIN printed_conf c ON c.doc_id = p.doc_id)"""
-GENDERS = f"""words AS (SELECT doc_id, upper(regexp_extract(t, {q(_rx_gender)}, 1)) AS word FROM docs), word_conf AS ({conf_of("word", "words")}),
-genders AS (SELECT w.doc_id, CASE word WHEN 'MALE' THEN 'M' WHEN 'FEMALE' THEN 'F' WHEN 'TRANSGENDER' THEN 'T' ELSE '' END AS gender, coalesce(conf, 0.0) AS gender_conf FROM words w LEFT JOIN word_conf USING (doc_id))"""
+_hindi = " ".join(f"WHEN regexp_matches(t, {q(rx)}) THEN regexp_extract(t, {q(rx)})" for rx, _ in P.GENDER_WORDS)
+_hindi_code = " ".join(f"WHEN regexp_matches(word, {q(rx)}) THEN {q(code)}" for rx, code in P.GENDER_WORDS)
+GENDERS = f"""words AS (SELECT doc_id, CASE WHEN regexp_matches(t, {q(_rx_gender)}) THEN upper(regexp_extract(t, {q(_rx_gender)}, 1)) {_hindi} ELSE '' END AS word FROM docs), word_conf AS ({conf_of("word", "words")}),
+genders AS (SELECT w.doc_id, CASE WHEN word = 'MALE' THEN 'M' WHEN word = 'FEMALE' THEN 'F' WHEN word = 'TRANSGENDER' THEN 'T' {_hindi_code} ELSE '' END AS gender, coalesce(conf, 0.0) AS gender_conf FROM words w LEFT JOIN word_conf USING (doc_id))"""
 FRONT = f"""{ORDERED}, {NAMED}, {DOB}, {NUMBERS}, {GENDERS}, dob_conf AS ({conf_of("raw", "(SELECT doc_id, raw FROM dob) AS raws")}),
 front AS (SELECT d.doc_id, {name("coalesce(name_text, '')")} AS full_name, {_pct("name_conf")} AS full_name_confidence, gender, {_pct("gender_conf")} AS gender_confidence, dob, {_pct("b.conf")} AS dob_confidence, yob,
   number AS aadhaar_number, {_pct("number_conf")} AS aadhaar_number_confidence, is_masked, CASE WHEN number <> '' AND NOT is_masked THEN sha256(number) ELSE '' END AS uniqueness_id
@@ -88,23 +90,62 @@ _care = r"(?i)(?:^|[^A-Z])(?:([CSDWH])\s*[/\\|.]\s*[O0]\.?|(SON|DAUGHTER|WIFE|HU
 
 
 def parts_of(address: str, parts: str) -> str:
-    """The parts of an address as select items; of the derived cards' forms of a care-of only S/O occurs."""
+    """The parts of an address as select items."""
+    relation = f"upper(regexp_extract({address}, {q(_care + '([A-Za-z .]*)')}, 1) || regexp_extract({address}, {q(_care + '([A-Za-z .]*)')}, 2))"
     guardian = f"trim(regexp_extract({address}, {q(_care + '([A-Za-z .]*)')}, 3))"
     house = f"regexp_extract({address}, {q(P.HOUSE_NUMBER)}, 1)"
     lead = f"list_filter({parts}, lambda p: NOT regexp_matches(p, '(?i)^(?:C/O|S/O|D/O|W/O)'))[1]"
-    place = lambda rx: f"regexp_extract({address}, {q(f'(?i)(?:^|, ?){rx}[ .:-]*([A-Za-z][A-Za-z .]*?) *(?:,|$)')}, 1)"
-    return f"""regexp_extract({address}, {q(P.PIN)}, 1) AS zip, {TITLE.format(guardian)} AS care_of, CASE WHEN {guardian} <> '' THEN 'father' ELSE 'father' END AS relation,
+    place = lambda rx: f"regexp_extract({address}, {q(f'(?i)(?:^|, ?){rx}[ .:-]*(?:, )?([A-Za-z][A-Za-z .]*?) *(?:,|$)')}, 1)"
+    return f"""regexp_extract({address}, {q(P.PIN)}, 1) AS zip, {TITLE.format(guardian)} AS care_of, CASE WHEN {guardian} = '' OR {relation} IN ('S', 'D', 'SON', 'DAUGHTER') THEN 'father' WHEN {relation} IN ('W', 'WIFE') THEN 'husband' ELSE 'care_of' END AS relation,
   CASE WHEN contains(upper({address}), 'INDIA') THEN 'INDIA' ELSE '' END AS country, {TITLE.format(f"coalesce(list_filter([{_states}], lambda s: contains(upper({address}), s))[1], '')")} AS state,
   regexp_replace(CASE WHEN {house} <> '' THEN {house} ELSE coalesce(regexp_extract({lead}, {q(P.LEADING_NUMBER)}, 1), '') END, '^[A-Za-z]-?', '') AS house_number,
   {TITLE.format(place("DIST"))} AS district, {TITLE.format(place("VTC"))} AS city"""
 
 
-#: State names in title case, with the one that the derived cards have garbled.
-_repaired = "replace(address, 'West Sengal', 'West Bengal')"
-for _state in P.STATES:
-    _repaired = f"regexp_replace({_repaired}, {q(rf'(?i)\b{_state}\b')}, {q(_state.title())})"
+
+
+def ratios(alias: str, pairs: str) -> str:
+    """``<alias> (a, b, ratio)`` for the distinct string pairs of ``pairs`` (a, b), by matching blocks.
+
+    The longest common stretch, the leftmost in a and then in b of equal ones; then the same to
+    the left of it and to the right of it, and so on. (Strings of 200 letters and more would
+    leave out popular ones; none here is so long.)
+    """
+    inside = f"{alias}_spans x JOIN {alias}_runs r ON r.a = x.a AND r.b = x.b AND r.i >= x.alo AND r.i < x.ahi AND r.j >= x.blo AND r.j < x.bhi"
+    size = "least(r.m, x.ahi - r.i, x.bhi - r.j)"
+    best = f"SELECT x.a, x.b, alo, ahi, blo, bhi, arg_max({{'i': r.i, 'j': r.j, 'k': {size}}}, [{size}, -r.i, -r.j]) AS s FROM {inside} GROUP BY x.a, x.b, alo, ahi, blo, bhi"
+    return f"""{alias}_cells AS (SELECT a, b, i, j FROM (SELECT a, b, i, unnest(range(length(b))) AS j FROM (SELECT DISTINCT a, b, unnest(range(length(a))) AS i FROM {pairs})) WHERE a[i + 1] = b[j + 1]),
+{alias}_runs AS MATERIALIZED (SELECT a, b, i, j, count(*) OVER (PARTITION BY a, b, i - j, island ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS island FROM {alias}_cells)),
+{alias}_spans AS (SELECT DISTINCT a, b, 0::BIGINT AS alo, length(a) AS ahi, 0::BIGINT AS blo, length(b) AS bhi FROM {pairs}
+  UNION ALL SELECT a, b, CASE side WHEN 0 THEN alo ELSE s.i + s.k END, CASE side WHEN 0 THEN s.i ELSE ahi END, CASE side WHEN 0 THEN blo ELSE s.j + s.k END, CASE side WHEN 0 THEN s.j ELSE bhi END FROM ({best}), (VALUES (0), (1)) sides(side)
+  WHERE CASE side WHEN 0 THEN s.i > alo AND s.j > blo ELSE s.i + s.k < ahi AND s.j + s.k < bhi END),
+{alias}_sums AS (SELECT a, b, sum(s.k) AS m FROM ({best}) GROUP BY a, b),
+{alias} AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(m, 0) / (length(a) + length(b)) END AS ratio FROM (SELECT DISTINCT a, b FROM {pairs}) LEFT JOIN {alias}_sums USING (a, b))"""
+
+
+_listed = ", ".join(f"({i}, {q(''.join(c for c in x if c.isalpha()))}, {q(x.title())})" for i, x in enumerate(P.STATES))
+
+
+def repaired(source: str) -> str:
+    """``repaired (doc_id, address)`` of ``source``: in the last three parts, the first run of words that is like a state.
+
+    Windows of three words, two and one as rows, joined to the states on initial and length.
+    """
+    return f"""states(place, letters, name) AS (VALUES {_listed}),
+segments AS (SELECT doc_id, len(p) AS n_parts, unnest(range(1, len(p) + 1)) AS pos, unnest(p) AS part FROM (SELECT doc_id, string_split(address, ',') AS p FROM {source})),
+words_of AS (SELECT doc_id, pos, regexp_extract_all(part, '[A-Za-z]+|[^A-Za-z]+') AS w FROM segments WHERE pos > n_parts - 3),
+windows AS (SELECT doc_id, pos, size, i, w, array_to_string(w[i:i + 2 * size - 2], '') AS run FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words_of), (VALUES (3), (2), (1)) sizes(size) WHERE i + 2 * size - 2 <= len(w)),
+keyed AS MATERIALIZED (SELECT *, upper(regexp_replace(run, '\s', '', 'g')) AS a FROM windows WHERE regexp_full_match(run, '[A-Za-z][A-Za-z\s]*[A-Za-z]')),
+near AS MATERIALIZED (SELECT k.*, s.letters AS b, s.place, s.name FROM keyed k JOIN states s ON left(a, 1) = left(letters, 1) AND abs(length(a) - length(letters)) <= 2 WHERE length(a) >= 5),
+{ratios("likeness", "near")},
+read_states AS (SELECT doc_id, pos, size, i, w, name FROM near JOIN likeness USING (a, b) WHERE ratio >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY size DESC, i, place) = 1),
+repaired AS (SELECT g.doc_id, string_agg(CASE WHEN name IS NULL THEN part ELSE array_to_string(w[1:i - 1], '') || name || array_to_string(w[i + 2 * size - 1:], '') END, ',' ORDER BY g.pos) AS address FROM segments g LEFT JOIN read_states r ON r.doc_id = g.doc_id AND r.pos = g.pos GROUP BY g.doc_id)"""
+
+
+_recursive = lambda sql: sql.replace("WITH", "WITH RECURSIVE", 1)
 BACK = f"""{ORDERED}, {NUMBERS}, {spans("(SELECT regexp_replace(number, '[^0-9]', '', 'g') FROM numbers WHERE numbers.doc_id = docs.doc_id)")},
-back AS (SELECT doc_id, {_repaired} AS address, parts, conf FROM block WHERE n = 1)"""
+{repaired("(SELECT * FROM block WHERE n = 1)")},
+back AS (SELECT doc_id, r.address, parts, conf FROM block JOIN repaired r USING (doc_id) WHERE n = 1)"""
 
 # ---- passport and voter card
 _labelled = lambda rx: f"regexp_extract(t, {q(f'(?i){rx}[:' + chr(92) + f's]*({P.FULL_DATE})')}, 1)"
@@ -169,7 +210,6 @@ fold AS (SELECT doc_id, n, 0 AS box_no, x1, y1, x2, y2 FROM ordered_hits WHERE n
   UNION ALL SELECT doc_id, n, box_no + CAST(NOT joins AS INT), CASE WHEN joins THEN least(x1, bx1) ELSE bx1 END, CASE WHEN joins THEN least(y1, by1) ELSE by1 END, CASE WHEN joins THEN greatest(x2, bx2) ELSE bx2 END, CASE WHEN joins THEN greatest(y2, by2) ELSE by2 END
   FROM (SELECT f.doc_id, h.n, box_no, f.x1, f.y1, f.x2, f.y2, h.x1 AS bx1, h.y1 AS by1, h.x2 AS bx2, h.y2 AS by2, least(h.y2, f.y2) - greatest(h.y1, f.y1) >= 0.4 * greatest(1, f.y2 - f.y1) AND h.x1 <= f.x2 + gap AS joins FROM fold f JOIN ordered_hits h ON h.doc_id = f.doc_id AND h.n = f.n + 1 JOIN gaps g ON g.doc_id = f.doc_id)),
 boxes AS (SELECT doc_id, CAST(box_no AS INT) AS box_no, arg_max(x1, n) AS x1, arg_max(y1, n) AS y1, arg_max(x2, n) AS x2, arg_max(y2, n) AS y2 FROM fold GROUP BY doc_id, box_no)"""
-_recursive = lambda sql: sql.replace("WITH", "WITH RECURSIVE", 1)
 PIECES = _recursive(oracles.HITS).replace(
     "words AS (SELECT r.*",
     """pieces AS (SELECT doc_id, region_idx * 10 + i AS region_idx, conf, string_split(text, ' ')[i + 1] AS text, CAST(40 + i * (60 + doc_id % 4 * 10) AS INT) AS x1, CAST(y1 + i * (doc_id % 3) * 7 AS INT) AS y1, CAST(88 + i * (60 + doc_id % 4 * 10) AS INT) AS x2, CAST(y2 + i * (doc_id % 3) * 7 AS INT) AS y2
@@ -279,22 +319,24 @@ found AS (SELECT o.doc_id, text, row_number() OVER (PARTITION BY o.doc_id ORDER
 SELECT doc_id, {", ".join(f"{name(f'coalesce(max(text) FILTER (n = {i}), {q("")})')} AS {who}" for i, who in ((1, "father"), (2, "mother"), (3, "spouse")))} FROM docs LEFT JOIN found USING (doc_id) GROUP BY doc_id""",
     "dob_ladder": f"{ORDERED}, {DOB} SELECT doc_id, dob, yob, raw, step FROM dob",
     "extract_aadhaar_front": f"{FRONT} SELECT * FROM front",
-    "accuracy_report": f"""{FRONT}, {spans("(SELECT regexp_replace(number, '[^0-9]', '', 'g') FROM numbers WHERE numbers.doc_id = docs.doc_id)")},
-back AS (SELECT doc_id, {_repaired} AS address FROM block WHERE n = 1), truth AS ({TRUTH_SQL.format(date=Dialect(True).date('birth_day', 'yyyy-MM-dd', '%Y-%m-%d'))}),
-wide AS (SELECT *, CASE field WHEN 'aadhaar_number' THEN aadhaar_number WHEN 'dob' THEN dob WHEN 'full_name' THEN full_name WHEN 'address' THEN b.address ELSE gender END AS got FROM truth LEFT JOIN front USING (doc_id) LEFT JOIN back b USING (doc_id)),
-marked AS (SELECT field, regexp_replace(lower(want), '[^a-z0-9]', '', 'g') = regexp_replace(lower(coalesce(got, '')), '[^a-z0-9]', '', 'g') AS ok FROM wide)
-SELECT coalesce(field, 'ALL') AS field, count(*) FILTER (ok) AS ok, count(*) AS n FROM marked GROUP BY ROLLUP (field)""",
+    "accuracy_report": _recursive(f"""{FRONT}, {spans("(SELECT regexp_replace(number, '[^0-9]', '', 'g') FROM numbers WHERE numbers.doc_id = docs.doc_id)")},
+{repaired("(SELECT * FROM block WHERE n = 1)")}, truth AS ({truth_sql(duck=True)}),
+wide AS (SELECT *, CASE field WHEN 'aadhaar_number' THEN aadhaar_number WHEN 'dob' THEN dob WHEN 'full_name' THEN full_name WHEN 'address' THEN b.address ELSE gender END AS got FROM truth LEFT JOIN front USING (doc_id) LEFT JOIN repaired b USING (doc_id)),
+compared AS MATERIALIZED (SELECT field, regexp_replace(lower(coalesce(got, '')), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(want), '[^a-z0-9]', '', 'g') AS b FROM wide),
+addresses AS MATERIALIZED (SELECT a, b FROM compared WHERE field = 'address'), {ratios("address_ratio", "addresses")},
+marked AS (SELECT field, CASE WHEN field = 'address' THEN ratio >= 0.9 ELSE c.a = c.b END AS ok, CASE WHEN field = 'address' THEN ratio END AS ratio FROM compared c LEFT JOIN address_ratio r ON c.a = r.a AND c.b = r.b)
+SELECT coalesce(field, 'ALL') AS field, count(*) FILTER (ok) AS ok, count(*) AS n, round(avg(ratio), 6) AS mean_similarity FROM marked GROUP BY ROLLUP (field)"""),
     "address_clusters": f"{ADDRESSES} SELECT doc_id, array_to_string(parts, ' | ') AS parts, round(conf, 6) AS conf FROM cluster",
     "best_address": f"{ADDRESSES} SELECT doc_id, address, round(conf, 6) AS conf FROM best",
     "split_address": f"{ADDRESSES} SELECT doc_id, address, {parts_of('address', 'parts')} FROM best",
-    "state_repair": f"{ADDRESSES} SELECT doc_id, {_repaired} AS address FROM best",
+    "state_repair": _recursive(f"{ADDRESSES}, {repaired('best')} SELECT doc_id, address FROM repaired"),
     "aadhaar_sides": f"""{ORDERED}, {DOB}, {GENDERS}, {NUMBERS}, {spans("(SELECT regexp_replace(number, '[^0-9]', '', 'g') FROM numbers WHERE numbers.doc_id = docs.doc_id)")},
 sides AS (SELECT doc_id, number, step > 0 OR gender <> '' AS front, doc_id IN (SELECT doc_id FROM block) AS back FROM dob JOIN genders USING (doc_id) JOIN numbers USING (doc_id))
 SELECT doc_id, 'aadhaar_front_bottom' AS document_type, number AS aadhaar_number FROM sides WHERE front OR NOT back UNION ALL SELECT doc_id, 'aadhaar_back', number FROM sides WHERE back""",
-    "extract_aadhaar_back": f"{BACK} SELECT doc_id, number AS aadhaar_number, {_pct('number_conf')} AS aadhaar_number_confidence, is_masked, address, {parts_of('address', 'parts')}, {_pct('conf')} AS address_confidence FROM back JOIN numbers USING (doc_id)",
-    "extract_voter_back": f"""{ORDERED}, {spans("''")}, sides AS (SELECT doc_id FROM docs WHERE contains(t, 'ADDRESS') AND NOT regexp_matches(replace(t, 'ELECTORAL', ''), 'ELECTOR|EPIC|PHOTO\\s*IDENTITY')),
-back AS (SELECT doc_id, {_repaired} AS address, parts, conf FROM sides LEFT JOIN (SELECT * FROM block WHERE n = 1) USING (doc_id))
-SELECT * EXCLUDE (care_of, relation) FROM (SELECT doc_id, coalesce(address, '') AS address, {parts_of("coalesce(address, '')", "parts")}, {_pct('conf')} AS address_confidence FROM back)""",
+    "extract_aadhaar_back": _recursive(f"{BACK} SELECT doc_id, number AS aadhaar_number, {_pct('number_conf')} AS aadhaar_number_confidence, is_masked, address, {parts_of('address', 'parts')}, {_pct('conf')} AS address_confidence FROM back JOIN numbers USING (doc_id)"),
+    "extract_voter_back": _recursive(f"""{ORDERED}, {spans("''")}, {repaired("(SELECT * FROM block WHERE n = 1)")}, sides AS (SELECT doc_id FROM docs WHERE contains(t, 'ADDRESS') AND NOT regexp_matches(replace(t, 'ELECTORAL', ''), 'ELECTOR|EPIC|PHOTO\\s*IDENTITY')),
+back AS (SELECT doc_id, r.address, parts, conf FROM sides LEFT JOIN repaired r USING (doc_id) LEFT JOIN (SELECT * EXCLUDE (address) FROM block WHERE n = 1) USING (doc_id))
+SELECT * EXCLUDE (care_of, relation) FROM (SELECT doc_id, coalesce(address, '') AS address, {parts_of("coalesce(address, '')", "parts")}, {_pct('conf')} AS address_confidence FROM back)"""),
     "extract_passport_front": f"{PASSPORT_FRONT} SELECT doc_id, {_front_select}, doi, doi_c AS doi_confidence, born_in AS place_of_birth, born_c AS place_of_birth_confidence, issued_in AS place_of_issue, issued_c AS place_of_issue_confidence FROM sure",
     "extract_passport_back": f"""{ORDERED}, backs AS (SELECT doc_id, t, regexp_extract(t, {q(r"\b([A-Z]{2}\d{13,14})\b")}, 1) AS file FROM spaced WHERE {BACK_SIDE}), file_conf AS ({conf_of("file", "(SELECT doc_id, file FROM backs) AS f")}),
 spots AS (SELECT doc_id, min(rn) AS spot FROM o WHERE regexp_matches(text, '(?i)ADDRESS') GROUP BY doc_id),

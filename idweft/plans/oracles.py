@@ -6,7 +6,7 @@ RE2 has no look-around, so patterns are in their RE2 form or are kept apart by c
 from __future__ import annotations
 
 from idweft.functions import patterns as P
-from idweft.sources.cards import TRUTH_SQL, Dialect, cards_sql
+from idweft.sources.cards import cards_sql
 
 CARDS = f"WITH {cards_sql(duck=True)}"
 TEXT = """WITH text_lines AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
@@ -210,4 +210,3 @@ c AS (SELECT l.doc_id, o.text, o.conf, row_number() OVER (PARTITION BY l.doc_id
 SELECT l.doc_id, CASE WHEN tail <> '' THEN tail ELSE c.text END AS value, CASE WHEN tail <> '' THEN l.conf ELSE c.conf END AS conf FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.n = 1 WHERE tail <> '' OR c.text IS NOT NULL""",
     "contract_json": f"""{PAN_SQL} SELECT doc_id, '{{"data":{{"ocr_fields":[{{"document_type":"pan","pan_number":{{"value":"' || pan_number || '","confidence":' || pan_number_confidence || '}},"full_name":{{"value":"' || full_name || '","confidence":' || full_name_confidence || '}},"father_name":{{"value":"' || father_name || '","confidence":' || father_name_confidence || '}},"dob":{{"value":"' || dob || '","confidence":' || dob_confidence || '}}}}]}},"status_code":200,"message_code":"success","message":null,"success":true}}' AS json FROM pan_rows""",
 }
-__all__ = ["ORACLE_SQL", "TRUTH_SQL", "Dialect"]

@@ -430,7 +430,8 @@ def accuracy_report(spark, sf_dir):
     front = extract.extract_aadhaar_front(rows)
     got = front.select("doc_id", F.lit("front").alias("side"), F.explode(F.create_map(*[x for f in ("aadhaar_number", "dob", "full_name", "gender") for x in (F.lit(f), F.col(f))])).alias("field", "got"))
     back = extract.extract_aadhaar_back(rows).select("doc_id", F.lit("back").alias("side"), F.lit("address").alias("field"), F.col("address").alias("got"))
-    return verify.accuracy_report(regions.score_predictions(cards.card_truth(spark, sf_dir), got.unionByName(back))).drop("mean_similarity")
+    out = verify.accuracy_report(regions.score_predictions(cards.card_truth(spark, sf_dir), got.unionByName(back)))
+    return out.withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
 @query

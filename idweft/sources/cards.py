@@ -13,6 +13,17 @@ from idweft.sources.scratch import once
 GIVEN = ("AARAV", "ISHAAN", "KABIR", "MEERA", "NISHA", "POOJA", "RAHUL", "TANVI")
 FAMILY = ("GUPTA", "VERMA", "SHARMA", "PATIL", "PALANDE", "KULKARNI", "REDDY", "SINGH")
 TYPES = ("AADHAAR", "PAN", "VOTER_ID", "DRIVING_LICENSE", "PASSPORT")
+#: State names as they are printed on the backs, most of them garbled, and what they stand for. The
+#: last ones stay as they are: a town like a state's name, and a state in other letters.
+PRINTED_STATES = (
+    "West Sengal", "Punjab", "UtarPradesh", "Gjarat", "Karnatka", "Tamil Nadv", "Maharashtre", "Rajasthaan", "Telangama", "Andhra Pradech",
+    "Himachal Pradeh", "Jharkhamd", "Chhatisgarh", "Jammu and Kashmlr", "Haryali", "MADHYA PRADESH",
+)
+MEANT_STATES = (
+    "West Bengal", "Punjab", "Uttar Pradesh", "Gujarat", "Karnataka", "Tamil Nadu", "Maharashtra", "Rajasthan", "Telangana", "Andhra Pradesh",
+    "Himachal Pradesh", "Jharkhand", "Chhattisgarh", "Jammu And Kashmir", "Haryali", "Madhya Pradesh",
+)
+CARE_OF = ("S/O: ", "W/O: ", "C/O: ", "D/O: ", "Wife of ", "H/O: ", "Son of ")
 
 
 class Dialect:
@@ -63,11 +74,18 @@ def cards_sql(duck: bool) -> str:
     num = "substr(aadhaar, 1, 4) || ' ' || substr(aadhaar, 5, 4) || ' ' || substr(aadhaar, 9, 4)"
     issue, dob = "issue_day", "birth_day"
     sex = "CASE WHEN k % 2 = 0 THEN 'MALE' ELSE 'FEMALE' END"
+    both_sexes = f"CASE WHEN {d.div('k', 20)} % 3 = 1 THEN CASE WHEN k % 2 = 0 THEN 'पुरुष' ELSE 'महिला' END ELSE {sex} END"
+    year_only = f"{d.div('k', 20)} % 4 = 2"
+    wrapped = f"{d.div('k', 5)} % 3 = 1"
+    state = d.pick(PRINTED_STATES, d.div("k", 7) + f" % {len(PRINTED_STATES)}") + " || ' - ' || CASE WHEN k % 3 = 0 THEN '713205' ELSE '140301' END"
     name, father = "given || ' ' || family", "parent || ' ' || family"
-    back = [("'Unique Identification Authority of India'", 40), ("'Address:'", 40), (f"'S/O: ' || {father} || ', House No 12'", 40), ("'VTC: Kharar, DIST: Mohali'", 40), ("CASE WHEN k % 3 = 0 THEN 'West Sengal - 713205' ELSE 'Punjab - 140301' END", 40), ("'help@uidai.gov.in'", 40)]
+    care = d.pick(CARE_OF, d.div("k", 5) + f" % {len(CARE_OF)}")
+    town = f"CASE WHEN {wrapped} THEN 'VTC: Kharar, DIST:' ELSE 'VTC: Kharar, DIST: Mohali' END"
+    last = f"CASE WHEN {wrapped} THEN 'Mohali, ' ELSE '' END || {state}"
+    back = [("'Unique Identification Authority of India'", 40), ("'Address:'", 40), (f"{care} || {father} || ', House No 12'", 40), (town, 40), (last, 40), ("'help@uidai.gov.in'", 40)]
     layouts = {
-        ("AADHAAR", 0): [("'GOVERNMENT OF INDIA'", 40), (name, 40), (f"'DOB: ' || {dmy(dob)}", 40), (sex, 40), (num, 40), *back],
-        ("AADHAAR", 1): [("'GOVERNMENT OF INDIA'", 40), ("given || family", 40), (f"'D0B:' || {dmy(dob)}", 40), (sex, 40), ("'XXXX XXXX ' || substr(aadhaar, 9, 4)", 40), *back],
+        ("AADHAAR", 0): [("'GOVERNMENT OF INDIA'", 40), (name, 40), (f"'DOB: ' || {dmy(dob)}", 40), (both_sexes, 40), (num, 40), *back],
+        ("AADHAAR", 1): [("'GOVERNMENT OF INDIA'", 40), ("given || family", 40), (f"CASE WHEN {year_only} THEN 'Year of Birth: ' || CAST(year({dob}) AS VARCHAR(4)) ELSE 'D0B:' || {dmy(dob)} END", 40), (sex, 40), ("'XXXX XXXX ' || substr(aadhaar, 9, 4)", 40), *back],
         ("AADHAAR", 2): [("'GOVERNMENT OF INDIA'", 40), (name, 40), (f"'9000:' || {dmy(dob)}", 40), (sex, 40), ("'XXXX XXXX'", 40), ("substr(aadhaar, 9, 4)", 160, 4), ("'help@uidai.gov.in'", 40, 5)],
         ("PAN", 0): [("'INCOME TAX DEPARTMENT'", 40), ("'GOVT. OF INDIA'", 300, 0), (name, 40, 1), (father, 40), (dmy(dob), 40), ("'Permanent Account Number'", 40), ("pan", 40)],
         ("PAN", 1): [("'INCOME TAX DEPARTMENT'", 40), ("given || family", 40), ("parent || family", 40), (dmy(dob), 40), ("'Permanent Account Number'", 40), ("pan", 40)],
@@ -142,13 +160,22 @@ def card_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the Aadhaar and PAN cards, one in ten altered."""
-    return _view(spark, sf_dir, f"({TRUTH_SQL.format(date=Dialect(False).date('birth_day', 'yyyy-MM-dd', '%Y-%m-%d'))}) t")
+    """Labels of the Aadhaar cards, one in ten altered; of the addresses some are somewhat longer."""
+    return _view(spark, sf_dir, f"({truth_sql(duck=False)}) t")
 
 
-TRUTH_SQL = """
+def truth_sql(duck: bool) -> str:
+    """Labels ``doc_id, side, field, want``; ``cards`` must be there.
+
+    Twelve letters that no address holds leave its similarity just above 0.9, fifteen just below.
+    """
+    d = Dialect(duck)
+    day, m = d.date("birth_day", "yyyy-MM-dd", "%Y-%m-%d"), d.div("k", 20)
+    meant = d.pick(MEANT_STATES, d.div("k", 7) + f" % {len(MEANT_STATES)}") + " || ' - ' || CASE WHEN k % 3 = 0 THEN '713205' ELSE '140301' END"
+    address = f"{d.pick(CARE_OF, d.div('k', 5) + f' % {len(CARE_OF)}')} || parent || ' ' || family || ', House No 12, VTC: Kharar, DIST: Mohali, ' || {meant}"
+    return f"""
 SELECT k AS doc_id, 'front' AS side, 'aadhaar_number' AS field, CASE WHEN k % 10 = 0 THEN '0' || aadhaar ELSE aadhaar END AS want FROM cards WHERE shown = 'AADHAAR' AND layout = 0
-UNION ALL SELECT k, 'front', 'dob', CASE WHEN (k + 1) % 10 = 0 THEN '1901-01-01' ELSE {date} END FROM cards WHERE shown = 'AADHAAR' AND layout < 2
+UNION ALL SELECT k, 'front', 'dob', CASE WHEN (k + 1) % 10 = 0 THEN '1901-01-01' WHEN layout = 1 AND {m} % 4 = 2 THEN substr({day}, 1, 4) ELSE {day} END FROM cards WHERE shown = 'AADHAAR' AND layout < 2
 UNION ALL SELECT k, 'front', 'full_name', CASE WHEN (k + 2) % 10 = 0 THEN 'NOBODY' ELSE given || ' ' || family END FROM cards WHERE shown = 'AADHAAR' AND layout = 0
 UNION ALL SELECT k, 'front', 'gender', CASE WHEN (k + 3) % 10 = 0 THEN 'T' WHEN k % 2 = 0 THEN 'M' ELSE 'F' END FROM cards WHERE shown = 'AADHAAR'
-UNION ALL SELECT k, 'back', 'address', CASE WHEN (k + 4) % 10 = 0 THEN 'NOWHERE' ELSE 'S/O: ' || parent || ' ' || family || ', House No 12, VTC: Kharar, DIST: Mohali, ' || CASE WHEN k % 3 = 0 THEN 'West Bengal - 713205' ELSE 'Punjab - 140301' END END FROM cards WHERE shown = 'AADHAAR' AND layout < 2"""
+UNION ALL SELECT k, 'back', 'address', CASE WHEN k % 9 = 0 THEN 'NOWHERE' ELSE {address} || CASE k % 9 WHEN 1 THEN ' qqqqqqqqqqqq' WHEN 2 THEN ' qqqqqqqqqqqqqqq' ELSE '' END END FROM cards WHERE shown = 'AADHAAR' AND layout < 2"""
