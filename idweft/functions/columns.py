@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from idweft.functions import patterns as P
 
@@ -262,6 +265,25 @@ def half_width(c: Column) -> Column:
     return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), plain(x)).otherwise(x))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _normal_forms(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda row: None if row is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in row])
+
+
+def nfkc_all(texts: Column) -> Column:
+    """Compatibility normal form of every string of an array; only arrays with non-ASCII text go to Python.
+
+    Python's own tables, in Arrow batches: Arrow's kernel of that name leaves accents apart.
+    """
+    foreign = F.exists(texts, lambda t: t.rlike(r"[^\x00-\x7F]"))
+    return F.coalesce(_normal_forms.asNondeterministic()(F.when(foreign, texts)), texts)
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility normal form of a string; null stays null."""
+    return F.get(nfkc_all(F.array(text)), 0)
+
+
 def uniqueness_id(number: Column, salt: str = "") -> Column:
     """SHA-256 of a number (personal data still: twelve digits can be tried out; give a salt)."""
     return F.when(number != "", F.sha2(F.concat(F.lit(salt), number), 256)).otherwise("")

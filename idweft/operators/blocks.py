@@ -39,6 +39,14 @@ def english_lines(ordered: Column) -> Column:
     return let(F.filter(ordered, lambda x: ~C.is_script_garbage(x["text"])), alone)
 
 
+def normal_lines(page: DataFrame, column: str) -> DataFrame:
+    """``page`` with the texts of a column of lines in compatibility normal form."""
+    texts = C.nfkc_all(F.transform(column, lambda x: x["text"]))
+    plain = page.withColumn("texts_", texts)
+    zipped = let(F.struct(column, "texts_"), lambda s: F.transform(s[column], lambda x, i: x.withField("text", F.get(s["texts_"], i))))
+    return plain.withColumn(column, zipped).drop("texts_")
+
+
 def _block(rows: Column) -> Column:
     """``struct<parts, conf>`` of rows ``(t, c)``; null without rows."""
 

@@ -112,7 +112,7 @@ def _aadhaar(regions: DataFrame, keys: Keys, as_of: dt.date) -> DataFrame:
     other = F.get(F.filter(hindi, lambda h: h["word"] != ""), 0)
     page = page.withColumn("gender_word", F.when(words != "", words).otherwise(C.blank(other["word"]))).withColumn("gender", F.when(words != "", C.gender_code(words)).otherwise(C.blank(other["code"])))
     lines = B.english_lines(page.ordered)
-    page = page.withColumn("english", lines)
+    page = B.normal_lines(page.withColumn("english", lines), "english")
     span, cluster = B.labelled_span(page.english, page.number), B.marked_cluster(page.english, page.number)
     return page.withColumn("span", span).withColumn("cluster", cluster).withColumn("block", B.best_block(F.col("span"), F.col("cluster")))
 
@@ -316,6 +316,7 @@ def extract_voter_front(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt.
 def extract_voter_back(regions: DataFrame, keys: Keys = ("doc_id",)) -> DataFrame:
     page = pages(regions, keys)
     page = page.filter(K.voter_side(page.full_text) == "back").withColumn("english", B.english_lines(F.col("ordered")))
+    page = B.normal_lines(page, "english")
     page = page.withColumn("span", B.labelled_span(page.english, F.lit(""))).withColumn("cluster", B.marked_cluster(page.english, F.lit("")))
     page = page.withColumn("block", B.best_block(F.col("span"), F.col("cluster")))
     return _address(page, keys, []).drop("care_of", "relation")

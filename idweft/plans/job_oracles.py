@@ -363,6 +363,25 @@ judged AS (SELECT i.doc_id, doc_type, extracted_id IS NOT NULL AS has_id, extrac
 listed AS (SELECT *, CASE WHEN already THEN list_transform(found, lambda x: {{'field': 'vid', 'bbox': x.bbox, 'confidence': x.confidence}}) WHEN has_id THEN found ELSE [] END AS regions FROM judged)
 SELECT doc_id, has_id OR already AS document_detected, already AS already_masked, CAST(to_json(regions) AS VARCHAR) AS masked_regions, CAST(len(regions) AS INT) AS n_regions, NOT already AND len(regions) = 0 AS withheld,
   CASE WHEN already THEN 'Aadhaar number is already masked on the document' WHEN len(regions) > 0 THEN NULL WHEN has_id THEN 'Identity number found but could not be localized for masking' ELSE 'No ' || doc_type || ' identity number located' END AS message FROM listed""",
+    "outcome_code_windows": f"{oracles.OUTCOMES}, codes(code, http_status, retryable) AS (VALUES ('', 200, false), {oracles._codes}) SELECT date_trunc('hour', ts) AS window_start, code AS error_code, CAST(http_status AS INT) AS http_status, retryable, count(*) AS n, round(avg(elapsed_sec), 6) AS mean_sec FROM outcomes JOIN codes ON code = coalesce(error_code, '') GROUP BY ALL",
+    "outcome_sliding": f"{oracles.OUTCOMES} SELECT time_bucket(INTERVAL 15 MINUTE, ts) - back * INTERVAL 15 MINUTE AS window_start, count(*) AS n, count(error_code) AS n_failed, count(*) FILTER (error_code = 'timeout') AS n_timeouts, round(count(error_code) / count(*), 6) AS failure_rate FROM outcomes, range(4) r(back) GROUP BY 1",
+    "outcome_alerts": f"{oracles.OUTCOMES} SELECT date_trunc('hour', ts) - back * INTERVAL 1 HOUR AS window_start, count(*) AS n, count(error_code) AS n_failed, count(*) FILTER (error_code = 'timeout') AS n_timeouts, round(count(error_code) / count(*), 6) AS failure_rate FROM outcomes, range(6) r(back) GROUP BY 1 HAVING count(*) >= 5 AND count(error_code) / count(*) > 0.22",
+    "identity_contracts": f"""{IDS}, kinds(k, internal, display, id_field) AS (VALUES {oracles._types})
+SELECT doc_id, doc_type, extracted_id, CASE WHEN extracted_id IS NOT NULL THEN {MASK} END AS masked_id, CASE WHEN extracted_id IS NULL THEN 'id_not_found' END AS error_code,
+  CASE WHEN extracted_id IS NULL THEN '{{"data":{{}},"status_code":400,"message_code":"failed","message":"ID extraction failed","success":false,"error_code":"id_not_found"}}'
+  ELSE '{{"data":{{"ocr_fields":[{{"document_type":"' || k || '","id_field":"' || id_field || '","id_number":"' || extracted_id || '"}}]}},"status_code":200,"message_code":"success","message":null,"success":true}}' END AS json FROM ids LEFT JOIN kinds ON internal = doc_type""",
+    "dedup_horizon": """WITH RECURSIVE seen AS (SELECT event_id AS doc_id, ts, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+kept AS (SELECT user_id, n, ts FROM seen WHERE n = 1
+  UNION ALL SELECT k.user_id, min(s.n), arg_min(s.ts, s.n) FROM kept k JOIN seen s ON s.user_id = k.user_id AND s.ts > k.ts + INTERVAL 1 DAY GROUP BY k.user_id, k.n)
+SELECT doc_id, s.ts, sha256(CAST(user_id AS VARCHAR)) AS uniqueness_id FROM seen s SEMI JOIN kept USING (user_id, n)""",
+    "normalised_text": """WITH w AS (SELECT doc_id, text, replace(replace(replace(replace(translate(text, '0123456789.,:!', '０１２３４５６７８９．，：！'), 'fi', 'ﬁ'), 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)), 'kg', '㎏') AS wide FROM documents)
+SELECT doc_id, CAST(length(wide) AS INT) AS n_wide, CAST(length(nfc_normalize(text)) AS INT) AS n_chars, sha256(nfc_normalize(text)) AS text_sha256 FROM w""",
+    "regions_round_trip": f"""{oracles.CARDS}, cases AS (SELECT *, (doc_id * 7 + region_idx) % 29 AS c FROM card_regions)
+SELECT doc_id, 'good' AS state, count(*) AS n, sha256(string_agg(text, chr(10) ORDER BY region_idx)) AS text_sha256 FROM cases WHERE c NOT IN (1, 3, 5) GROUP BY doc_id
+UNION ALL SELECT NULL, CASE c WHEN 1 THEN 'not json' WHEN 3 THEN 'no key' ELSE 'no box' END, count(*), '' FROM cases WHERE c IN (1, 3, 5) GROUP BY ALL""",
+    "truth_round_trip": f"""{oracles.CARDS}, truth AS ({truth_sql(duck=True)})
+SELECT 'card_' || doc_id AS doc_id, side, field, want FROM truth WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0
+UNION ALL SELECT NULL, 'damaged', 'lines', CAST(count(DISTINCT doc_id) AS VARCHAR) FROM truth WHERE doc_id % 13 = 0 OR doc_id % 17 = 0 HAVING count(*) > 0""",
     "value_below": f"{DOCS}, {label_rows('people_label', "regexp_matches(text, '(?i)^Name of (?:Father|Mother)$')", 'NAME')}, {under('below_label', 'people_label', LICENCE_NAME)} SELECT doc_id, trim(text) AS value, conf FROM below_label",
     "licence_names": f"{DOCS}, {LICENCE_NAMES} SELECT * FROM licence_names",
     "licence_address": f"{DOCS}, {LICENCE_ADDRESSES} SELECT * FROM licence_addresses WHERE address <> ''",

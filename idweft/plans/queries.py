@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from idweft.functions import columns as C
 from idweft.functions import patterns as P
 from idweft.operators import blocks, classify, masking, pages, pairing, regions
 from idweft.plans import extract, verify
-from idweft.sources import cards, readers, sinks
+from idweft.sources import cards, readers, scratch, sinks
 from idweft.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -449,6 +450,77 @@ def outcome_windows(spark, sf_dir):
     return streams.outcome_windows(_outcomes(spark, sf_dir)).withColumn("failure_rate", F.round("failure_rate", 6))
 
 
+@query
+def outcome_code_windows(spark, sf_dir):
+    return streams.outcome_codes(_outcomes(spark, sf_dir)).withColumn("mean_sec", F.round("mean_sec", 6))
+
+
+@query
+def outcome_sliding(spark, sf_dir):
+    return streams.outcome_windows(_outcomes(spark, sf_dir), "1 hour", slide="15 minutes").withColumn("failure_rate", F.round("failure_rate", 6))
+
+
+@query
+def outcome_alerts(spark, sf_dir):
+    windows = streams.outcome_windows(_outcomes(spark, sf_dir), "6 hours", slide="1 hour")
+    return streams.outcome_alerts(windows, 0.22, 5).withColumn("failure_rate", F.round("failure_rate", 6))
+
+
+@query
+def identity_contracts(spark, sf_dir):
+    return streams.extract_stream(_docs(spark, sf_dir), text_col="full_text")
+
+
+@query
+def dedup_horizon(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select(F.col("event_id").alias("doc_id"), "ts", C.uniqueness_id(F.col("user_id").cast("string")).alias("uniqueness_id"))
+    return streams.dedup_within(rows, 86_400)
+
+
+@query
+def normalised_text(spark, sf_dir):
+    """Texts in full-width marks and digits, ligatures and parted accents, and their normal form."""
+    wide = F.translate("text", "0123456789.,:!", "０１２３４５６７８９．，：！")
+    for plain, other in (("fi", "ﬁ"), ("é", "e\u0301"), ("ü", "u\u0308"), ("kg", "㎏")):
+        wide = F.replace(wide, F.lit(plain), F.lit(other))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", wide.alias("wide"))
+    return docs.select("doc_id", F.length("wide").alias("n_wide"), C.nfkc(F.col("wide")).alias("t")).select("doc_id", "n_wide", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
+
+
+def _stored(df, name):
+    """A folder of text lines in the session's shared folder."""
+    path = f"{scratch.folder(df.sparkSession)}/idweft-{uuid.uuid4().hex}/{name}"
+    df.write.text(path)
+    return path
+
+
+@query
+def regions_round_trip(spark, sf_dir):
+    """Cards as JSON lines, some cut short and some without a key or box, read again."""
+    rows = cards.card_regions(spark, sf_dir)
+    case = (F.col("doc_id") * 7 + F.col("region_idx")) % 29
+    hit = lambda c, n: F.when(case != n, F.col(c)).alias(c)
+    body = F.to_json(F.struct(hit("doc_id", 3), "attempt", "region_idx", "text", "conf", "x1", hit("y1", 5), "x2", "y2", "engine", "cls_label", "cls_score"))
+    lines = rows.select(F.when(case == 1, F.left(body, F.length(body) - 9)).otherwise(body).alias("value"))
+    good, bad = readers.read_regions_json(spark, _stored(lines, "regions"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region_idx", "text"))), lambda x: x["text"]), "\n")
+    kept = good.groupBy("doc_id").agg(F.lit("good").alias("state"), F.count("*").alias("n"), F.sha2(text, 256).alias("text_sha256"))
+    lost = bad.groupBy(F.col("reason").alias("state")).agg(F.count("*").alias("n"), F.lit("").alias("text_sha256"))
+    return kept.unionByName(lost.withColumn("doc_id", F.lit(None).cast("long")))
+
+
+@query
+def truth_round_trip(spark, sf_dir):
+    """Labels as one JSON map a document, some of them damaged, read again."""
+    truth = cards.card_truth(spark, sf_dir)
+    side = truth.groupBy("doc_id", "side").agg(F.map_concat(F.create_map(F.lit("side"), F.col("side")), F.map_from_entries(F.collect_list(F.struct("field", "want")))).alias("labels"))
+    body = F.to_json(F.create_map(F.concat(F.lit("card_"), F.col("doc_id").cast("string")), F.collect_list("labels")))
+    lines = side.groupBy("doc_id").agg(body.alias("json")).select(F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("{"), F.col("json"))).when(F.col("doc_id") % 17 == 0, F.replace("json", F.lit('"side":'), F.lit('"page":'))).otherwise(F.col("json")).alias("value"))
+    good, bad = readers.read_truth_lines(spark, _stored(lines, "truth"))
+    return good.unionByName(bad.groupBy(F.lit(None).cast("string").alias("doc_id")).agg(F.lit("damaged").alias("side"), F.lit("lines").alias("field"), F.count("*").cast("string").alias("want")))
+
+
 @query
 def contract_json(spark, sf_dir):
     return sinks.to_contract(extract.extract_pan(cards.card_regions(spark, sf_dir)), "pan")

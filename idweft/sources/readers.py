@@ -16,6 +16,21 @@ def read_regions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return spark.read.schema(S.REGIONS).format(fmt).load(path)
 
 
+def read_regions_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Recognised lines from JSON texts, one a line: the good ones, and a table of the damaged.
+
+    The second has ``file, value, reason``: ``not json`` where a line can't be read as one
+    region, ``no key`` without document or place, ``no box`` without all four numbers. Blank
+    lines are neither. One damaged line costs nothing but itself.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    got = lines.withColumn("r", F.from_json("value", f"{S.REGIONS}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+    boxed = F.col("r.x1").isNotNull() & F.col("r.y1").isNotNull() & F.col("r.x2").isNotNull() & F.col("r.y2").isNotNull()
+    reason = F.when(F.col("r").isNull() | F.col("r.broken").isNotNull(), "not json").when(F.col("r.doc_id").isNull() | F.col("r.region_idx").isNull(), "no key").when(~boxed, "no box")
+    judged = got.withColumn("reason", reason)
+    return judged.filter("reason is null").select("r.*").drop("broken"), judged.filter("reason is not null").select("file", "value", "reason")
+
+
 def regions_from_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One region for each line of a text; boxes by line number and length. A null text has none."""
     doc = F.col(id_col).cast("long")
@@ -55,9 +70,29 @@ def clean_page_lines(lines: DataFrame) -> DataFrame:
     return rows.withColumn("bbox", F.transform("bbox", lambda v: v.cast("int")))
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """A label map ``{file: [{side, field: value, ...}]}`` as ``doc_id, side, field, want``."""
-    text = spark.read.text(path, wholetext=True)
-    docs = text.select(F.explode(F.from_json("value", "map<string,array<map<string,string>>>")).alias("doc_id", "sides"))
+_TRUTH = "map<string,array<map<string,string>>>"
+
+
+def _truth_rows(maps: DataFrame) -> DataFrame:
+    docs = maps.select(F.explode("labels").alias("doc_id", "sides"))
     sides = docs.select("doc_id", F.explode("sides").alias("s")).select("doc_id", F.col("s")["side"].alias("side"), F.explode("s").alias("field", "want"))
     return sides.filter("field <> 'side'")
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """A label map ``{file: [{side, field: value, ...}]}`` as ``doc_id, side, field, want``."""
+    return _truth_rows(spark.read.text(path, wholetext=True).select(F.from_json("value", _TRUTH).alias("labels")))
+
+
+def read_truth_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Label maps, one a line, as :func:`read_truth` gives them, and the damaged lines (``file, value``).
+
+    A map that can't be read, or has a document without sides or a label without side, is
+    damaged as a whole.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    got = lines.withColumn("labels", F.from_json("value", _TRUTH))
+    whole = lambda sides: sides.isNotNull() & F.forall(sides, lambda s: F.element_at(s, "side").isNotNull())
+    good = F.coalesce(F.forall(F.map_values("labels"), whole) & (F.size("labels") > 0), F.lit(False))
+    judged = got.withColumn("good", good)
+    return _truth_rows(judged.filter("good")), judged.filter("not good").select("file", "value")
