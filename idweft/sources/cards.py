@@ -167,7 +167,7 @@ def card_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def truth_sql(duck: bool) -> str:
     """Labels ``doc_id, side, field, want``; ``cards`` must be there.
 
-    Twelve letters that no address holds leave its similarity just above 0.9, fifteen just below.
+    Eleven letters that no address holds leave its similarity just above 0.9, sixteen just below.
     """
     d = Dialect(duck)
     day, m = d.date("birth_day", "yyyy-MM-dd", "%Y-%m-%d"), d.div("k", 20)
@@ -178,4 +178,4 @@ SELECT k AS doc_id, 'front' AS side, 'aadhaar_number' AS field, CASE WHEN k % 10
 UNION ALL SELECT k, 'front', 'dob', CASE WHEN (k + 1) % 10 = 0 THEN '1901-01-01' WHEN layout = 1 AND {m} % 4 = 2 THEN substr({day}, 1, 4) ELSE {day} END FROM cards WHERE shown = 'AADHAAR' AND layout < 2
 UNION ALL SELECT k, 'front', 'full_name', CASE WHEN (k + 2) % 10 = 0 THEN 'NOBODY' ELSE given || ' ' || family END FROM cards WHERE shown = 'AADHAAR' AND layout = 0
 UNION ALL SELECT k, 'front', 'gender', CASE WHEN (k + 3) % 10 = 0 THEN 'T' WHEN k % 2 = 0 THEN 'M' ELSE 'F' END FROM cards WHERE shown = 'AADHAAR'
-UNION ALL SELECT k, 'back', 'address', CASE WHEN k % 9 = 0 THEN 'NOWHERE' ELSE {address} || CASE k % 9 WHEN 1 THEN ' qqqqqqqqqqqq' WHEN 2 THEN ' qqqqqqqqqqqqqqq' ELSE '' END END FROM cards WHERE shown = 'AADHAAR' AND layout < 2"""
+UNION ALL SELECT k, 'back', 'address', CASE WHEN k % 9 = 0 THEN 'NOWHERE' ELSE {address} || CASE k % 9 WHEN 1 THEN ' qqqqqqqqqqq' WHEN 2 THEN ' qqqqqqqqqqqqqqqq' ELSE '' END END FROM cards WHERE shown = 'AADHAAR' AND layout < 2"""
