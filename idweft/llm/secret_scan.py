@@ -45,6 +45,7 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+SPAN = "struct<start:long,place:int,kind:string,end:long>"
 _GAP = "\0"
 #: A class of more characters than this, or a product of more strings, counts as a gap.
 _MOST_CHARS, _MOST_STRINGS = 8, 256
@@ -122,17 +123,41 @@ def rule_spans(text: Column, order: int, rule: Rule) -> Column:
     gaps, matches = F.split(text, rule.regex, -1), F.regexp_extract_all(text, rx, F.lit(0))
     tested = matches if rule.group == 0 else F.regexp_extract_all(text, rx, F.lit(rule.group))
     rows = F.arrays_zip(gaps.alias("gap"), matches.alias("hit"), tested.alias("part"))
-    kind = "array<struct<start:long,place:int,kind:string,end:long>>"
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["gap"])
+    def step(at: Column, row: Column) -> tuple[Column, Column]:
+        start = at + F.length(row["gap"])
         end = start + F.length(row["hit"])
         span = F.struct(start.cast("long").alias("start"), F.lit(order).alias("place"), F.lit(rule.kind).alias("kind"), end.cast("long").alias("end"))
-        counted = row["hit"].isNotNull() & (F.length(row["part"]) >= rule.least)
-        return F.struct(F.coalesce(end, start).cast("long").alias("at"), F.when(counted, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+        return F.coalesce(end, start).cast("long"), F.when(row["hit"].isNotNull() & (F.length(row["part"]) >= rule.least), span)
 
-    return F.aggregate(rows, empty, step, lambda s: s["out"])
+    return folded(rows, step, SPAN)
+
+
+def folded(items: Column, step, kind: str) -> Column:
+    """What ``step(at, item)`` gives along an array, without the nulls: ``at`` is a running number.
+
+    ``step`` returns the next ``at`` and an element of type ``kind`` or null. A growing array is
+    copied for each element that it takes, so elements gather in blocks of about the square
+    root of their number, and the blocks in an outer array.
+    """
+    let = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+    many_of = lambda x: F.ceil(F.sqrt(F.size(x))).cast("int")
+
+    def block(x: Column, at: Column, first: Column, n: Column) -> Column:
+        empty = F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def one(state: Column, item: Column) -> Column:
+            after, found = step(state["at"], item)
+            return let(found, lambda f: F.struct(after.alias("at"), F.when(f.isNotNull(), F.concat(state["out"], F.array(f))).otherwise(state["out"]).alias("out")))
+
+        return F.aggregate(F.slice(x, first, n), empty, one)
+
+    def blocks(x: Column, n: Column) -> Column:
+        none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        merge = lambda state, first: let(block(x, state["at"], first, n), lambda r: F.struct(r["at"].alias("at"), F.concat(state["out"], F.array(r["out"])).alias("out")))
+        return F.aggregate(F.sequence(F.lit(1), F.size(x), n), none, merge, lambda state: F.flatten(state["out"]))
+
+    return let(items, lambda x: F.when(F.size(x) > 0, let(many_of(x), lambda n: blocks(x, n))).otherwise(F.array().cast(f"array<{kind}>")))
 
 
 def listed(spans: Column) -> Column:
@@ -154,7 +179,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
     postings = written(trigram_index(rows, trigrams, "doc_key", "doc_text"), "trigram_index")
     flagged = written(candidates(postings, rules).withColumnRenamed("doc_key", "flagged_key"), "candidates")
     text = F.coalesce(F.col("doc_text"), F.lit(""))
-    none = F.array().cast("array<struct<start:long,place:int,kind:string,end:long>>")
+    none = F.array().cast(f"array<{SPAN}>")
     found = []
     for i, (rule, query) in enumerate(zip(rules, queries, strict=True)):
         asked = F.col("rules").bitwiseAND(F.lit(1 << i)) != 0 if query else F.lit(True)
@@ -164,15 +189,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
     return joined.select(F.col("doc_key").alias(id_col), F.col("doc_text").alias(text_col), *[F.col(k).alias(name) for k, name in held.items()], F.concat(*found).alias("found"))
 
 
+#: Characters of the pieces that a text is read in where parts of it are taken.
+_PIECE = 4_096
+
+
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced by ``mark``; spans that overlap are replaced as one."""
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with every span replaced by ``mark``; spans that overlap are replaced as one.
+
+    The text is cut into pieces first, so that what stands between two spans is found without
+    counting its characters from the start.
+    """
+    let = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+    clear = lambda at, x: (F.greatest(at, x["end"]), F.when(x["start"] >= at, F.struct(at.alias("from"), x["start"].alias("to"))))
 
-    def step(s: Column, x: Column) -> Column:
-        clear = F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], clear).otherwise(s["out"]).alias("out"))
+    def part(pieces: Column, begin: Column, end: Column) -> Column:
+        first = F.floor(begin / _PIECE).cast("int")
+        held = F.array_join(F.slice(pieces, first + 1, F.floor(end / _PIECE).cast("int") - first + 1), "")
+        return F.substring(held, (begin - F.lit(_PIECE) * first + 1).cast("int"), (end - begin).cast("int"))
 
-    def rest(s: Column) -> Column:
-        return F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
+    def whole(pieces: Column) -> Column:
+        between = F.transform(folded(F.array_sort(found), clear, "struct<from:long,to:long>"), lambda g: part(pieces, g["from"], g["to"]))
+        last = F.array_max(F.transform(found, lambda x: x["end"]))
+        return F.array_join(F.concat(between, F.array(part(pieces, last, F.length(text).cast("long")))), mark)
 
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(F.array_sort(found), state, step, rest))
+    return F.when(F.size(found) == 0, text).otherwise(let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), whole))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from idweft.llm import byte_bpe, compression_bands, edit_counts, secret_scan, source_mix
 from tests.llm.data import PATTERN, RANKS, SCHEMA, rows, table
@@ -237,3 +238,20 @@ def test_copies_without_moving_texts(spark):
         assert any(r["copies"] == 2 for r in got) and any(r["copies"] == 1 for r in got)
     none = source_mix.with_copies(table(spark, []))
     assert none.count() == 0 and none.columns[-1] == "copies"
+
+
+def test_a_text_of_very_many_secrets(spark):
+    """Spans and redaction of 20,000 matches of two kinds, with text of other widths between them."""
+    rng = random.Random(9)
+    parts = [rng.choice(["token=abcdef%06d", "deadbeefdeadbeefdeadbeef%06d", "é😀 %06d", "password: x%06d"]) % i for i in range(20_000)]
+    text = " ".join(parts)
+    spans, at = [], 0
+    for p in parts:
+        kind, lead = ("hex", 0) if p.startswith("dead") else ("assign", 0)
+        if p.startswith(("token", "pass", "dead")):
+            spans.append((at + lead, at + len(p), kind))
+        at += len(p) + 1
+    out = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    row = out.select("found", secret_scan.redacted(F.col("text"), F.col("found")).alias("clean")).first()
+    assert sorted((s["start"], s["end"], s["kind"]) for s in row["found"]) == spans
+    assert row["clean"] == " ".join("[SECRET]" if p.startswith(("token", "pass", "dead")) else p for p in parts)
