@@ -22,5 +22,11 @@ def test_entry_without_the_corpus_operators(tmp_path):
     assert queries.split() == sorted(QUERIES) and set(oracles.split()) <= set(queries.split())
 
 
+def test_entry_without_a_library_of_the_corpus_operators():
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; print(*sorted(e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")}, capture_output=True, text=True, check=True)
+    assert said.stdout.splitlines()[-1].split() == sorted(QUERIES)
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
