@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from idweft.functions import columns as C
 from idweft.functions import patterns as P
-from idweft.operators.pages import after, first, height, let, pages, place, text_of, until
+from idweft.operators.pages import after, first, height, let, pages, place, staged, text_of, until
 from idweft.operators.pairing import paired
 
 COLUMN_GAP = 120
@@ -39,12 +39,11 @@ def english_lines(ordered: Column) -> Column:
     return let(F.filter(ordered, lambda x: ~C.is_script_garbage(x["text"])), alone)
 
 
-def normal_lines(page: DataFrame, column: str) -> DataFrame:
-    """``page`` with the texts of a column of lines in compatibility normal form."""
+def normal_lines(column: str) -> list[dict[str, Column]]:
+    """Stages that put the texts of a column of lines in compatibility normal form."""
     texts = C.nfkc_all(F.transform(column, lambda x: x["text"]))
-    plain = page.withColumn("texts_", texts)
     zipped = let(F.struct(column, "texts_"), lambda s: F.transform(s[column], lambda x, i: x.withField("text", F.get(s["texts_"], i))))
-    return plain.withColumn(column, zipped).drop("texts_")
+    return [{"texts_": texts}, {column: zipped}]
 
 
 def _block(rows: Column) -> Column:
@@ -180,11 +179,13 @@ def repair_states(addresses: DataFrame, column: str = "address") -> DataFrame:
     none passes by. Only their letters go to Python, each garbled name once for a worker;
     a state's exact name is looked up here. A null address stays null.
     """
+    return staged(addresses, _repair_stages, column).drop("tried_", "asked_", "told_")
+
+
+def _repair_stages(column: str) -> list[dict[str, Column]]:
     names = F.create_map(*[F.lit(x) for pair in _EXACT.items() for x in pair])
-    rows = addresses.withColumn("tried_", state_candidates(F.col(column))).withColumn("asked_", asked_states(F.col("tried_")))
     # as if not deterministic, so that no filter on the address takes the call along and asks again
     told = listed_states.asNondeterministic()(F.when(F.size("asked_") > 0, F.col("asked_")))
-    rows = rows.withColumn("told_", told)
 
     def read(part: Column, state: Column) -> Column:
         name = lambda r: F.coalesce(F.element_at(names, r["key"]), F.get(state["told_"], F.array_position(state["asked_"], r["key"]).cast("int") - 1))
@@ -199,7 +200,8 @@ def repair_states(addresses: DataFrame, column: str = "address") -> DataFrame:
     tail = let(F.struct("tried_", "asked_", "told_"), lambda state: F.transform(state["tried_"], lambda part: read(part, state)))
     # an address without a candidate is as it was
     some = F.exists("tried_", lambda p: F.size(p["runs"]) > 0)
-    return rows.withColumn(column, F.when(some, F.array_join(F.concat(head, tail), ",")).otherwise(F.col(column))).drop("tried_", "asked_", "told_")
+    whole = F.when(some, F.array_join(F.concat(head, tail), ",")).otherwise(F.col(column))
+    return [{"tried_": state_candidates(F.col(column))}, {"asked_": asked_states(F.col("tried_"))}, {"told_": told}, {column: whole}]
 
 
 def care_of(full: Column) -> tuple[Column, Column]:
@@ -255,7 +257,11 @@ def address_parts(full: Column, parts: Column) -> dict[str, Column]:
 
 def split_address(addresses: DataFrame) -> DataFrame:
     """Adds the parts of ``address`` to a table with ``address`` and ``parts`` (its lines)."""
-    return addresses.withColumns({k: C.blank(c) for k, c in address_parts(F.col("address"), F.col("parts")).items()})
+    return staged(addresses, _part_stages)
+
+
+def _part_stages() -> list[dict[str, Column]]:
+    return [{k: C.blank(c) for k, c in address_parts(F.col("address"), F.col("parts")).items()}]
 
 
 def best_block(span: Column, cluster: Column) -> Column:
@@ -312,8 +318,8 @@ def passport_address(regions: DataFrame, keys: tuple[str, ...] = ("doc_id",)) ->
     return got.select(*keys, full.alias("address"), F.coalesce("b.conf", F.lit(0.0)).alias("conf"), pin.alias("pin"), C.states_in(full, P.PASSPORT_STATES).alias("state"))
 
 
-def licence_address_of(lines: Column) -> Column:
-    """``struct<value, conf>`` of a licence's address.
+def licence_address_of(lines: Column, entry: Column | None = None) -> Column:
+    """``struct<value, conf>`` of a licence's address; ``entry`` is that of :func:`~idweft.operators.pairing.labelled`, if at hand.
 
     The value column is that of the line paired with the label. Its address lines are taken
     from the label's row (or somewhat above, where the value has a column of its own) to a
@@ -340,6 +346,8 @@ def licence_address_of(lines: Column) -> Column:
 
         return F.coalesce(F.when(label.isNotNull() & anchor.isNotNull(), let(F.concat(glued, let(column, to_gap)), whole)), single)
 
+    if entry is not None:
+        return let(entry, lambda e: gather(e["label"], e))
     label = first(lines, lambda x: x["text"].rlike(P.DL_ADDRESS))
     return let(label, lambda x: let(paired(lines, P.DL_ADDRESS, C.is_licence_address), lambda p: gather(x, p)))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from idweft.functions.columns import blank, let, squeeze
 
-__all__ = ["after", "before", "centre_x", "centre_y", "conf_for", "conf_of", "first", "full_text", "height", "let", "nearest", "pages", "place", "reading_order", "text_of", "until"]
+__all__ = ["after", "before", "centre_x", "centre_y", "conf_for", "conf_of", "first", "full_text", "height", "let", "nearest", "pages", "place", "reading_order", "staged", "stages_of", "text_of", "until"]
 LINE = ("y1", "x1", "region_idx", "text", "conf", "x2", "y2")
 
 
@@ -33,6 +33,28 @@ def pages(regions: DataFrame, keys: tuple[str, ...] = ("doc_id",), **more: Colum
     return got.withColumn("full_text", F.upper(text)).select(*keys, "lines", "ordered", "full_text", *more)
 
 
+_made: dict[tuple, list[dict[str, Column]]] = {}
+
+
+def stages_of(df: DataFrame, make: Callable[..., list[dict[str, Column]]], *args) -> list[dict[str, Column]]:
+    """What ``make(*args)`` gives: columns by stage, each naming the columns that it reads.
+
+    They fit any table with those columns, so they're made once for an application: a large
+    job has thousands of expressions, and to make them takes longer than to plan them.
+    """
+    key = (df.sparkSession.sparkContext.applicationId, make, *args)
+    if key not in _made:
+        _made[key] = make(*args)
+    return _made[key]
+
+
+def staged(df: DataFrame, make: Callable[..., list[dict[str, Column]]], *args) -> DataFrame:
+    """``df`` with the columns of every stage added or replaced."""
+    for stage in stages_of(df, make, *args):
+        df = df.withColumns(stage)
+    return df
+
+
 def reading_order(regions: DataFrame, keys: tuple[str, ...] = ("doc_id", "attempt")) -> DataFrame:
     """Every region with its place ``rn`` in reading order, from 1."""
     return regions.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("y1", "x1", "region_idx")))

@@ -68,6 +68,39 @@ def paired(lines: Column, label_rx: str, accept: Test | None = None, clean: Test
     return let(label, lambda x: let(glued_tail(x, label_rx), lambda t: beside(x, t)))
 
 
+def labelled(lines: Column, labels: dict[str, Test | None]) -> Column:
+    """A table of a page's labels, read by all fields: ``array<struct<label, tail, value, conf, line>>``.
+
+    One entry for each of ``labels`` (a pattern, and what a value beside it must be), in their
+    order, as :func:`paired` finds it; ``label`` is null where the page doesn't have it. Every
+    line is tested once for each label and each kind of value, and one expression pairs them all.
+    """
+    tests = list({id(t): t for t in labels.values() if t}.values())
+    none = F.lit(None).cast("string")
+
+    def mark(x: Column) -> Column:
+        kinds = F.array(F.lit(True), *[t(F.trim(x["text"])) for t in tests])
+        tails = F.array(*[F.when(x["text"].rlike(rx), glued_tail(x, rx)).otherwise(none) for rx in labels])
+        return F.struct(x.alias("line"), kinds.alias("kinds"), tails.alias("tails"))
+
+    def entry(marked: Column, k: Column, kind: Column) -> Column:
+        def beside(m: Column) -> Column:
+            label, tail = m["line"], F.get(m["tails"], k)
+            dy = lambda x: F.abs(centre_y(x["line"]) - centre_y(label))
+            fits = lambda x: (x["line"]["region_idx"] != label["region_idx"]) & (centre_x(x["line"]) > centre_x(label)) & (dy(x) <= F.greatest(height(label) * 1.6, F.lit(50.0))) & F.get(x["kinds"], kind)
+            ranked = F.transform(F.filter(marked, fits), lambda x: F.struct(dy(x).alias("d"), x["line"]["region_idx"].alias("i"), x["line"].alias("line")))
+            chosen = lambda best: F.struct(label.alias("label"), tail.alias("tail"), C.blank(F.when(tail != "", tail).otherwise(F.trim(text_of(best)))).alias("value"), conf_of(F.when((tail != "") | best.isNull(), label).otherwise(best)).alias("conf"), F.when((tail != "") | best.isNull(), label).otherwise(best).alias("line"))
+            return let(F.array_min(ranked)["line"], chosen)
+
+        def missing(m: Column) -> Column:
+            return F.struct(m["line"].alias("label"), F.lit("").alias("tail"), F.lit("").alias("value"), F.lit(0.0).alias("conf"), m["line"].alias("line"))
+
+        return let(first(marked, lambda x: F.get(x["tails"], k).isNotNull()), lambda m: F.when(m.isNotNull(), beside(m)).otherwise(missing(m)))
+
+    asked = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(1 + [id(x) for x in tests].index(id(t)) if t else 0).alias("kind")) for k, t in enumerate(labels.values())])
+    return let(F.transform(lines, mark), lambda marked: F.transform(asked, lambda a: entry(marked, a["k"], a["kind"])))
+
+
 def _as_table(regions: DataFrame, found: Callable[[DataFrame], Column], keys: tuple[str, ...]) -> DataFrame:
     page = pages(regions, keys)
     got = page.select(*keys, found(page).alias("got"))
@@ -220,8 +253,8 @@ def gender_after_label(regions: DataFrame, keys: tuple[str, ...] = ("doc_id",))
 # ---- licence: names by their order in the value column
 
 
-def licence_name_lines(lines: Column) -> Column:
-    """``struct<name, name_conf, guardian, guardian_conf>``.
+def licence_name_lines(lines: Column, name_entry: Column | None = None, guard_entry: Column | None = None) -> Column:
+    """``struct<name, name_conf, guardian, guardian_conf>``; the entries are those of :func:`labelled`, where they are at hand.
 
     A value behind the label wins. Else the holder is the first name-like line right of the
     label column from a row height above the label on, and the guardian the next one lower.
@@ -251,6 +284,8 @@ def licence_name_lines(lines: Column) -> Column:
         under = lambda i: F.when(need & i.isNull(), below(lines, name_label, C.is_licence_name))
         return let(column, lambda c: let(in_column(c), lambda i: let(under(i), lambda u: choose(c, i, u))))
 
+    if name_entry is not None:
+        return let(F.struct(name_entry.alias("n"), guard_entry.alias("g")), lambda e: found(e["n"]["label"], e["g"]["label"], C.blank(e["n"]["tail"]), C.blank(e["g"]["tail"])))
     tails = lambda n, g: let(glued_tail(n, P.DL_NAME_GLUE), lambda a: let(glued_tail(g, P.DL_GUARDIAN), lambda b: found(n, g, a, b)))
     return let(by_label(P.DL_NAME_LABEL), lambda n: let(by_label(P.DL_GUARDIAN), lambda g: tails(n, g)))
 

@@ -7,6 +7,7 @@ Every field comes as a value and its confidence; what isn't found is '' with con
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,20 +17,32 @@ from idweft.functions import patterns as P
 from idweft.operators import blocks as B
 from idweft.operators import classify as K
 from idweft.operators import pairing as R
-from idweft.operators.pages import before, conf_for, conf_of, first, let, pages, place, text_of
+from idweft.operators.pages import before, conf_for, conf_of, first, let, pages, place, staged, stages_of, text_of
 
 Keys = tuple[str, ...]
 AS_OF = dt.date(2026, 1, 1)
 
 
-def _wide(page: DataFrame, keys: Keys, fields: dict[str, tuple[Column, Column | None]]) -> DataFrame:
+def _columns(fields: dict[str, tuple[Column, Column | None]]) -> dict[str, Column]:
     """One column for each value, and ``<name>_confidence`` (0 to 100) where it has one."""
-    out = []
+    out = {}
     for name, (value, conf) in fields.items():
-        out.append(value.alias(name))
+        out[name] = value
         if conf is not None:
-            out.append(C.confidence(conf).alias(f"{name}_confidence"))
-    return page.select(*keys, *out)
+            out[f"{name}_confidence"] = C.confidence(conf)
+    return out
+
+
+def _wide(page: DataFrame, keys: Keys, fields: dict[str, tuple[Column, Column | None]]) -> DataFrame:
+    return page.select(*keys, *[c.alias(n) for n, c in _columns(fields).items()])
+
+
+def _staged(page: DataFrame, keys: Keys, make: Callable[..., list[dict[str, Column]]], *args) -> DataFrame:
+    """``page`` with each stage's columns added, ``keys`` and those of the last one selected."""
+    *stages, last = stages_of(page, make, *args)
+    for stage in stages:
+        page = page.withColumns(stage)
+    return page.select(*keys, *[c.alias(n) for n, c in last.items()])
 
 
 def extract_pan(regions: DataFrame, keys: Keys = ("doc_id",)) -> DataFrame:
@@ -100,36 +113,43 @@ def extract_dob(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt.date = A
 
 def _aadhaar(regions: DataFrame, keys: Keys, as_of: dt.date) -> DataFrame:
     """What both sides need: the number, the birth date, the gender, and the address block."""
-    page = pages(regions, keys)
-    masked = R.masked_number(page.lines)
-    number = F.regexp_replace(C.found(page.full_text, P.AADHAAR), r"\s+", "")
-    is_masked = (number == "") & (masked["value"] != "")
-    value = F.when(is_masked, F.concat(F.lit("XXXXXXXX"), masked["value"])).otherwise(number)
-    page = page.withColumn("number", value).withColumn("is_masked", is_masked).withColumn("number_conf", F.when(is_masked, masked["conf"]).otherwise(conf_for(page.lines, number)))
-    page = page.withColumn("dob", F.coalesce(*dob_steps(page.lines, page.full_text, F.lit(as_of))))
-    words = C.found(page.full_text, P.GENDER, 1)
-    hindi = F.array(*[F.struct(C.found(page.full_text, rx).alias("word"), F.lit(code).alias("code")) for rx, code in P.GENDER_WORDS])
+    return staged(pages(regions, keys), _aadhaar_stages, as_of)
+
+
+def _aadhaar_stages(as_of: dt.date) -> list[dict[str, Column]]:
+    text, lines = F.col("full_text"), F.col("lines")
+    stages = [{"masked": R.masked_number(lines), "printed": F.regexp_replace(C.found(text, P.AADHAAR), r"\s+", ""), "born": F.coalesce(*dob_steps(lines, text, F.lit(as_of))), "english": B.english_lines(F.col("ordered"))}]
+    is_masked = (F.col("printed") == "") & (F.col("masked.value") != "")
+    stages.append({"is_masked": is_masked})
+    number = F.when(F.col("is_masked"), F.concat(F.lit("XXXXXXXX"), F.col("masked.value"))).otherwise(F.col("printed"))
+    words = C.found(text, P.GENDER, 1)
+    hindi = F.array(*[F.struct(C.found(text, rx).alias("word"), F.lit(code).alias("code")) for rx, code in P.GENDER_WORDS])
     other = F.get(F.filter(hindi, lambda h: h["word"] != ""), 0)
-    page = page.withColumn("gender_word", F.when(words != "", words).otherwise(C.blank(other["word"]))).withColumn("gender", F.when(words != "", C.gender_code(words)).otherwise(C.blank(other["code"])))
-    lines = B.english_lines(page.ordered)
-    page = B.normal_lines(page.withColumn("english", lines), "english")
-    span, cluster = B.labelled_span(page.english, page.number), B.marked_cluster(page.english, page.number)
-    return page.withColumn("span", span).withColumn("cluster", cluster).withColumn("block", B.best_block(F.col("span"), F.col("cluster")))
-
-
-def _front(page: DataFrame, keys: Keys, salt: str) -> DataFrame:
-    name = R.anchored_name(page.ordered)
-    unique = F.when(page.is_masked, "").otherwise(C.uniqueness_id(page.number, salt))
-    out = _wide(page, keys, {
-        "full_name": (C.clean_name(text_of(name)), conf_of(name)), "gender": (page.gender, conf_for(page.lines, page.gender_word)),
-        "dob": (C.blank(page.dob["value"]), conf_for(page.lines, C.blank(page.dob["raw"]))), "yob": (F.coalesce(page.dob["yob"], F.lit(False)), None),
-        "aadhaar_number": (page.number, page.number_conf), "is_masked": (page.is_masked, None), "uniqueness_id": (unique, None),
+    stages.append({
+        "number": number, "number_conf": F.when(F.col("is_masked"), F.col("masked.conf")).otherwise(conf_for(lines, F.col("printed"))),
+        "gender_word": F.when(words != "", words).otherwise(C.blank(other["word"])), "sex": F.when(words != "", C.gender_code(words)).otherwise(C.blank(other["code"])),
     })
-    return out
+    return stages + _block_stages("number")
+
+
+def _block_stages(number: str | None = None) -> list[dict[str, Column]]:
+    """The address block of a page with ``english`` lines; ``number`` names the column of its own number."""
+    own = F.col(number) if number else F.lit("")
+    return [*B.normal_lines("english"), {"span": B.labelled_span(F.col("english"), own), "cluster": B.marked_cluster(F.col("english"), own)}, {"block": B.best_block(F.col("span"), F.col("cluster"))}]
+
+
+def _front_stages(salt: str) -> list[dict[str, Column]]:
+    lines, name = F.col("lines"), F.col("name_line")
+    unique = F.when(F.col("is_masked"), "").otherwise(C.uniqueness_id(F.col("number"), salt))
+    return [{"name_line": R.anchored_name(F.col("ordered"))}, _columns({
+        "full_name": (C.clean_name(text_of(name)), conf_of(name)), "gender": (F.col("sex"), conf_for(lines, F.col("gender_word"))),
+        "dob": (C.blank(F.col("born.value")), conf_for(lines, C.blank(F.col("born.raw")))), "yob": (F.coalesce(F.col("born.yob"), F.lit(False)), None),
+        "aadhaar_number": (F.col("number"), F.col("number_conf")), "is_masked": (F.col("is_masked"), None), "uniqueness_id": (unique, None),
+    })]
 
 
 def extract_aadhaar_front(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt.date = AS_OF, salt: str = "") -> DataFrame:
-    return _front(_aadhaar(regions, keys, as_of), keys, salt)
+    return _staged(_aadhaar(regions, keys, as_of), keys, _front_stages, salt)
 
 
 def _address(page: DataFrame, keys: Keys, extra: list[str]) -> DataFrame:
@@ -148,7 +168,7 @@ def extract_aadhaar_back(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt
 
 def aadhaar_sides(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt.date = AS_OF) -> DataFrame:
     """``keys, document_type, aadhaar_number``: a row for each side shown; the front if neither is."""
-    page = _aadhaar(regions, keys, as_of).select(*keys, "number", (F.col("dob").isNotNull() | (F.col("gender") != "")).alias("front"), F.col("block").isNotNull().alias("back"))
+    page = _aadhaar(regions, keys, as_of).select(*keys, "number", (F.col("born").isNotNull() | (F.col("sex") != "")).alias("front"), F.col("block").isNotNull().alias("back"))
     side = lambda test, name: page.filter(test).select(*keys, F.lit(name).alias("document_type"), F.col("number").alias("aadhaar_number"))
     return side("front or not back", "aadhaar_front_bottom").unionByName(side("back", "aadhaar_back"))
 
@@ -228,55 +248,62 @@ def licence_dob(lines: Column, full_text: Column, issue_year: Column) -> Column:
     return F.coalesce(value, F.struct(C.blank(best["iso"]).alias("value"), conf_for(lines, C.blank(best["raw"])).alias("conf")))
 
 
-def licence_issue_date(lines: Column, dob: Column) -> Column:
-    """``struct<value, conf>``: by label in order, first dates behind all labels, then beside them."""
+def licence_issue_date(lines: Column, dob: Column, pairs: Column) -> Column:
+    """``struct<value, conf>``: by label in order, first dates behind all labels, then beside them (``pairs``)."""
     dated_ = lambda text, conf: F.struct(C.to_iso_date(text).alias("value"), conf.alias("conf"))
-    real = lambda d: (d["value"] != "") & (d["value"] != dob)
     behind = [rf"(?i){x}\s*[:\-]?\s*{P.DL_DATE_TOKEN}" for x in P.DL_ISSUE_LABELS]
-    # of every line what stands behind each label; then the labels in order, each with its first line
-    tokens = F.transform(lines, lambda x, i: F.transform(F.array(*[F.regexp_extract(x["text"], rx, 1) for rx in behind]), lambda t, k: F.struct(t.alias("t"), k.alias("k"), i.alias("i"), x["conf"].alias("conf"))))
-    tokens = F.filter(F.flatten(tokens), lambda x: x["t"] != "")
-    read = F.filter(F.transform(tokens, lambda x: F.struct(x["k"].alias("k"), x["i"].alias("i"), dated_(x["t"], x["conf"]).alias("d"))), lambda x: real(x["d"]))
-    glued = F.array_min(read)["d"]
-    pairs = F.array(*[R.paired(lines, f"(?i){x}") for x in P.DL_ISSUE_LABELS])
-    beside = F.get(F.filter(F.transform(pairs, lambda p: dated_(F.regexp_replace(p["value"], r"^[:\s]+", ""), p["conf"])), real), 0)
-    return F.coalesce(glued, beside, F.struct(F.lit("").alias("value"), F.lit(0.0).alias("conf")))
+    # of every line what stands behind each label, then what stands beside the labels, in one list by rank
+    n = len(behind)
+    tokens = F.transform(lines, lambda x, i: F.transform(F.array(*[F.regexp_extract(x["text"], rx, 1) for rx in behind]), lambda t, k: F.struct(k.alias("k"), i.alias("i"), t.alias("t"), x["conf"].alias("conf"))))
+    beside = F.transform(pairs, lambda p, k: F.struct((k + n).alias("k"), F.lit(0).alias("i"), F.regexp_replace(p["value"], r"^[:\s]+", "").alias("t"), p["conf"].alias("conf")))
+    told = F.filter(F.concat(F.flatten(tokens), beside), lambda x: x["t"] != "")
+    read = F.filter(F.transform(told, lambda x: F.struct(x["k"].alias("k"), x["i"].alias("i"), dated_(x["t"], x["conf"]).alias("d"))), lambda x: (x["d"]["value"] != "") & (x["d"]["value"] != dob))
+    return F.coalesce(F.array_min(read)["d"], F.struct(F.lit("").alias("value"), F.lit(0.0).alias("conf")))
 
 
-def extract_licence(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt.date = AS_OF) -> DataFrame:
-    page = pages(regions, keys)
+#: The labels of a licence and what a value beside each has to be; those of the issue date come first.
+_LICENCE_LABELS: dict = dict.fromkeys([f"(?i){x}" for x in P.DL_ISSUE_LABELS]) | {P.DL_BLOOD: C.is_blood_group, P.DL_ADDRESS: C.is_licence_address}
+
+
+def _licence_stages(as_of: dt.date) -> list[dict[str, Column]]:
+    """The job's columns by stage, each in terms of those before it."""
+    text, lines = F.col("full_text"), F.col("lines")
+    n_issue = len(P.DL_ISSUE_LABELS)
     pick = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
-    raw = pick(C.found(page.full_text, P.DL_MODERN), C.found(page.full_text, P.DL_LEGACY), C.found(page.full_text, rf"\b({P.VEHICLE})\b", 1))
-    page = page.withColumn("raw", raw)
-    page = page.withColumn("number", F.regexp_replace("raw", "[^A-Z0-9]", ""))
-    page = page.withColumn("issue_year", C.licence_issue_year(page.number, F.lit(as_of)))
-    page = page.withColumn("born", licence_dob(page.lines, page.full_text, page.issue_year))
-    page = page.withColumn("named", R.licence_name_lines(page.lines))
-    page = page.withColumn("addr", B.licence_address_of(page.lines)).withColumn("blood", R.paired(page.lines, P.DL_BLOOD, C.is_blood_group))
-    page = page.withColumn("issued", licence_issue_date(page.lines, F.col("born.value")))
+    raw = pick(C.found(text, P.DL_MODERN), C.found(text, P.DL_LEGACY), C.found(text, rf"\b({P.VEHICLE})\b", 1))
+    stages = [{"raw": raw, "table": R.labelled(lines, _LICENCE_LABELS)}]
+    stages.append({"number": F.regexp_replace("raw", "[^A-Z0-9]", "")})
+    stages.append({"issue_year": C.licence_issue_year(F.col("number"), F.lit(as_of)), "named": R.licence_name_lines(lines), "addr": B.licence_address_of(lines, F.get("table", n_issue + 1)), "blood": F.get("table", n_issue)})
+    stages.append({"born": licence_dob(lines, text, F.col("issue_year"))})
+    stages.append({"issued": licence_issue_date(lines, F.col("born.value"), F.slice("table", 1, n_issue))})
     # a layout without labels: names and then the address, straight under the number
     bare = (F.col("named.name") == "") & (F.col("named.guardian") == "") & (F.col("addr.value") == "")
-    page = page.withColumn("under", F.when(bare, B.block_under_number(page.lines, page.raw)))
-    one, two = F.get("under", 0), F.get("under", 1)
-    is_name = lambda x: x.isNotNull() & F.coalesce(C.is_licence_name(text_of(x)), F.lit(False))
-    n_names = F.when(is_name(one) & is_name(two), 2).when(is_name(one), 1).otherwise(0)
-    rest = F.slice("under", n_names + 1, F.greatest(F.size("under"), F.lit(0)))
-    rest = F.filter(rest, lambda x: C.is_licence_address(x["text"]) | F.trim(x["text"]).rlike(r"^[\d/\-]{2,}$"))
-    found_under = bare & (n_names > 0) & (F.size(rest) > 0)
     # a lost label: a date in the year that the number encodes
-    dates = F.transform(F.regexp_extract_all(page.full_text, F.lit(P.FULL_DATE), F.lit(0)), lambda d: F.struct(d.alias("raw"), C.to_iso_date(d).alias("iso")))
+    dates = F.transform(F.regexp_extract_all(text, F.lit(P.FULL_DATE), F.lit(0)), lambda d: F.struct(d.alias("raw"), C.to_iso_date(d).alias("iso")))
     unlabelled = F.filter(dates, lambda d: (d["iso"] != "") & (d["iso"] != F.col("born.value")) & (F.substring(d["iso"], 1, 4).cast("int") == F.col("issue_year")))
-    page = page.withColumn("late", F.when(F.col("issue_year") > 0, F.get(unlabelled, 0)))
+    stages.append({"bare": bare, "under": F.when(bare, B.block_under_number(lines, F.col("raw"))), "late": F.when(F.col("issue_year") > 0, F.get(unlabelled, 0))})
+    is_name = lambda x: x.isNotNull() & F.coalesce(C.is_licence_name(text_of(x)), F.lit(False))
+    one, two = F.get("under", 0), F.get("under", 1)
+    names = let(is_name(one), lambda a: F.when(a & is_name(two), 2).when(a, 1).otherwise(0))
+    stages.append({"n_names": F.when(F.col("bare"), names).otherwise(0)})
+    rest = F.slice("under", F.col("n_names") + 1, F.greatest(F.size("under"), F.lit(0)))
+    stages.append({"rest": F.filter(rest, lambda x: C.is_licence_address(x["text"]) | F.trim(x["text"]).rlike(r"^[\d/\-]{2,}$"))})
+    has, found_under = F.col("n_names") > 0, (F.col("n_names") > 0) & (F.size("rest") > 0)
     late = C.blank(F.col("late.raw"))
     use_late = (F.col("issued.value") == "") & (late != "")
-    return _wide(page, keys, {
-        "license_number": (page.number, conf_for(page.lines, page.raw)),
-        "name": (F.when(bare & (n_names > 0), C.clean_name(F.trim(text_of(one)))).otherwise(F.col("named.name")), F.when(bare & (n_names > 0), conf_of(one)).otherwise(F.col("named.name_conf"))),
-        "swd": (F.when(bare & (n_names > 1), C.clean_name(F.trim(text_of(two)))).otherwise(F.col("named.guardian")), F.when(bare & (n_names > 1), conf_of(two)).otherwise(F.col("named.guardian_conf"))),
+    fields = {
+        "license_number": (F.col("number"), conf_for(lines, F.col("raw"))),
+        "name": (F.when(has, C.clean_name(F.trim(text_of(one)))).otherwise(F.col("named.name")), F.when(has, conf_of(one)).otherwise(F.col("named.name_conf"))),
+        "swd": (F.when(F.col("n_names") > 1, C.clean_name(F.trim(text_of(two)))).otherwise(F.col("named.guardian")), F.when(F.col("n_names") > 1, conf_of(two)).otherwise(F.col("named.guardian_conf"))),
         "dob": (F.col("born.value"), F.col("born.conf")), "blood_group": (F.trim(F.regexp_replace(F.col("blood.value"), r"^[:\s.]+", "")), F.col("blood.conf")),
-        "address": (F.when(found_under, F.array_join(F.transform(rest, lambda x: F.trim(x["text"])), ", ")).otherwise(F.col("addr.value")), F.when(found_under, F.array_min(F.transform(rest, lambda x: x["conf"]))).otherwise(F.col("addr.conf"))),
-        "issue_date": (F.when(use_late, F.col("late.iso")).otherwise(F.col("issued.value")), F.when(use_late, conf_for(page.lines, late)).otherwise(F.col("issued.conf"))),
-    })
+        "address": (F.when(found_under, F.array_join(F.transform("rest", lambda x: F.trim(x["text"])), ", ")).otherwise(F.col("addr.value")), F.when(found_under, F.array_min(F.transform("rest", lambda x: x["conf"]))).otherwise(F.col("addr.conf"))),
+        "issue_date": (F.when(use_late, F.col("late.iso")).otherwise(F.col("issued.value")), F.when(use_late, conf_for(lines, late)).otherwise(F.col("issued.conf"))),
+    }
+    return [*stages, _columns(fields)]
+
+
+def extract_licence(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt.date = AS_OF) -> DataFrame:
+    return _staged(pages(regions, keys), keys, _licence_stages, as_of)
 
 
 # ---- voter card
@@ -315,13 +342,14 @@ def extract_voter_front(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt.
 
 def extract_voter_back(regions: DataFrame, keys: Keys = ("doc_id",)) -> DataFrame:
     page = pages(regions, keys)
-    page = page.filter(K.voter_side(page.full_text) == "back").withColumn("english", B.english_lines(F.col("ordered")))
-    page = B.normal_lines(page, "english")
-    page = page.withColumn("span", B.labelled_span(page.english, F.lit(""))).withColumn("cluster", B.marked_cluster(page.english, F.lit("")))
-    page = page.withColumn("block", B.best_block(F.col("span"), F.col("cluster")))
+    page = staged(page.filter(K.voter_side(page.full_text) == "back"), _voter_block_stages)
     return _address(page, keys, []).drop("care_of", "relation")
 
 
+def _voter_block_stages() -> list[dict[str, Column]]:
+    return [{"english": B.english_lines(F.col("ordered"))}, *_block_stages()]
+
+
 JOBS = {
     "PAN": (extract_pan,), "AADHAAR": (extract_aadhaar_front, extract_aadhaar_back), "PASSPORT": (extract_passport_front, extract_passport_back),
     "DRIVING_LICENSE": (extract_licence,), "VOTER_ID": (extract_voter_front, extract_voter_back),
