@@ -354,3 +354,8 @@ JOBS = {
     "PAN": (extract_pan,), "AADHAAR": (extract_aadhaar_front, extract_aadhaar_back), "PASSPORT": (extract_passport_front, extract_passport_back),
     "DRIVING_LICENSE": (extract_licence,), "VOTER_ID": (extract_voter_front, extract_voter_back),
 }
+#: Jobs by the name that their contract carries.
+CONTRACT_JOBS = {
+    "pan": extract_pan, "aadhaar_front_bottom": extract_aadhaar_front, "aadhaar_back": extract_aadhaar_back, "passport_front": extract_passport_front, "passport_back": extract_passport_back,
+    "driving_license": extract_licence, "voter_front": extract_voter_front, "voter_back": extract_voter_back,
+}

@@ -387,3 +387,26 @@ UNION ALL SELECT NULL, 'damaged', 'lines', CAST(count(DISTINCT doc_id) AS VARCHA
     "licence_address": f"{DOCS}, {LICENCE_ADDRESSES} SELECT * FROM licence_addresses WHERE address <> ''",
     "extract_licence": f"{LICENCE} SELECT * FROM licences",
 }
+
+
+def contract(name: str, job: str, fields: str) -> str:
+    """The contracts of a job's rows, from its own oracle; a field with a star has a confidence."""
+    one = lambda f: f"'{f[:-1]}': {{'value': {f[:-1]}, 'confidence': {f[:-1]}_confidence}}" if f.endswith("*") else f"'{f}': {f}"
+    body = f"CAST(to_json({{'document_type': {q(name)}, {', '.join(map(one, fields.split()))}}}) AS VARCHAR)"
+    shell = f"""'{{"data":{{"ocr_fields":[' || {body} || ']}},"status_code":200,"message_code":"success","message":null,"success":true}}'"""
+    return f"SELECT doc_id, {q(name)} AS document_type, {shell} AS json FROM ({ORACLE_SQL[job]})"
+
+
+_parts = "zip care_of relation country state house_number district city"
+ORACLE_SQL["contracts_all"] = " UNION ALL ".join(
+    (
+        contract("pan", "extract_pan", "pan_number* full_name* father_name* dob*"),
+        contract("aadhaar_front_bottom", "extract_aadhaar_front", "full_name* gender* dob* yob aadhaar_number* is_masked uniqueness_id"),
+        contract("aadhaar_back", "extract_aadhaar_back", f"aadhaar_number* is_masked address* {_parts}"),
+        contract("passport_front", "extract_passport_front", "country_code* dob* doe* doi* gender* given_name* nationality* passport_num* place_of_birth* place_of_issue* surname* mrz_line_1* mrz_line_2* type_of_passport*"),
+        contract("passport_back", "extract_passport_back", "address* father* mother* file_num* old_passport_num* pin* spouse*"),
+        contract("driving_license", "extract_licence", "license_number* name* swd* dob* blood_group* address* issue_date*"),
+        contract("voter_front", "extract_voter_front", "full_name* age* care_of* dob* doc* gender* epic_number*"),
+        contract("voter_back", "extract_voter_back", "address* zip country state house_number district city"),
+    )
+)

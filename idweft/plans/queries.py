@@ -246,8 +246,7 @@ def mask_rects(spark, sf_dir):
 
 @query
 def mask_report(spark, sf_dir):
-    rows, ids = cards.card_regions(spark, sf_dir), _ids(spark, sf_dir)
-    out = masking.mask_report(ids, masking.mask_rects(rows, ids, _sizes(rows)), pairing.find_masked_id(rows))
+    out = masking.mask_pages(cards.card_regions(spark, sf_dir))
     return out.withColumn("masked_regions", F.to_json("masked_regions"))
 
 
@@ -526,6 +525,16 @@ def contract_json(spark, sf_dir):
     return sinks.to_contract(extract.extract_pan(cards.card_regions(spark, sf_dir)), "pan")
 
 
+@query
+def contracts_all(spark, sf_dir):
+    """The contract of every job over every document that it takes, the class of the card not asked."""
+    rows, out = cards.card_regions(spark, sf_dir), None
+    for name, job in extract.CONTRACT_JOBS.items():
+        one = sinks.to_contract(job(rows), name).select("doc_id", F.lit(name).alias("document_type"), "json")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def failure_json(spark, sf_dir):
     out = verify.verify_documents(cards.attempt_regions(spark, sf_dir), cards.card_requests(spark, sf_dir))
