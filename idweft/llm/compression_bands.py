@@ -23,6 +23,10 @@ WHOLE_BANDS = ((0, 0.60, 1.60), (100, 0.95, 2.20), (300, 1.25, 2.20), (1_000, 1.
 #: The same for chunks, which are one length but for the last: wider, as a chunk varies more.
 CHUNK_BANDS = ((0, 0.50, 2.5), (100, 0.80, 3.2), (300, 1.10, 3.2), (1_000, 1.40, 3.2), (3_000, 1.60, 3.2))
 CHUNK_BYTES = 4_096
+#: (bytes from, share of marks, bytes that one mark adds): ASCII punctuation that is more than this
+#: share of a text and adds less than so many compressed bytes each is repeated for nothing. Marks
+#: of prose are 2 to 5 % and add some 0.8; manuals in markup of some length hold up to 12 % cheap ones.
+MARK_BANDS = ((0, 1.0, 0.0), (300, 0.08, 0.5), (4_096, 0.15, 0.5))
 #: A document goes when more than this share of its chunks is out of band.
 BAD_CHUNKS = 0.25
 SYMBOLS = b"#*$%&|<>"
@@ -46,6 +50,26 @@ def ratios(data: bytes, compressor: zstandard.ZstdCompressor, chunk_bytes: int =
     return ratio(data), [(len(c), ratio(c)) for c in chunks]
 
 
+_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
+
+
+def marks(data: bytes, whole: float, compressor: zstandard.ZstdCompressor) -> tuple[float, float]:
+    """Share of marks in a text, and the compressed bytes that each adds (0 without any).
+
+    ``whole`` is the ratio of the text: its compressed size less that of the text without marks.
+    """
+    plain = data.translate(None, _MARKS)
+    n = len(data) - len(plain)
+    if not n:
+        return 0.0, 0.0
+    return n / len(data), (len(data) / whole - len(compressor.compress(plain))) / n
+
+
+def marks_in_band(size: int, share: float, cost: float, bands=MARK_BANDS) -> bool:
+    most, least = next((a, b) for low, a, b in reversed(bands) if size >= low)
+    return share < most or cost >= least
+
+
 def repeated_words(words: list[bytes], size: int = 5) -> int:
     """Words in windows of ``size`` words that the text holds twice or more."""
     if len(words) <= size:
@@ -67,12 +91,13 @@ def duplicate_lines(data: bytes) -> int:
     return sum(lines.values()) - len(lines)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_bands=WHOLE_BANDS, chunk_bands=CHUNK_BANDS, chunk_bytes: int = CHUNK_BYTES, bad_chunks: float = BAD_CHUNKS, level: int = 3) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_bands=WHOLE_BANDS, chunk_bands=CHUNK_BANDS, chunk_bytes: int = CHUNK_BYTES, bad_chunks: float = BAD_CHUNKS, level: int = 3, mark_bands=MARK_BANDS) -> DataFrame:
     """Counts, ratios and the verdict for every document, in one pass without a shuffle.
 
     ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` long, ``base_failed``
     boolean, ``ratio`` double of the whole text, ``chunk_low, chunk_high`` double over the
-    chunks, ``in_bands`` boolean, ``kept`` boolean (false if ``base_failed``).
+    chunks, ``mark_share, mark_cost`` double (see :func:`marks`), ``in_bands`` boolean, ``kept``
+    boolean (false if ``base_failed``).
     A null or empty text has no words: it fails the base rule, its ratio is 1. Null, tied
     and repeated ids are passed through row by row; other columns are left out.
     """
@@ -88,15 +113,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole
                 whole, chunks = ratios(data, compressor, chunk_bytes)
                 failed = len(words) < 10 or 100 * repeat > 20 * len(words)
                 bad = sum(not in_band(n, r, chunk_bands) for n, r in chunks)
-                good = in_band(len(data), whole, whole_bands) and bad <= bad_chunks * len(chunks)
+                share, cost = marks(data, whole, compressor)
+                good = in_band(len(data), whole, whole_bands) and bad <= bad_chunks * len(chunks) and marks_in_band(len(data), share, cost, mark_bands)
                 # a code point has one byte that is not 10xxxxxx
                 chars = int((np.frombuffer(b"".join(words), np.int8) >= -64).sum())
-                out.append((len(words), chars, len(data) - len(data.translate(None, SYMBOLS)), duplicate_lines(data), repeat, failed, whole, min(r for _, r in chunks), max(r for _, r in chunks), good, good and not failed))
-            columns = zip(*out, strict=True) if out else [[]] * 11
+                out.append((len(words), chars, len(data) - len(data.translate(None, SYMBOLS)), duplicate_lines(data), repeat, failed, whole, min(r for _, r in chunks), max(r for _, r in chunks), share, cost, good, good and not failed))
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
             arrays = [pa.array(list(c), to_arrow[k]) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
 
-    fields = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("ratio", "double"), ("chunk_low", "double"), ("chunk_high", "double"), ("in_bands", "boolean"), ("kept", "boolean")]
+    fields = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("ratio", "double"), ("chunk_low", "double"), ("chunk_high", "double"), ("mark_share", "double"), ("mark_cost", "double"), ("in_bands", "boolean"), ("kept", "boolean")]
     kinds = [k for _, k in fields]
     names = ["doc_key", *(n for n, _ in fields)]
     to_arrow = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}

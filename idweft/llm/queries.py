@@ -20,7 +20,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compression_bands.score(_documents(spark, sf_dir))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "chunk_low", "chunk_high")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "chunk_low", "chunk_high", "mark_share", "mark_cost")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,22 @@ def test_compression_bands_keep_good_texts(spark):
     assert share[1] > 0.95 and share[0] < share[1] - 0.3
 
 
+def test_compression_bands_judge_what_the_base_rule_passes(spark):
+    """On the half of sf0.1's labelled rows that the limits were not set on; prose that is no part of them stays."""
+    sf = SF.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("crc32(string(doc_id)) % 2 = 1")
+    out = QUERIES["op2_compression_bands"](spark, sf).filter("not base_failed").join(labels, "doc_id")
+    share = {r["quality"]: r["s"] for r in out.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
+    assert share[0] <= 0.15 and share[1] >= 0.995
+    import this  # a text that comes with the language, in rot13
+
+    prose = this.s.translate(str.maketrans({**{chr(65 + i): chr(65 + (i + 13) % 26) for i in range(26)}, **{chr(97 + i): chr(97 + (i + 13) % 26) for i in range(26)}}))
+    manual = compression_bands.__doc__ + compression_bands.score.__doc__ + ngram_join.__doc__ + (substring_dedup.remove_repeats.__doc__ or "")
+    texts = [(0, prose), (1, manual), (2, " ".join(w + "***" for w in prose.split())), (3, " | ".join(prose.split()))]
+    got = {r["doc_id"]: r["kept"] for r in compression_bands.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False}
+
+
 def test_secret_scan_counts_equal_sql(spark):
     got = QUERIES["op9_secret_scan"](spark, SF).collect()
     assign = r"""((?i)(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""".replace("((?i)(?:", "(?i)(").replace("key))", "key)")
