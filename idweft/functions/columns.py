@@ -159,9 +159,9 @@ def mrz_lines(full_text: Column) -> tuple[Column, Column]:
 
 def mrz_names(line: Column) -> tuple[Column, Column, Column, Column]:
     """Type, country, surname and given name of the first line."""
-    tail = F.substring(line, 3, 1000)
+    tail = F.substring(line, F.lit(3), F.length(line))
     country = F.regexp_extract(tail, r"^([A-Z]{3})", 1)
-    rest = F.when(country != "", F.substring(tail, 4, 1000)).otherwise(F.regexp_replace(tail, "^<+", ""))
+    rest = F.when(country != "", F.substring(tail, F.lit(4), F.length(tail))).otherwise(F.regexp_replace(tail, "^<+", ""))
     parts = F.filter(F.split(rest, "<<"), lambda s: s != "")
     name = lambda i: clean_name(F.regexp_replace(blank(F.get(parts, i)), "<", " "))
     real = F.length(line) >= 5

@@ -91,6 +91,21 @@ PASSPORT_NOT_NAME = (
     r"(?i)NAME\s*OF|ADDRESS|GUARDIAN|FATHER|MOTHER|SPOUSE|FILE\s*NO|OLD\s*PASSPORT|PASSP|REPUBLIC|INDIA|"
     r"PUNJAB|HARYANA|DELHI|MAHARASHTRA|BLOCK|AEROCITY|NAGAR|MOHALI|PIN"
 )
+PIN_LABELLED = r"PIN[:\s]*([0-9]{6})|\b([0-9]{6})\b"
+ADDRESS_WORD = r"(?i)ADDRESS"
+OLD_PASSPORT = r"(?i)OLD\s*PASSPORT"
+FILE_NUMBER = r"\b([A-Z]{2}\d{13,14})\b"
+PASSPORT_WORD = r"\b([A-Z]{1,2}\d{6,7})\b"
+SEX_WORD = r"(?i)\b(MALE|FEMALE)\b"
+ANY_SEX_WORD = r"(?i)\b(MALE|FEMALE|TRANSGENDER)\b"
+BIRTH_LABEL, ISSUE_DATE_LABEL, EXPIRY_LABEL = r"(?:DATE\s*OF\s*BIRTH|BIRTH)", r"DATE\s*OF\s*ISSUE", r"DATE\s*OF\s*EXPIRY"
+#: After a label: a date, or a place; the label or what the place is of goes in.
+DATE_AFTER, PLACE_AFTER = r"(?i){label}[:\s]*({date})", r"(?i)PLACE\s*OF\s*{what}[:\s]*([A-Z, ]+)"
+DL_BIRTH_LABEL = r"(?:DOB|DATE\s*OF\s*BIRTH|BIRTH)"
+CARE_OF_LEAD = r"(?i)^(?:C/O|S/O|D/O|W/O)"
+PAN_DATE = r"\b(\d{1,2}/\d{1,2}/\d{4})\b"
+VOTER_RELATIVE = r"(?i)FATH|HUSB|MOTH"
+BARE_DIGITS = r"^[\d/\-]{2,}$"
 DL_DATE = r"(?:[0-3]?\d[/\-. ]+[01]?\d[/\-. ]+\d{4}|[0-3]?\d[/\-. ]*[A-Za-z]{3,}[/\-. ]*\d{4})"
 DL_ISSUE_NEAR = r"(?i)(?:ISSUE|VALID|EXPIR|DOI\b|TILL)"
 DL_ADDRESS_STOP = (

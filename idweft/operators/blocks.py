@@ -242,7 +242,7 @@ def address_parts(full: Column, parts: Column) -> dict[str, Column]:
     """PIN, care-of, country, state, house number, district and city of an address."""
     segments = F.filter(F.split(full, r"\s*,\s*"), lambda s: F.trim(s) != "")
     name, relation = care_of(full)
-    leading = F.get(F.filter(parts, lambda p: ~p.rlike("(?i)^(?:C/O|S/O|D/O|W/O)")), 0)
+    leading = F.get(F.filter(parts, lambda p: ~p.rlike(P.CARE_OF_LEAD)), 0)
     house = C.found(full, P.HOUSE_NUMBER, 1)
     house = F.when(house != "", house).otherwise(C.found(leading, P.LEADING_NUMBER, 1))
     suffix = F.get(F.filter(F.transform(segments, lambda s: F.regexp_extract(F.trim(s), P.CITY_SUFFIX, 1)), lambda s: (s != "") & s.rlike(P.PLACE)), 0)
@@ -304,7 +304,7 @@ def best_address(spans: DataFrame, clusters: DataFrame, keys: tuple[str, ...] =
 
 def back_address(ordered: Column) -> Column:
     """``struct<parts, conf>`` of the lines after ADDRESS up to the next label of the back."""
-    at = place(ordered, lambda x: x["text"].rlike("(?i)ADDRESS"))
+    at = place(ordered, lambda x: x["text"].rlike(P.ADDRESS_WORD))
     lines = lambda i: until(F.filter(after(ordered, i), lambda x: F.trim(x["text"]) != ""), lambda x: x["text"].rlike(P.PASSPORT_ADDRESS_STOP))
     return let(at, lambda i: F.when(i.isNotNull(), _block(F.transform(lines(i), _row))))
 
@@ -314,7 +314,7 @@ def passport_address(regions: DataFrame, keys: tuple[str, ...] = ("doc_id",)) ->
     page = pages(regions, keys)
     got = page.select(*keys, back_address(page.ordered).alias("b"))
     full = F.regexp_replace(C.blank(F.array_join("b.parts", ", ")), r"^[ ,]+|[ ,]+$", "")
-    pin = F.coalesce(F.nullif(F.regexp_extract(full, r"PIN[:\s]*([0-9]{6})|\b([0-9]{6})\b", 1), F.lit("")), F.regexp_extract(full, r"PIN[:\s]*([0-9]{6})|\b([0-9]{6})\b", 2))
+    pin = F.coalesce(F.nullif(F.regexp_extract(full, P.PIN_LABELLED, 1), F.lit("")), F.regexp_extract(full, P.PIN_LABELLED, 2))
     return got.select(*keys, full.alias("address"), F.coalesce("b.conf", F.lit(0.0)).alias("conf"), pin.alias("pin"), C.states_in(full, P.PASSPORT_STATES).alias("state"))
 
 

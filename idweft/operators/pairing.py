@@ -177,7 +177,7 @@ def above_dob(ordered: Column, dob: Column) -> tuple[Column, Column]:
 def names_above_dob(regions: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys, full_name, father_name`` from the two name lines nearest above the date."""
     page = pages(regions, keys)
-    father, holder = above_dob(page.ordered, C.found(page.full_text, r"\b(\d{1,2}/\d{1,2}/\d{4})\b", 1))
+    father, holder = above_dob(page.ordered, C.found(page.full_text, P.PAN_DATE, 1))
     return page.select(*keys, C.clean_name(text_of(holder)).alias("full_name"), C.clean_name(text_of(father)).alias("father_name"))
 
 
@@ -215,7 +215,7 @@ def value_after(regions: DataFrame, label_rx: str, keys: tuple[str, ...] = ("doc
 
 def back_names(ordered: Column) -> tuple[Column, Column, Column]:
     """First three name lines above the address: father, mother, spouse."""
-    at = F.coalesce(place(ordered, lambda x: x["text"].rlike("(?i)ADDRESS")), F.size(ordered))
+    at = F.coalesce(place(ordered, lambda x: x["text"].rlike(P.ADDRESS_WORD)), F.size(ordered))
     names = F.filter(before(ordered, at), lambda x: C.is_passport_name(x["text"]))
     return F.get(names, 0), F.get(names, 1), F.get(names, 2)
 

@@ -47,7 +47,7 @@ def _staged(page: DataFrame, keys: Keys, make: Callable[..., list[dict[str, Colu
 
 def extract_pan(regions: DataFrame, keys: Keys = ("doc_id",)) -> DataFrame:
     page = pages(regions, keys)
-    number, dob = C.found(page.full_text, P.PAN), C.found(page.full_text, r"\b(\d{1,2}/\d{1,2}/\d{4})\b", 1)
+    number, dob = C.found(page.full_text, P.PAN), C.found(page.full_text, P.PAN_DATE, 1)
     page = page.withColumn("number", number).withColumn("dob", dob)
     father, holder = R.above_dob(page.ordered, page.dob)
     return _wide(page, keys, {
@@ -187,19 +187,19 @@ def extract_passport_front(regions: DataFrame, keys: Keys = ("doc_id",)) -> Data
     date = P.FULL_DATE
     pick = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
     years = F.transform(F.regexp_extract_all(text, F.lit(rf"\b{date}\b"), F.lit(0)), lambda d, i: F.struct(F.regexp_extract(d, r"(\d{4})", 1).alias("y"), i.alias("i"), d.alias("d")))
-    labelled = lambda rx: C.found(text, rf"(?i){rx}[:\s]*({date})", 1)
-    place_of = lambda what: F.upper(F.regexp_replace(F.trim(C.found(text, rf"(?i)PLACE\s*OF\s*{what}[:\s]*([A-Z, ]+)", 1)), ",+$", ""))
-    printed = C.found(text, r"(?i)\b(MALE|FEMALE)\b", 1)
+    labelled = lambda rx: C.found(text, P.DATE_AFTER.format(label=rx, date=date), 1)
+    place_of = lambda what: F.upper(F.regexp_replace(F.trim(C.found(text, P.PLACE_AFTER.format(what=what), 1)), ",+$", ""))
+    printed = C.found(text, P.SEX_WORD, 1)
     gender = pick(sex, F.when(printed == "MALE", "M").when(printed == "FEMALE", "F").otherwise(""))
-    page = page.withColumn("passport", pick(number, C.found(text, r"\b([A-Z]{1,2}\d{6,7})\b", 1)))
+    page = page.withColumn("passport", pick(number, C.found(text, P.PASSPORT_WORD, 1)))
     base = conf_for(page.lines, page.passport, F.when(page.line1 != "", conf_for(page.lines, F.substring(page.line1, 1, 8))).otherwise(0.0))
     country = pick(country2, country1)
     page = page.withColumn("base", base)
-    doi, birth_place, issue_place = labelled(r"DATE\s*OF\s*ISSUE"), place_of("BIRTH"), place_of("ISSUE")
+    doi, birth_place, issue_place = labelled(P.ISSUE_DATE_LABEL), place_of("BIRTH"), place_of("ISSUE")
     b = page.base
     return _wide(page, keys, {
-        "country_code": (country, b), "dob": (pick(C.mrz_date(birth), labelled(r"(?:DATE\s*OF\s*BIRTH|BIRTH)"), C.blank(F.array_min(years)["d"])), b),
-        "doe": (pick(C.mrz_date(expiry, expiry=True), labelled(r"DATE\s*OF\s*EXPIRY")), b), "doi": (doi, conf_for(page.lines, doi)),
+        "country_code": (country, b), "dob": (pick(C.mrz_date(birth), labelled(P.BIRTH_LABEL), C.blank(F.array_min(years)["d"])), b),
+        "doe": (pick(C.mrz_date(expiry, expiry=True), labelled(P.EXPIRY_LABEL)), b), "doi": (doi, conf_for(page.lines, doi)),
         "gender": (F.when(gender.isin("M", "F"), gender).otherwise(""), b), "given_name": (given, b), "nationality": (F.when(country == "IND", "INDIAN").otherwise(""), b),
         "passport_num": (page.passport, b), "place_of_birth": (birth_place, conf_for(page.lines, birth_place)), "place_of_issue": (issue_place, conf_for(page.lines, issue_place)),
         "surname": (surname, b), "mrz_line_1": (page.line1, b), "mrz_line_2": (page.line2, b), "type_of_passport": (type_, b),
@@ -219,13 +219,12 @@ def mrz_fields(regions: DataFrame, keys: Keys = ("doc_id",)) -> DataFrame:
 def extract_passport_back(regions: DataFrame, keys: Keys = ("doc_id",)) -> DataFrame:
     page = pages(regions, keys)
     page = page.filter(K.passport_side(page.full_text) == "back")
-    page = page.withColumn("file", C.found(page.full_text, r"\b([A-Z]{2}\d{13,14})\b", 1)).withColumn("block", B.back_address(page.ordered))
+    page = page.withColumn("file", C.found(page.full_text, P.FILE_NUMBER, 1)).withColumn("block", B.back_address(page.ordered))
     full = F.regexp_replace(C.blank(F.array_join("block.parts", ", ")), r"^[ ,]+|[ ,]+$", "")
     page = page.withColumn("address", full).withColumn("conf", F.when(full != "", F.col("block.conf")).otherwise(0.0))
-    rx = r"PIN[:\s]*([0-9]{6})|\b([0-9]{6})\b"
-    pin = F.concat(C.found(page.address, rx, 1), C.found(page.address, rx, 2))
+    pin = F.concat(C.found(page.address, P.PIN_LABELLED, 1), C.found(page.address, P.PIN_LABELLED, 2))
     father, mother, spouse = R.back_names(page.ordered)
-    old = R.next_value(page.ordered, r"(?i)OLD\s*PASSPORT")
+    old = R.next_value(page.ordered, P.OLD_PASSPORT)
     name = lambda x: (C.clean_name(text_of(x)), conf_of(x))
     return _wide(page, keys, {
         "address": (page.address, page.conf), "father": name(father), "mother": name(mother), "file_num": (page.file, conf_for(page.lines, page.file)),
@@ -238,7 +237,7 @@ def extract_passport_back(regions: DataFrame, keys: Keys = ("doc_id",)) -> DataF
 
 def licence_dob(lines: Column, full_text: Column, issue_year: Column) -> Column:
     """``struct<value, conf>``: a labelled date, else the earliest that can be a birth date."""
-    labelled = C.found(full_text, rf"(?i)(?:DOB|DATE\s*OF\s*BIRTH|BIRTH)[:\s]*({P.DL_DATE})", 1)
+    labelled = C.found(full_text, P.DATE_AFTER.format(label=P.DL_BIRTH_LABEL, date=P.DL_DATE), 1)
     first_iso = C.to_iso_date(labelled)
     rows = F.transform(dated(full_text, P.DL_DATE, 30, False), lambda d: F.struct(C.to_iso_date(d["raw"]).alias("iso"), d["raw"].alias("raw"), d["context"].alias("context")))
     late = lambda iso: (issue_year > 0) & (F.substring(iso, 1, 4).cast("int") > issue_year - 16)
@@ -287,7 +286,7 @@ def _licence_stages(as_of: dt.date) -> list[dict[str, Column]]:
     names = let(is_name(one), lambda a: F.when(a & is_name(two), 2).when(a, 1).otherwise(0))
     stages.append({"n_names": F.when(F.col("bare"), names).otherwise(0)})
     rest = F.slice("under", F.col("n_names") + 1, F.greatest(F.size("under"), F.lit(0)))
-    stages.append({"rest": F.filter(rest, lambda x: C.is_licence_address(x["text"]) | F.trim(x["text"]).rlike(r"^[\d/\-]{2,}$"))})
+    stages.append({"rest": F.filter(rest, lambda x: C.is_licence_address(x["text"]) | F.trim(x["text"]).rlike(P.BARE_DIGITS))})
     has, found_under = F.col("n_names") > 0, (F.col("n_names") > 0) & (F.size("rest") > 0)
     late = C.blank(F.col("late.raw"))
     use_late = (F.col("issued.value") == "") & (late != "")
@@ -316,7 +315,7 @@ def extract_voter_front(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt.
     raw = C.found(text, P.VOTER_DOB, 1)
     page = page.withColumn("epic", C.found(text, P.EPIC)).withColumn("raw", raw).withColumn("dob", F.when(raw != "", C.dmy_to_iso(raw)).otherwise(""))
     dob_conf = conf_for(page.lines, page.raw)
-    word = C.found(text, r"(?i)\b(MALE|FEMALE|TRANSGENDER)\b", 1)
+    word = C.found(text, P.ANY_SEX_WORD, 1)
     fuzzy = R.voter_gender(page.ordered)
     years = C.age(page.dob, F.lit(as_of))
 
@@ -326,7 +325,7 @@ def extract_voter_front(regions: DataFrame, keys: Keys = ("doc_id",), as_of: dt.
 
     parent = first(page.ordered, lambda x: F.trim(relation(x)) != "")
     own_name = lambda x: F.regexp_extract(F.trim(x["text"]), P.VOTER_NAME, 1)
-    named = first(page.ordered, lambda x: ~x["text"].rlike("(?i)FATH|HUSB|MOTH") & (F.trim(own_name(x)) != ""))
+    named = first(page.ordered, lambda x: ~x["text"].rlike(P.VOTER_RELATIVE) & (F.trim(own_name(x)) != ""))
     at = place(page.ordered, lambda x: (page.epic != "") & F.contains(F.upper(x["text"]), page.epic))
     over = F.element_at(F.filter(before(page.ordered, at), lambda x: C.is_voter_name(x["text"])), -1)
     over = F.when(F.exists(before(page.ordered, at), lambda x: C.is_voter_name(x["text"])), over)

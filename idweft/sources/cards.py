@@ -137,11 +137,13 @@ attempt_regions AS (
 def _view(spark: SparkSession, sf_dir: str, name: str, columns: str = "*") -> DataFrame:
     sql = f"WITH {cards_sql(duck=False)} SELECT {columns} FROM {name}"
 
+    source = f"{sf_dir}/customer.parquet"
+
     def make() -> DataFrame:
-        keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+        keys = spark.read.parquet(source).select("c_custkey")
         return spark.sql(sql.replace("FROM customer)", "FROM {keys})"), keys=keys)
 
-    return once(spark, make, sf_dir, sql)
+    return once(spark, make, source, sql)
 
 
 def card_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,19 @@ def folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def once(spark: SparkSession, make: Callable[[], DataFrame], *key: str) -> DataFrame:
-    """The table of ``make``, written at the first call with this key in this application."""
-    key = (spark.sparkContext.applicationId, *key)
+def stamp(spark: SparkSession, path: str) -> str:
+    """Size and time of change of a file or folder, which tell whether it is still the same."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return f"{files.getContentSummary(at).getLength()} {files.getFileStatus(at).getModificationTime()}"
+
+
+def once(spark: SparkSession, make: Callable[[], DataFrame], source: str, *key: str) -> DataFrame:
+    """The table of ``make``, written at the first call with this key in this application.
+
+    It is written anew where ``source``, the file that it is made from, has changed since.
+    """
+    key = (spark.sparkContext.applicationId, source, stamp(spark, source), *key)
     if key not in _written:
         path = f"{folder(spark)}/idweft-{uuid.uuid4().hex}"
         make().write.parquet(path)

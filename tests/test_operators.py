@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from idweft import schema as S
+from idweft.functions import columns as C
+from idweft.functions import patterns as P
 from idweft.operators import blocks, classify, masking, pages, pairing, regions
 from idweft.plans import extract, verify
-from idweft.sources import readers, sinks
+from idweft.sources import readers, scratch, sinks
 from idweft.streaming import streams
 
 
@@ -65,6 +67,42 @@ def test_mask_report_fails_closed(spark):
     assert got == {1: (True, False, True), 2: (True, False, False), 3: (False, True, True)}
 
 
+def test_pages_are_masked_in_one_pass_as_by_tables(spark):
+    rng, df = random.Random(8), None
+    texts = ["UIDAI AADHAAR", "2345", "6789", "0123", "2345 6789 0123", "XXXX XXXX 4270", "INCOME TAX PAN", "ABCDE1234F", "VID : 9146 3489 2265 9361", "A1234567 PASSPORT", "", None, "HR41 20220002435 DRIVING LICENCE"]
+    for doc in range(40):
+        part = lines(spark, *[(rng.choice(texts), rng.randrange(0, 300), rng.randrange(0, 120), rng.randrange(20, 90), rng.random()) for _ in range(rng.randint(1, 9))], doc=doc)
+        df = part if df is None else df.unionByName(part)
+    df = df.coalesce(2).cache()
+    sizes = df.groupBy("doc_id").agg((F.max("x2") + 20).alias("width"), (F.max("y2") + 20).alias("height"))
+    ids = verify.masked_ids(pages.full_text(df, ("doc_id",)).join(df.select("doc_id").distinct(), "doc_id", "right"))
+    joined = masking.mask_report(ids, masking.mask_rects(df, ids, sizes), pairing.find_masked_id(df))
+    assert sorted(map(str, masking.mask_pages(df).collect())) == sorted(map(str, joined.collect()))
+
+
+def test_table_of_labels_equals_single_pairs(spark):
+    rng = random.Random(3)
+    texts = ["BG: O+", "BG", "A-", "Address", "Add: 12 Rose Lane", "House 12 Sector 7", "Issue Date", "DOI 01-02-2010", "09-Aug-2022", "ID:", "", "Nil"]
+    labels = {P.DL_BLOOD: C.is_blood_group, P.DL_ADDRESS: C.is_licence_address, r"(?i)ISSUE\s*DATE": None, r"(?i)\bDOI\b": None}
+    df = None
+    for doc in range(30):
+        part = lines(spark, *[(rng.choice(texts), rng.randrange(0, 300), rng.randrange(0, 150)) for _ in range(rng.randint(1, 8))], doc=doc)
+        df = part if df is None else df.unionByName(part)
+    page = pages.pages(df.coalesce(2))
+    one = lambda x: F.struct(x["value"].alias("value"), x["conf"].alias("conf"))
+    both = page.select(F.transform(pairing.labelled(F.col("lines"), labels), one).alias("a"), F.array(*[one(pairing.paired(F.col("lines"), rx, test)) for rx, test in labels.items()]).alias("b"))
+    assert both.filter("a <> b").count() == 0 and both.count() == 30
+
+
+def test_derived_tables_follow_their_source(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    read = lambda: scratch.once(spark, lambda: spark.read.parquet(path), path, "x").count()
+    spark.range(5).write.parquet(path)
+    assert read() == 5 and read() == 5
+    spark.range(9).write.mode("overwrite").parquet(path)
+    assert read() == 9
+
+
 def test_merging_is_idempotent_and_ignores_row_order(spark):
     rng = random.Random(4)
     rows = [("234567890123", rng.randrange(0, 300), rng.randrange(0, 200), rng.randrange(20, 90)) for _ in range(40)]
