@@ -135,7 +135,7 @@ def repaired(source: str) -> str:
 segments AS (SELECT doc_id, len(p) AS n_parts, unnest(range(1, len(p) + 1)) AS pos, unnest(p) AS part FROM (SELECT doc_id, string_split(address, ',') AS p FROM {source})),
 words_of AS (SELECT doc_id, pos, regexp_extract_all(part, '[A-Za-z]+|[^A-Za-z]+') AS w FROM segments WHERE pos > n_parts - 3),
 windows AS (SELECT doc_id, pos, size, i, w, array_to_string(w[i:i + 2 * size - 2], '') AS run FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words_of), (VALUES (3), (2), (1)) sizes(size) WHERE i + 2 * size - 2 <= len(w)),
-keyed AS MATERIALIZED (SELECT *, upper(regexp_replace(run, '\s', '', 'g')) AS a FROM windows WHERE regexp_full_match(run, '[A-Za-z][A-Za-z\s]*[A-Za-z]')),
+keyed AS MATERIALIZED (SELECT *, upper(regexp_replace(run, '\\s', '', 'g')) AS a FROM windows WHERE regexp_full_match(run, '[A-Za-z][A-Za-z\\s]*[A-Za-z]')),
 near AS MATERIALIZED (SELECT k.*, s.letters AS b, s.place, s.name FROM keyed k JOIN states s ON left(a, 1) = left(letters, 1) AND abs(length(a) - length(letters)) <= 2 WHERE length(a) >= 5),
 {ratios("likeness", "near")},
 read_states AS (SELECT doc_id, pos, size, i, w, name FROM near JOIN likeness USING (a, b) WHERE ratio >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY size DESC, i, place) = 1),

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -154,23 +154,28 @@ def _dedup_table(rows: DataFrame, horizon: int, key: str, order: str, parts: int
     return dealt.sortWithinPartitions(key, "ts", order).mapInArrow(run, rows.schema)
 
 
+def _micros(rows: DataFrame) -> Column:
+    """Event time as the watermark counts it, whatever the session's time zone."""
+    if dict(rows.dtypes)["ts"] == "timestamp_ntz":
+        return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return F.unix_micros("ts")
+
+
 def _dedup_stream(rows: DataFrame, horizon: int, key: str, order: str, watermark: str) -> DataFrame:
     names = rows.columns
 
     def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, held = state.get if state.exists else (None, None)
         waiting = ([pickle.loads(held)] if held else []) + [f for f in frames if len(f)]
-        waiting = pd.concat(waiting, ignore_index=True) if waiting else pd.DataFrame(columns=names)
+        waiting = pd.concat(waiting, ignore_index=True) if waiting else pd.DataFrame(columns=[*names, "micros_"])
         passed = state.getCurrentWatermarkMs()
-        micros = waiting["ts"].astype("datetime64[us]").astype("int64")
-        ready = micros <= passed * 1_000
-        due = waiting[ready].assign(micros_=micros[ready]).sort_values(["micros_", order])
+        ready = waiting["micros_"].astype("int64") <= passed * 1_000
+        due, rest = waiting[ready].sort_values(["micros_", order]), waiting[~ready]
         kept, last = _kept(due["micros_"].tolist(), last, horizon)
-        rest = waiting[~ready]
         state.update((last, pickle.dumps(rest) if len(rest) else None))
         if len(rest):
-            state.setTimeoutTimestamp(max(int(micros[~ready].min() // 1_000) + 1, passed + 1))
+            state.setTimeoutTimestamp(max(int(rest["micros_"].min() // 1_000) + 1, passed + 1))
         yield due[pd.Series(kept, index=due.index, dtype=bool)][names]
 
-    grouped = rows.withWatermark("ts", watermark).groupBy(key)
+    grouped = rows.withColumn("micros_", _micros(rows)).withWatermark("ts", watermark).groupBy(key)
     return grouped.applyInPandasWithState(run, rows.schema, "last long, held binary", "append", GroupStateTimeout.EventTimeTimeout)

@@ -9,6 +9,7 @@ import unicodedata
 from difflib import SequenceMatcher
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from idweft.functions import columns as C
@@ -104,7 +105,17 @@ def plain_dedup(rows, horizon):
     return sorted(kept)
 
 
-def test_dedup_within_a_horizon_is_the_same_on_stream_and_table(spark, tmp_path):
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata"])
+def test_dedup_within_a_horizon_is_the_same_on_stream_and_table(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        dedup_both_ways(spark, tmp_path, zone[:3])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def dedup_both_ways(spark, tmp_path, zone):
     rng = random.Random(4)
     rows = [(i, clock(rng.randrange(0, 3_000)), rng.choice(["hot", "hot", "a", "b", "c"])) for i in range(240)]
     rows += [(500 + i, clock(100), "tied") for i in range(4)] + [(600, clock(160), "tied"), (601, clock(161), "tied"), (700, None, "a"), (701, clock(3), None)]
@@ -114,7 +125,7 @@ def test_dedup_within_a_horizon_is_the_same_on_stream_and_table(spark, tmp_path)
     rng.shuffle(rows)
     # two rows of other identities move the watermark past all of them
     stream = feed(spark, str(tmp_path), IDENTITY, rows[:80], rows[80:90], rows[90:], [(9_000, clock(30_000), "end")], [(9_001, clock(60_000), "end")])
-    got = table_of(spark, streams.dedup_within(stream, 3_600, watermark="3 days"), tmp_path, "within")
+    got = table_of(spark, streams.dedup_within(stream, 3_600, watermark="3 days"), tmp_path, f"within{zone}")
     assert sorted(r["doc_id"] for r in got if r["doc_id"] < 9_000) == wanted
     assert streams.dedup_within(spark.createDataFrame([], IDENTITY), 60).count() == 0
 
