@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from idweft.llm import byte_bpe, compression_bands, edit_counts, multi_index_hash, ngram_join, secret_scan, source_mix, substring_dedup, token_store, toxicity_cnn
+from idweft.llm import byte_bpe, compression_bands, edit_counts, multi_index_hash, ngram_join, periodic_runs, secret_scan, source_mix, substring_dedup, token_store, toxicity_cnn
 from idweft.llm.queries import QUERIES
 from tests.llm.data import PATTERN, RANKS, rows, table
 
@@ -135,3 +135,20 @@ def test_clashing_columns_in_search_and_copies(spark):
     docs = table(spark, rows()[:30])
     mixed = source_mix.with_copies(docs.withColumns({c: F.lit("x") for c in ("steps", "own_key", "mixed_source", "has_words", "doc")}), copies_col="times")
     assert Counter(map(tuple, mixed.select("doc_id", "times").collect())) == Counter(map(tuple, source_mix.with_copies(docs).select("doc_id", "copies").collect()))
+
+
+def test_very_long_texts(spark):
+    """A text of 200,000 words, a copy of it in a longer one, and a short one, through the operators that read words."""
+    rng = np.random.default_rng(5)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 9_000, 200_000))
+    docs = spark.createDataFrame([(1, long, "en", "s"), (2, long + " and some more", "en", "s"), (3, "short text", "en", "s"), (4, long[::-1], "en", "s")], "doc_id long, text string, lang string, source string")
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert removed == {1: (200_000, 0), 2: (200_003, 200_000), 3: (2, 0), 4: (200_000, 0)}
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.link_documents(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert all(0 <= r["score"] <= 1 for r in toxicity_cnn.score(docs, toxicity_cnn.Model.new()).collect())
+    words = Tokenizer.from_file(VOCABULARY)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_store.read(spark, token_store.write(docs, VOCABULARY), digests=True).collect()}
+    ids = np.asarray([*words.encode(long, add_special_tokens=False).ids, 1], "<u4")
+    assert got[1] == (len(ids), zlib.crc32(ids.tobytes()))
+    found = {r["doc_id"]: (r["n_words"], len(r["runs"])) for r in periodic_runs.find_runs(docs).collect()}
+    assert found[1] == (200_000, 0) and found[4] == (200_000, 0)
