@@ -53,7 +53,7 @@ def test_compression_bands_keep_good_texts(spark):
 
 
 def test_compression_bands_judge_what_the_base_rule_passes(spark):
-    """On the half of sf0.1's labelled rows that the limits were not set on; prose that is no part of them stays."""
+    """On half of sf0.1's labelled rows (the limits on marks were chosen with all of them in sight); prose of another kind stays."""
     sf = SF.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{sf}/labels.parquet").filter("crc32(string(doc_id)) % 2 = 1")
     out = QUERIES["op2_compression_bands"](spark, sf).filter("not base_failed").join(labels, "doc_id")
