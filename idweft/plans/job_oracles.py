@@ -379,6 +379,7 @@ SELECT doc_id, CAST(length(wide) AS INT) AS n_wide, CAST(length(nfc_normalize(te
     "regions_round_trip": f"""{oracles.CARDS}, cases AS (SELECT *, (doc_id * 7 + region_idx) % 29 AS c FROM card_regions)
 SELECT doc_id, 'good' AS state, count(*) AS n, sha256(string_agg(text, chr(10) ORDER BY region_idx)) AS text_sha256 FROM cases WHERE c NOT IN (1, 3, 5) GROUP BY doc_id
 UNION ALL SELECT NULL, CASE c WHEN 1 THEN 'not json' WHEN 3 THEN 'no key' ELSE 'no box' END, count(*), '' FROM cases WHERE c IN (1, 3, 5) GROUP BY ALL""",
+    "uploads_scanned": f"{oracles.CARDS} SELECT doc_id % 8 AS folder, '.txt' AS suffix, CAST(sum(1 + coalesce(strlen(text), 0)) AS BIGINT) AS n_bytes FROM card_regions GROUP BY ALL",
     "truth_round_trip": f"""{oracles.CARDS}, truth AS ({truth_sql(duck=True)})
 SELECT 'card_' || doc_id AS doc_id, side, field, want FROM truth WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0
 UNION ALL SELECT NULL, 'damaged', 'lines', CAST(count(DISTINCT doc_id) AS VARCHAR) FROM truth WHERE doc_id % 13 = 0 OR doc_id % 17 = 0 HAVING count(*) > 0""",

@@ -509,6 +509,15 @@ def regions_round_trip(spark, sf_dir):
     return kept.unionByName(lost.withColumn("doc_id", F.lit(None).cast("long")))
 
 
+@query
+def uploads_scanned(spark, sf_dir):
+    """Lines of cards stored as files in eight folders; the bytes that a scan lists for each."""
+    path = f"{scratch.folder(spark)}/idweft-{uuid.uuid4().hex}/uploads"
+    cards.card_regions(spark, sf_dir).select("text", (F.col("doc_id") % 8).alias("folder")).write.partitionBy("folder").text(path)
+    folder = F.regexp_extract("path", r"/folder=(\d+)/", 1).cast("long")
+    return readers.scan_uploads(spark, path).groupBy(folder.alias("folder"), "suffix").agg(F.sum("n_bytes").alias("n_bytes"))
+
+
 @query
 def truth_round_trip(spark, sf_dir):
     """Labels as one JSON map a document, some of them damaged, read again."""
