@@ -5,35 +5,39 @@ a word's vector is the sum of both. Filters of one, two and three words slide
 over them; each keeps its largest response in the document (max pooling), and a logistic
 layer turns these into a score. Case in A-Z and punctuation are dropped before hashing.
 Language, source and id never enter a score; a threshold is calibrated for each language, on
-labelled documents that training leaves out. The bounded sample is fit in one task, so the
-driver holds only the model.
+labelled documents that training leaves out. Every labelled document outside the held-out fold
+is used. Their rows are dealt to trainers of some thousands each; in a round every trainer
+takes steps from the same model over its rows as they stream by, and what the trainers changed
+is averaged by ranges of the embedding table. The driver holds only the model, of a fixed size.
 """
 
 from __future__ import annotations
 
-import pickle
-import zlib
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idweft.llm.words import mixed, word_hashes
+from idweft.llm.storage import discard, written
+from idweft.llm.words import mixed, slices, word_hashes
 
-#: Labelled documents that the model is fit on at most, of each label, clean ones that the
-#: thresholds are set on, and bytes of a text above which it is not in either sample.
-MOST_TOXIC, MOST_CLEAN, MOST_CALIBRATING, MOST_BYTES = 2_000, 4_000, 4_000, 1 << 18
+#: Labelled documents that a trainer takes on average, those that it holds at once, and buckets
+#: of the embedding table that are averaged together.
+TRAINER_ROWS, HELD_ROWS, RANGE = 4_096, 1_024, 8_192
 #: Sizes of the model: hash buckets, embedding, widths of the filters, filters of each width.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 16, (1, 2, 3), 12
 #: Words of fewer training documents than this have no embedding: they would be learned by heart.
 LEAST_DOCS, PREFIX = 4, 4
-#: Passes over the sample, and steps that a small sample gets at least (within ten times the passes).
-EPOCHS, LEAST_STEPS = 5, 500
+#: Rounds over the labelled rows, rows of a step, and steps that few rows get at least (within ten times the passes).
+EPOCHS, BATCH, LEAST_STEPS = 5, 32, 500
+#: What a labelled row is for: steps, the choice of the round that is kept, thresholds.
+TRAINS, CHECKS, SETS_LIMITS = 0, 1, 2
 #: Words of a text that are convolved at once; the pieces overlap, so every window is seen.
 PIECE = 4_096
 #: Of crc32(id) mod FOLDS: the rows never learned from, and those that only calibrate.
@@ -117,146 +121,294 @@ class Model:
         return self.thresholds.get(lang, self.default)
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Model:
-    """Fits a model by Adam on the logistic loss, both labels weighed alike.
+class Training:
+    """A model while it is fit: Adam on the logistic loss, Adagrad for the embeddings that a step touches.
 
-    The gradient of a max passes only to the winning window, so an epoch costs little more
-    than scoring its documents. A tenth of the sample, which no step sees, chooses the epoch
-    that is kept.
+    The gradient of a max passes only to the winning window, so a pass costs little more
+    than scoring its documents. ``rare`` are the buckets that are not learned.
     """
-    model, rng = Model.new(seed), np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    epochs = max(epochs, min(10 * epochs, LEAST_STEPS * batch // max(1, len(texts))))  # few texts: more often
-    check, order = np.split(order, [len(order) // 10])
-    weigh = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    weigh = np.sqrt(weigh)
-    params = {"shift": model.shift, "out": model.out, **{f"f{k}": f for k, f in enumerate(model.filters)}}
-    first = {k: np.zeros_like(p) for k, p in params.items()}
-    second = {k: np.zeros_like(p) for k, p in params.items()}
-    emb2 = np.full(BUCKETS, 1e-8, "f4")
-    bias1 = bias2 = 0.0
-    seen = np.bincount(np.concatenate([np.unique(x) for x in texts]), minlength=BUCKETS)
-    rare = seen < LEAST_DOCS
-    model.emb[rare] = 0
-    best, kept, t = np.inf, None, 0
-    for _ in range(epochs):
-        for begin in range(0, len(order), batch):
-            rows = order[begin : begin + batch]
-            grads = {k: np.zeros_like(p) for k, p in params.items()}
-            grad_bias, touched, deltas = 0.0, [], []
-            for r in rows:
-                ids = texts[r]
-                if not ids.size:
+
+    def __init__(self, rare: np.ndarray, seed: int = 3):
+        self.model, self.rare = Model.new(seed), rare
+        self.model.emb[rare] = 0
+        self.params = {"shift": self.model.shift, "out": self.model.out, **{f"f{k}": f for k, f in enumerate(self.model.filters)}}
+        self.first = {k: np.zeros_like(p) for k, p in self.params.items()}
+        self.second = {k: np.zeros_like(p) for k, p in self.params.items()}
+        self.emb2 = np.full(BUCKETS, 1e-8, "f4")
+        self.bias1 = self.bias2 = 0.0
+        self.t = 0
+        self.touched = np.zeros(BUCKETS, np.int64)
+
+    def step(self, texts: list[np.ndarray], labels: np.ndarray, weigh: np.ndarray, rate: float = 0.01) -> None:
+        model, params = self.model, self.params
+        grads = {k: np.zeros_like(p) for k, p in params.items()}
+        grad_bias, touched, deltas = 0.0, [], []
+        for ids, label, weight in zip(texts, labels, weigh, strict=True):
+            if not ids.size:
+                continue
+            x, where = model.features(ids)
+            p = 1 / (1 + np.exp(-np.clip(float(x @ model.out + model.bias), -30, 30)))
+            g = np.float32((p - label) * weight / len(texts))
+            grads["out"] += g * x
+            grad_bias += g
+            back = np.where(x > 0, g * model.out, 0).astype("f4")
+            grads["shift"] += back
+            for k, w in enumerate(WIDTHS):
+                s = slice(k * FILTERS, (k + 1) * FILTERS)
+                at, gb = where[s], back[s]
+                live = np.flatnonzero(gb)
+                for j in range(w):
+                    inside = live[at[live] + j < ids.shape[1]]
+                    if len(inside):
+                        words = ids[:, at[inside] + j]
+                        grads[f"f{k}"][j].T[inside] += gb[inside, None] * model.emb[words].sum(axis=0)
+                        touched += [words[0], words[1]]
+                        deltas += [gb[inside, None] * model.filters[k][j].T[inside]] * 2
+        self.t += 1
+        for k, p in params.items():
+            self.first[k] += 0.1 * (grads[k] - self.first[k])
+            self.second[k] += 0.001 * (grads[k] ** 2 - self.second[k])
+            p -= rate * (self.first[k] / (1 - 0.9**self.t)) / (np.sqrt(self.second[k] / (1 - 0.999**self.t)) + 1e-8)
+        self.bias1 += 0.1 * (grad_bias - self.bias1)
+        self.bias2 += 0.001 * (grad_bias**2 - self.bias2)
+        model.bias -= float(rate * (self.bias1 / (1 - 0.9**self.t)) / (np.sqrt(self.bias2 / (1 - 0.999**self.t)) + 1e-8))
+        if touched:
+            words, which = np.unique(np.concatenate(touched), return_inverse=True)
+            delta = np.zeros((len(words), DIM), "f4")
+            np.add.at(delta, which, np.concatenate(deltas))
+            delta[self.rare[words]] = 0
+            self.emb2[words] += (delta**2).mean(axis=1)
+            model.emb[words] -= 5 * rate * delta / np.sqrt(self.emb2[words])[:, None]
+            self.touched[words[~self.rare[words]]] += 1
+
+    def small(self) -> np.ndarray:
+        """All but the embeddings, as one vector."""
+        parts = [p.ravel() for kind in (self.params, self.first, self.second) for p in kind.values()]
+        return np.concatenate([*parts, [self.model.bias, self.bias1, self.bias2, self.t]]).astype("f8")
+
+    def set_small(self, vector: np.ndarray) -> None:
+        at = 0
+        for kind in (self.params, self.first, self.second):
+            for p in kind.values():
+                p[...] = vector[at : at + p.size].reshape(p.shape)
+                at += p.size
+        self.model.bias, self.bias1, self.bias2 = map(float, vector[at : at + 3])
+        self.t = round(float(vector[at + 3]))
+
+    def changed(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``range, buckets, their embeddings and squares`` of all that steps touched."""
+        for k in range(0, BUCKETS, RANGE):
+            at = np.flatnonzero(self.touched[k : k + RANGE]) + k
+            if len(at):
+                yield k, at, np.column_stack([self.model.emb[at], self.emb2[at]])
+
+    def set_changed(self, at: np.ndarray, values: np.ndarray) -> None:
+        self.model.emb[at], self.emb2[at] = values[:, :DIM], values[:, DIM]
+
+
+_PART = "range int, trainer int, weights binary, at binary, data binary"
+
+
+def _part(k: int, trainer: int, weights: np.ndarray, at: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    row = [k, trainer, weights.astype("<f8").tobytes(), at.astype("<i8").tobytes(), data.astype("<f8").tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["range", "trainer", "weights", "at", "data"])
+
+
+def _texts(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4").reshape(2, -1) for x in column.to_pylist()]
+
+
+def _trained(start, weigh: np.ndarray, times: int, turn: int):
+    """What each trainer makes of the model ``start``; a trainer's rows stand together and stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, training, rows, rng = None, None, 0, None
+
+        def done():
+            yield _part(-1, at, np.array([rows]), np.zeros(1), training.small())
+            for k, which, values in training.changed():
+                yield _part(k, at, training.touched[which], which, values)
+
+        for batch in slices(batches, HELD_ROWS):
+            trainers = batch.column("trainer").to_numpy()
+            labels, texts = batch.column("label").to_numpy(), _texts(batch.column("words"))
+            cuts = [0, *(np.flatnonzero(np.diff(trainers)) + 1).tolist(), len(trainers)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if begin == end:
                     continue
-                x, where = model.features(ids)
-                p = 1 / (1 + np.exp(-np.clip(float(x @ model.out + model.bias), -30, 30)))
-                g = np.float32((p - labels[r]) * weigh[r] / len(rows))
-                grads["out"] += g * x
-                grad_bias += g
-                back = np.where(x > 0, g * model.out, 0).astype("f4")
-                grads["shift"] += back
-                for k, w in enumerate(WIDTHS):
-                    s = slice(k * FILTERS, (k + 1) * FILTERS)
-                    at, gb = where[s], back[s]
-                    live = np.flatnonzero(gb)
-                    for j in range(w):
-                        inside = live[at[live] + j < ids.shape[1]]
-                        if len(inside):
-                            words = ids[:, at[inside] + j]
-                            grads[f"f{k}"][j].T[inside] += gb[inside, None] * model.emb[words].sum(axis=0)
-                            touched += [words[0], words[1]]
-                            deltas += [gb[inside, None] * model.filters[k][j].T[inside]] * 2
-            t += 1
-            for k, p in params.items():
-                first[k] += 0.1 * (grads[k] - first[k])
-                second[k] += 0.001 * (grads[k] ** 2 - second[k])
-                p -= rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
-            bias1 += 0.1 * (grad_bias - bias1)
-            bias2 += 0.001 * (grad_bias**2 - bias2)
-            model.bias -= float(rate * (bias1 / (1 - 0.9**t)) / (np.sqrt(bias2 / (1 - 0.999**t)) + 1e-8))
-            if touched:
-                words, which = np.unique(np.concatenate(touched), return_inverse=True)
-                delta = np.zeros((len(words), DIM), "f4")
-                np.add.at(delta, which, np.concatenate(deltas))
-                delta[rare[words]] = 0
-                emb2[words] += (delta**2).mean(axis=1)
-                model.emb[words] -= 5 * rate * delta / np.sqrt(emb2[words])[:, None]
-        scores = np.array([model.score(texts[r]) for r in check])
-        loss = float(-(weigh[check] * np.log(np.where(labels[check] == 1, scores, 1 - scores) + 1e-7)).mean()) if len(check) else 0.0
-        if loss < best:
-            best, kept = loss, [model.emb.copy(), [f.copy() for f in model.filters], model.shift.copy(), model.out.copy(), model.bias]
-    if kept:
-        model.emb, model.filters, model.shift, model.out, model.bias = kept
-    return model
+                if trainers[begin] != at:
+                    if rows:
+                        yield from done()
+                    at, training, rows = int(trainers[begin]), copy.deepcopy(start.value), 0
+                    rng = np.random.default_rng((turn, at))
+                for _ in range(times):
+                    order = begin + rng.permutation(end - begin)
+                    for k in range(0, len(order), BATCH):
+                        few = order[k : k + BATCH]
+                        training.step([texts[i] for i in few], labels[few], weigh[labels[few]])
+                rows += end - begin
+        if rows:
+            yield from done()
 
+    return run
 
-def calibrate(model: Model, scores: np.ndarray, labels: np.ndarray, langs: list[str | None], false_alarms: float = 0.005) -> None:
-    """Sets each language's threshold: the lowest at which so few clean documents are flagged.
 
-    Languages with fewer than 50 clean documents in the sample use all languages' threshold.
-    """
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of a range over the trainers that touched it, by how often; rows sorted by range."""
+    k, sums, total = None, None, None
 
-    def least(clean: np.ndarray) -> float:
-        return float(max(0.5, np.quantile(clean, 1 - false_alarms, method="higher"))) if len(clean) else 0.5
+    def done():
+        at = np.flatnonzero(total)
+        yield _part(k, 0, total[at], at + max(k, 0), sums[at] / total[at, None])
 
-    model.default = least(scores[labels == 0])
-    for lang in set(langs):
-        clean = scores[(labels == 0) & np.array([x == lang for x in langs])]
-        if len(clean) >= 50:
-            model.thresholds[lang] = least(clean)
+    for batch in batches:
+        for key, _, weights, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            weights, at = np.frombuffer(weights, "<f8"), np.frombuffer(at, "<i8")
+            data = np.frombuffer(data, "<f8").reshape(len(at), -1)
+            if key != k:
+                if k is not None:
+                    yield from done()
+                k, sums, total = key, np.zeros((RANGE if key >= 0 else 1, data.shape[1])), np.zeros(RANGE if key >= 0 else 1)
+            sums[at - max(k, 0)] += weights[:, None] * data
+            total[at - max(k, 0)] += weights
+    if k is not None:
+        yield from done()
 
 
-def fold(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of a task's texts each bucket occurs."""
+    seen = np.zeros(BUCKETS, np.int64)
+    for batch in slices(batches, HELD_ROWS):
+        for ids in _texts(batch.column("words")):
+            seen[np.unique(ids)] += 1
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["bucket", "docs"])
 
 
-def held_out(doc_id: Column) -> Column:
-    """Rows that labels are never learned from: crc32 of the id as text leaves 0 by five."""
-    return fold(doc_id) == HELD_OUT
+_SCORED = "label int, lang string, score double, bits long"
 
 
-def _fitted(epochs: int):
-    """The model, from all rows of a sample in one task: ``doc_key, label, calibrates, lang, data``."""
+def _scored(shared):
+    """``label, lang, score`` of labelled rows, and the score's bits, which order as scores do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:
-            for key, label, later, lang, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append((zlib.crc32(key.encode()), key, label, later, lang, buckets(data).astype(np.uint32)))
-        rows.sort(key=lambda r: r[:2])
-        train_on, rest = [r for r in rows if not r[3]], [r for r in rows if r[3]]
-        labels = np.array([r[2] for r in train_on], np.int64)
-        if len(set(labels.tolist())) < 2:
-            model = Model.untrained()
-        else:
-            model = train([r[5] for r in train_on], labels, epochs)
-            calibrate(model, np.array([model.score(r[5]) for r in rest]), np.array([r[2] for r in rest], np.int64), [r[4] for r in rest])
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(model), 1)], pa.binary())], ["model"])
+        for batch in slices(batches, HELD_ROWS):
+            scores = np.array([shared.value.score(ids) for ids in _texts(batch.column("words"))], "f8")
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("lang"), pa.array(scores), pa.array(scores.view("i8"))], ["label", "lang", "score", "bits"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_calibrating: int = MOST_CALIBRATING, epochs: int = EPOCHS) -> Model:
-    """Fits on at most ``most_toxic`` and ``most_clean`` labelled whole texts, calibrates on others.
+def train(rows: DataFrame, epochs: int = EPOCHS) -> Model:
+    """Fits a model on all ``label, part, trainer, words``, both labels weighed alike.
 
-    The samples are those of smallest id hash outside the held-out fold: thresholds are set on
-    ``most_calibrating`` clean documents of a fold that training leaves out. Texts of more than
-    MOST_BYTES bytes are in neither; of rows that share an id one is. Labels or ids that are
-    null, and labels that disagree for one id, are left out. Without both labels the model
-    stays untrained and scores 0.5 or less. A sample of few texts is passed over more often:
-    ``epochs`` times, or until some ``LEAST_STEPS`` steps are made, at most ten times ``epochs``.
+    The rows that only check, which no step sees, choose the round that is kept.
     """
+    spark = rows.sparkSession
+    steps, checks = (rows.filter(F.col("part") == part) for part in (TRAINS, CHECKS))
+    counts = {r["label"]: r["count"] for r in steps.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return Model.untrained()
+    n = sum(counts.values())
+    weigh = np.sqrt(np.array([0.5 / counts[label] * n for label in (0, 1)]))
+    passes = max(epochs, min(10 * epochs, LEAST_STEPS * BATCH // n))  # few texts: more often
+    often = steps.select("words").mapInArrow(_document_counts, "bucket long, docs long").groupBy("bucket").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= LEAST_DOCS)
+    rare = np.ones(BUCKETS, bool)
+    rare[[r["bucket"] for r in often.select("bucket").collect()]] = False
+    training, best, kept = Training(rare), np.inf, None
+    for turn in range(epochs):
+        start = spark.sparkContext.broadcast(training)
+        parts = steps.select("trainer", "label", "words").mapInArrow(_trained(start, weigh, -(-passes // epochs), turn), _PART)
+        for r in parts.repartition("range").sortWithinPartitions("range", "trainer", "at", "data").mapInArrow(_averaged, _PART).collect():
+            values = np.frombuffer(r["data"], "<f8")
+            if r["range"] < 0:
+                training.set_small(values)
+            else:
+                training.set_changed(np.frombuffer(r["at"], "<i8"), values.reshape(-1, DIM + 1))
+        start.unpersist()
+        shared = spark.sparkContext.broadcast(training.model)
+        right = F.when(F.col("label") == 1, F.col("score")).otherwise(1 - F.col("score"))
+        scores = checks.select("label", "lang", "words").mapInArrow(_scored(shared), _SCORED)
+        lost = scores.select("label", F.round(-F.log(right + 1e-7), 9).cast("decimal(20,9)").alias("loss")).groupBy("label").agg(F.sum("loss").alias("loss"))
+        loss = sum(float(r["loss"]) * weigh[r["label"]] for r in lost.collect())
+        shared.unpersist()
+        if kept is None or loss < best or not loss:
+            best, kept = loss, copy.deepcopy(training.model)
+    return kept
+
+
+def calibrate(model: Model, rows: DataFrame, false_alarms: float = 0.005) -> None:
+    """Sets each language's threshold: the lowest at which so few clean documents are flagged.
+
+    ``rows`` are ``label, lang, words`` of the documents that set limits; all clean ones count.
+    Languages with fewer than 50 clean documents use all languages' threshold. The thresholds
+    are exact ranks, found by counting 16 bits of the scores at a time.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    clean = rows.filter("label = 0").select("label", "lang", "words").mapInArrow(_scored(shared), _SCORED)
+    groups = F.explode(F.array(F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("lang")), F.struct(F.lit(False).alias("all"), F.col("lang"))))
+    scores = written(clean.select(groups.alias("of"), "bits"), "scores")
+    asked = scores.groupBy("of").agg(F.count("*").alias("n")).filter("n >= 50 or of.all")
+    asked = written(asked.select("of", F.ceil((F.col("n") - 1) * F.lit(1 - false_alarms)).cast("long").alias("rank"), F.lit(0).cast("long").alias("high")), "asked")
+    for shift in (48, 32, 16, 0):
+        rows = scores.join(asked, scores["of"].eqNullSafe(asked["of"])).filter(F.shiftright("bits", shift + 16) == F.col("high"))
+        digits = rows.groupBy(asked["of"], "rank", "high", F.shiftright("bits", shift).bitwiseAND(65535).alias("digit")).agg(F.count("*").alias("n"))
+        below = F.coalesce(F.sum("n").over(Window.partitionBy("of").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = digits.withColumn("below", below).filter("below <= rank and rank < below + n")
+        before, asked = asked, written(found.select("of", (F.col("rank") - F.col("below")).alias("rank"), (F.col("high") * 65536 + F.col("digit")).alias("high")), "asked")
+        discard(before)
+    limits = [(r["of"], max(0.5, float(np.int64(r["high"]).view("f8")))) for r in asked.collect()]
+    discard(scores, asked)
+    model.default = next((limit for of, limit in limits if of["all"]), 0.5)
+    model.thresholds = {of["lang"]: limit for of, limit in limits if not of["all"]}
+
+
+def fold(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows that labels are never learned from: crc32 of the id as text leaves 0 by five."""
+    return fold(doc_id) == HELD_OUT
+
+
+def _in_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, HELD_ROWS):
+        words = [buckets(x).astype("<u4").tobytes() for x in batch.column("data").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(words, pa.binary())], [*batch.schema.names[:-1], "words"])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> DataFrame:
+    """``draw, label, lang, words, part, trainer`` of every labelled text outside the held-out fold, written by part and trainer."""
+    key = F.col("doc_key")
     truth = labels.select(F.col(id_col).alias("doc_key"), F.col(label_col).cast("int").alias("label")).filter("doc_key is not null and label in (0, 1)")
-    truth = truth.groupBy("doc_key").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").filter(~held_out(F.col("doc_key")))
-    texts = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("binary").alias("data"), F.col(lang_col).cast("string").alias("lang")).filter(F.coalesce(F.octet_length("data"), F.lit(0)) <= MOST_BYTES)
-    truth = truth.withColumn("calibrates", fold(F.col("doc_key")) == CALIBRATES)
-    draw = F.xxhash64(F.lit(29), F.col("doc_key").cast("string"))
-    few = lambda later, label, n: truth.filter((F.col("calibrates") == later) & (F.col("label") == label)).orderBy(draw, "doc_key").limit(n)
-    chosen = few(False, 1, most_toxic).unionByName(few(False, 0, most_clean)).unionByName(few(True, 0, most_calibrating)).select("doc_key", "label", "calibrates")
-    rows = texts.join(F.broadcast(chosen), "doc_key").groupBy("doc_key", "label", "calibrates").agg(F.min(F.struct("data", "lang")).alias("row"))
-    sample = rows.select(F.col("doc_key").cast("string"), "label", "calibrates", "row.lang", "row.data")
-    fitted = sample.repartition(1).mapInArrow(_fitted(epochs), "model binary").collect()
-    return pickle.loads(zlib.decompress(bytes(fitted[0]["model"]))) if fitted else Model.untrained()
+    truth = truth.groupBy("doc_key").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").filter(~held_out(key))
+    trainers = max(1, truth.count() // TRAINER_ROWS)
+    draw = lambda seed: F.xxhash64(F.lit(seed), key.cast("string"))
+    part = F.when(fold(key) == CALIBRATES, SETS_LIMITS).when(F.pmod(draw(31), F.lit(10)) == 0, CHECKS).otherwise(TRAINS)
+    truth = truth.select("doc_key", "label", part.alias("part"), F.pmod(draw(37), F.lit(trainers)).cast("int").alias("trainer"), draw(29).alias("draw"))
+    texts = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("binary").alias("data"), F.col(lang_col).cast("string").alias("lang"))
+    rows = texts.join(truth.filter(f"part <> {SETS_LIMITS} or label = 0"), "doc_key").select("part", "trainer", "draw", F.col("doc_key").cast("string"), "label", "lang", "data")
+    dealt = rows.mapInArrow(_in_words, "part int, trainer int, draw long, doc_key string, label int, lang string, words binary").repartition("part", "trainer").sortWithinPartitions("part", "trainer", "draw", "doc_key", "words")
+    return written(dealt, "labelled", HELD_ROWS, by=("part", "trainer"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", epochs: int = EPOCHS) -> Model:
+    """Fits on all labelled whole texts outside the held-out fold, of any length.
+
+    Thresholds are set on all clean documents of a fold that training leaves out. Labels or ids
+    that are null, and labels that disagree for one id, say nothing and are left out; rows that
+    share an id have its label, each text of them. Without both labels the model stays
+    untrained and scores 0.5 or less. Few texts are passed over more often: ``epochs`` times,
+    or until some ``LEAST_STEPS`` steps are made, at most ten times ``epochs``.
+    """
+    rows = labelled(docs, labels, id_col, text_col, lang_col, label_col)
+    model = train(rows, epochs)
+    if model.out.any():
+        calibrate(model, rows.filter(F.col("part") == SETS_LIMITS))
+    discard(rows)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
