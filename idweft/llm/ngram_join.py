@@ -13,7 +13,10 @@ meets one other: the first document under its shingles, the one under most of th
 links are merged into components, and shingles whose documents are all in one component are
 done. Under the others every document meets one of another component, in a few rounds. What
 then is left are pairs of different components under one shingle; they are formed in blocks
-of bounded size, within the largest component never. No link between components is lost.
+of bounded size, within the largest component never. Rows that meet no other there go, the
+rest come again with their sets: pairs are verified inside the block, and of its links only
+those leave it that join what it has not joined yet, fewer than it has rows. So pairs that
+turn out not to link are never rows of a table. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -45,6 +48,9 @@ SINGLE = STEPS
 FIRST = 16
 #: Rounds in which a document meets one of another component before all such pairs are formed.
 ROUNDS = 2
+#: Shingles of the longest set that is compared inside a block, and sets that meet one at once;
+#: pairs with a longer set are verified two by two.
+MOST_IN_BLOCK, AT_ONCE = 1 << 15, 64
 #: Texts that a worker gets at once.
 BATCH_ROWS = 1_024
 #: Shingles held before a partition's counts are written out.
@@ -276,63 +282,111 @@ def _share_one(lists: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarra
     return out
 
 
-def _pairs_in_blocks(percent: int):
-    """Pairs of different components from rows sorted by block; a block's rows stand together.
+_ROWS = ["block", "rep", "label", "n", "place", "own", "cross", "classes", "earlier"]
+
+
+def _candidates(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i, j of one block and different components that all bounds let pass.
 
     A pair is formed under the first shingle that both share: ``earlier`` holds shingles that
     come before a row's own, and a pair with one of these in common is left to that one.
     """
-
-    def pairs(key, rows):
-        rep, label, n, place, own, cross, classes, earlier = rows
-        sizes = np.array([len(e) for e in earlier], np.int64)
-        lists = np.zeros((len(key), FIRST), np.int64)
-        for row in np.flatnonzero(sizes):
-            lists[row, : sizes[row]] = earlier[row]
-        found, index, d = [], np.arange(len(key)), 0
-        has = np.array([c is not None for c in classes], bool)
-        table = np.zeros((len(classes), CLASSES), np.uint8)
-        if has.any():
-            table[has] = np.frombuffer(b"".join(c for c in classes if c is not None), np.uint8).reshape(-1, CLASSES)
-        while len(index):  # rows d apart in one block, for all blocks at once
-            d += 1
-            index = index[index + d < len(key)]
-            index = index[key[index] == key[index + d]]
-            i, j = index, index + d
-            good = (label[i] != label[j]) & (~cross[i] | (own[i] != own[j]))
-            i, j = i[good], j[good]
-            good = _may_link(n[i], n[j], place[i], place[j], percent)
-            i, j = i[good], j[good]
-            both = has[i] & has[j]
-            if both.any():
-                fits = np.ones(len(i), bool)
-                fits[both] = _bound(table[i[both]], table[j[both]]) >= _least_shared(n[i[both]] + n[j[both]], percent)
-                i, j = i[fits], j[fits]
-            if len(i):
-                new = ~_share_one(lists, sizes, i, j)
-                i, j = i[new], j[new]
-                found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
-        return np.unique(np.concatenate(found, axis=1), axis=1) if found else None
+    key, _, label, n, place, own, cross = (table.column(c).to_numpy() for c in _ROWS[:7])
+    classes, earlier = (table.column(c).to_pylist() for c in _ROWS[7:])
+    n, place, cross = n.astype(np.int64), place.astype(np.int64), cross.astype(bool)
+    sizes = np.array([len(e) for e in earlier], np.int64)
+    lists = np.zeros((len(key), FIRST), np.int64)
+    for row in np.flatnonzero(sizes):
+        lists[row, : sizes[row]] = earlier[row]
+    found, index, d = [np.zeros((2, 0), np.int64)], np.arange(len(key)), 0
+    has = np.array([c is not None for c in classes], bool)
+    counts = np.zeros((len(classes), CLASSES), np.uint8)
+    if has.any():
+        counts[has] = np.frombuffer(b"".join(c for c in classes if c is not None), np.uint8).reshape(-1, CLASSES)
+    while len(index):  # rows d apart in one block, for all blocks at once
+        d += 1
+        index = index[index + d < len(key)]
+        index = index[key[index] == key[index + d]]
+        i, j = index, index + d
+        good = (label[i] != label[j]) & (~cross[i] | (own[i] != own[j]))
+        i, j = i[good], j[good]
+        good = _may_link(n[i], n[j], place[i], place[j], percent)
+        i, j = i[good], j[good]
+        both = has[i] & has[j]
+        if both.any():
+            fits = np.ones(len(i), bool)
+            fits[both] = _bound(counts[i[both]], counts[j[both]]) >= _least_shared(n[i[both]] + n[j[both]], percent)
+            i, j = i[fits], j[fits]
+        if len(i):
+            new = ~_share_one(lists, sizes, i, j)
+            found.append(np.stack([i[new], j[new]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by block, no block in two tables."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        keys = table.column("block").to_numpy()
+        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if len(keys) and (keys != keys[-1]).any() else 0
+        rest = table.slice(cut)
+        if cut:
+            yield table.slice(0, cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _met(percent: int):
+    """The rows that meet another in their block; pairs ``a, b`` instead where a set is long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            keys = table.column("block").to_numpy()
-            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
-            if not cut:
-                rest = table
-                continue
-            rest = table.slice(cut)
-            yield from out(table.slice(0, cut))
-        if rest is not None and rest.num_rows:
-            yield from out(rest)
+        for table in _whole_blocks(batches):
+            i, j = _candidates(table, percent)
+            rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+            long = np.maximum(n[i], n[j]) > MOST_IN_BLOCK
+            rows = table.take(pa.array(np.unique(np.concatenate([i[~long], j[~long]]))))
+            none = pa.nulls(rows.num_rows, pa.int64())
+            yield from rows.append_column("a", none).append_column("b", none).to_batches()
+            if long.any():
+                a, b = rep[i[long]], rep[j[long]]
+                ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                nulls = [pa.nulls(ends.shape[1], f.type) for f in table.schema]
+                yield pa.RecordBatch.from_arrays([*nulls, pa.array(ends[0]), pa.array(ends[1])], [*table.schema.names, "a", "b"])
+
+    return run
+
 
-    def out(table):
-        column = lambda name: table.column(name).to_numpy()
-        got = pairs(column("block"), (column("rep"), column("label"), column("n").astype(np.int64), column("place").astype(np.int64), column("own"), column("cross").astype(bool), table.column("classes").to_pylist(), table.column("earlier").to_pylist()))
-        if got is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
+def _linked(percent: int):
+    """Links that join components, verified on the sets of rows sorted by block; fewer than rows."""
+
+    def links(table: pa.Table) -> Iterator[tuple[int, int]]:
+        i, j = _candidates(table, percent)
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        rep = table.column("rep").to_numpy()
+        component = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("elements").combine_chunks()]
+        size = np.array([len(x) for x in sets], np.int64)
+        rows, begins = np.unique(i, return_index=True)
+        for row, others in zip(rows.tolist(), np.split(j, begins[1:]), strict=False):
+            for k in range(0, len(others), AT_ONCE):
+                few = others[k : k + AT_ONCE]
+                few = few[(component[few] != component[row]) & (np.maximum(size[few], size[row]) <= MOST_IN_BLOCK)]
+                if not len(few):
+                    continue
+                values = np.concatenate([sets[x] for x in few])
+                at = np.minimum(np.searchsorted(sets[row], values), size[row] - 1)
+                shared = np.add.reduceat((sets[row][at] == values).astype(np.int64), np.cumsum(size[few]) - size[few])
+                for other in few[100 * shared >= percent * (size[few] + size[row] - shared)].tolist():
+                    if component[other] != component[row]:
+                        component[component == component[other]] = component[row]
+                        yield int(min(rep[row], rep[other])), int(max(rep[row], rep[other]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_blocks(batches):
+            found = np.array(list(links(table)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return run
 
@@ -409,11 +463,10 @@ class _Join:
         end = lambda x: self.bounds.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("classes").alias(f"classes_{x}"))
         return pairs.join(end("b"), "b").join(end("a"), "a").mapInArrow(run, "a long, b long")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """``a, b`` of the pairs that link, on the whole sets."""
+    def elements(self, reps: DataFrame) -> DataFrame:
+        """``rep, tag, elements``: the sets of documents, written; one with several texts has a row for each."""
         size = self.size
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        asked = written(asked.join(self.classes.select("rep", F.col("set_low").alias("tag")), "rep"), "asked")  # the tag tells a class's text from another with its id
+        asked = written(reps.distinct().join(self.classes.select("rep", F.col("set_low").alias("tag")), "rep"), "asked")  # the tag tells a class's text from another with its id
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -431,11 +484,17 @@ class _Join:
         if self.repeats:
             sets = sets.dropDuplicates(["rep", "tag"])
         sets = written(sets, "elements", BATCH_ROWS)
+        discard(asked)
+        return sets
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """``a, b`` of the pairs that link, on the whole sets."""
+        sets = self.elements(pairs.select(F.explode(F.array("a", "b")).alias("rep")))
         end = lambda x: sets.select(F.col("rep").alias(x), F.col("elements").alias(f"set_{x}"))
         both = pairs.join(end("b"), "b").join(end("a"), "a")
         both = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), (F.size("set_a") + F.size("set_b")).alias("total"))
         links = written(both.filter(f"100 * shared >= {self.percent} * (total - shared)").select("a", "b"), "links")
-        discard(asked, sets)
+        discard(sets)
         return links
 
     def first_pairs(self, groups: DataFrame) -> DataFrame:
@@ -471,14 +530,14 @@ class _Join:
         one = asks.groupBy("rep").agg(F.max_by("to", F.struct("times", -F.col("to"))).alias("to"))
         return one.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
 
-    def other_pairs(self, mixed: DataFrame) -> DataFrame:
-        """Pairs of different components under one shingle, formed in blocks and bounded there."""
+    def other_links(self, mixed: DataFrame) -> DataFrame:
+        """Links that join all components whose pairs under one shingle link; formed and verified in blocks."""
         mixed = mixed.select("token", "rep", "label", "n", "place", "many")
         firsts = mixed.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct("place", "token"))), 1, FIRST).alias("firsts"))
         # a class that stands for several texts has no bound, and its shingles no common order
         firsts = self.bounds.select("rep", "classes").join(firsts, "rep").select("rep", "classes", F.when(F.col("classes").isNotNull(), F.col("firsts")).otherwise(F.array().cast("array<struct<place:int,token:long>>")).alias("firsts"))
         earlier = F.transform(F.filter("firsts", lambda x: x["place"] < F.col("place")), lambda x: x["token"]).alias("earlier")
-        cols = ["block", "rep", "label", "n", "place", "own", "cross", "classes", earlier]
+        cols = [*_ROWS[:-1], earlier]
         # shingles that few share: a block each
         few = mixed.filter("not many").select(F.col("token").alias("block"), "rep", "label", "n", "place", F.lit(0).alias("own"), F.lit(False).alias("cross"))
         # those that many share: blocks of bounded size
@@ -499,7 +558,19 @@ class _Join:
         dealt = rows.select("token", "rep", "label", "n", "place", F.explode(blocks).alias("x")).select("token", "rep", "label", "n", "place", "x.*")
         dealt = dealt.withColumn("block", F.xxhash64("token", "kind", "i", "j")).drop("token", "kind", "i", "j")
         dealt = few.unionByName(dealt).join(firsts, "rep").select(*cols).repartition("block").sortWithinPartitions("block")
-        return written(dealt.mapInArrow(_pairs_in_blocks(self.percent), "a long, b long").distinct(), "pairs")
+        met = written(dealt.mapInArrow(_met(self.percent), "block long, rep long, label long, n int, place int, own int, cross boolean, classes binary, earlier array<long>, a long, b long"), "met")
+        rows = met.filter("a is null").drop("a", "b")
+        sets = self.elements(rows.select("rep"))
+        whole = rows.join(sets.drop("tag"), "rep").select(*_ROWS, "elements").repartition("block").sortWithinPartitions("block")
+        links = written(whole.mapInArrow(_linked(self.percent), "a long, b long").distinct(), "links", BLOCK)
+        discard(sets)
+        long = written(met.filter("a is not null").select("a", "b").distinct(), "pairs")
+        discard(met)
+        if long.isEmpty():
+            return links
+        both = written(links.unionByName(self.verified(long)), "links")
+        discard(links, long)
+        return both
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -524,13 +595,17 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         discard(before)
         if rows.isEmpty():
             break
-        pairs = written(join.bounded(join.next_pairs(rows, tried)) if turn < ROUNDS else join.other_pairs(rows).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        links = join.verified(pairs)
+        if turn < ROUNDS:
+            pairs = written(join.bounded(join.next_pairs(rows, tried)), "pairs")
+            if pairs.isEmpty():
+                continue
+            links = join.verified(pairs)
+            before, tried = tried, written(tried.unionByName(pairs), "tried")
+            discard(before, pairs)
+        else:
+            links = join.other_links(rows)
         earlier, labels = labels, written(components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), "labels")
-        before, tried = tried, written(tried.unionByName(pairs), "tried")
-        discard(before, pairs, links, earlier)
+        discard(links, earlier)
     discard(rows, tried, join.twins, join.moved)
     classes = join.classes.select("set_high", "set_low", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("set_high", "set_low", F.coalesce("label", "rep").alias("component"))
