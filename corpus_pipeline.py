@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from idweft.llm import byte_bpe, ngram_join, secret_scan, source_mix, toxicity_cnn
 from idweft.llm.storage import written
 
+#: Texts that a Python worker gets at once. A stage's result is written by whoever calls it, in batches of
+#: the session's size, so the stages that end in Python write theirs first.
+BATCH_ROWS = 256
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -16,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold of their language."""
     model = toxicity_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     flag = toxicity_cnn.toxic_flag(spark, model)
-    return docs.select(*COLUMNS).filter(~flag(F.col("text"), F.col("lang")))
+    return written(docs.select(*COLUMNS).filter(~flag(F.col("text"), F.col("lang"))), "clean", BATCH_ROWS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, ids_sha256`` of every document of the mix."""
     ids = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return ids.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"))
+    return written(ids.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256")), "encoded", BATCH_ROWS)
 
 
 STAGES = [
