@@ -9,6 +9,8 @@ labelled documents that training leaves out. Every labelled document outside the
 is used. Their rows are dealt to trainers of some thousands each; in a round every trainer
 takes steps from the same model over its rows as they stream by, and what the trainers changed
 is averaged by ranges of the embedding table. The driver holds only the model, of a fixed size.
+A text crosses the network once, to its trainer, where it meets its label; a Bloom filter of
+the labelled ids, of bounded size, leaves most other texts where they are.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +43,8 @@ EPOCHS, BATCH, LEAST_STEPS = 5, 32, 500
 TRAINS, CHECKS, SETS_LIMITS = 0, 1, 2
 #: Words of a text that are convolved at once; the pieces overlap, so every window is seen.
 PIECE = 4_096
+#: The Bloom filter of labelled ids has a word of 64 bits for so many ids, at most so many words, and bits for an id.
+IDS_A_WORD, MOST_WORDS, BITS = 4, 1 << 20, 3
 #: Of crc32(id) mod FOLDS: the rows never learned from, and those that only calibrate.
 HELD_OUT, CALIBRATES, FOLDS = 0, 1, 5
 
@@ -209,14 +214,24 @@ class Training:
 _PART = "range int, trainer int, weights binary, at binary, data binary"
 
 
+def _kind(k: int) -> str:
+    """Embeddings are kept in the four bytes that they have in the model; the rest of it is small."""
+    return "<f8" if k < 0 else "<f4"
+
+
 def _part(k: int, trainer: int, weights: np.ndarray, at: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    row = [k, trainer, weights.astype("<f8").tobytes(), at.astype("<i8").tobytes(), data.astype("<f8").tobytes()]
+    row = [k, trainer, weights.astype("<i4").tobytes(), at.astype("<i4").tobytes(), data.astype(_kind(k)).tobytes()]
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["range", "trainer", "weights", "at", "data"])
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """A word's two buckets side by side: words that recur are equal bytes, which compress."""
+    return np.ascontiguousarray(ids.T, "<u4").tobytes()
+
+
 def _texts(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u4").reshape(2, -1) for x in column.to_pylist()]
+    return [np.frombuffer(x, "<u4").reshape(-1, 2).T for x in column.to_pylist()]
 
 
 def _trained(start, weigh: np.ndarray, times: int, turn: int):
@@ -260,12 +275,12 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done():
         at = np.flatnonzero(total)
-        yield _part(k, 0, total[at], at + max(k, 0), sums[at] / total[at, None])
+        yield _part(k, 0, total[:0], at + max(k, 0), sums[at] / total[at, None])
 
     for batch in batches:
         for key, _, weights, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            weights, at = np.frombuffer(weights, "<f8"), np.frombuffer(at, "<i8")
-            data = np.frombuffer(data, "<f8").reshape(len(at), -1)
+            weights, at = np.frombuffer(weights, "<i4").astype("f8"), np.frombuffer(at, "<i4")
+            data = np.frombuffer(data, _kind(key)).astype("f8").reshape(len(at), -1)
             if key != k:
                 if k is not None:
                     yield from done()
@@ -321,18 +336,18 @@ def train(rows: DataFrame, epochs: int = EPOCHS) -> Model:
         start = spark.sparkContext.broadcast(training)
         parts = steps.select("trainer", "label", "words").mapInArrow(_trained(start, weigh, -(-passes // epochs), turn), _PART)
         for r in parts.repartition("range").sortWithinPartitions("range", "trainer", "at", "data").mapInArrow(_averaged, _PART).collect():
-            values = np.frombuffer(r["data"], "<f8")
+            values = np.frombuffer(r["data"], _kind(r["range"]))
             if r["range"] < 0:
                 training.set_small(values)
             else:
-                training.set_changed(np.frombuffer(r["at"], "<i8"), values.reshape(-1, DIM + 1))
-        start.unpersist()
+                training.set_changed(np.frombuffer(r["at"], "<i4"), values.reshape(-1, DIM + 1))
+        start.destroy()
         shared = spark.sparkContext.broadcast(training.model)
         right = F.when(F.col("label") == 1, F.col("score")).otherwise(1 - F.col("score"))
         scores = checks.select("label", "lang", "words").mapInArrow(_scored(shared), _SCORED)
         lost = scores.select("label", F.round(-F.log(right + 1e-7), 9).cast("decimal(20,9)").alias("loss")).groupBy("label").agg(F.sum("loss").alias("loss"))
         loss = sum(float(r["loss"]) * weigh[r["label"]] for r in lost.collect())
-        shared.unpersist()
+        shared.destroy()
         if kept is None or loss < best or not loss:
             best, kept = loss, copy.deepcopy(training.model)
     return kept
@@ -374,24 +389,60 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _in_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each text that has a label, from rows in which an id's label comes before its texts."""
+    of = None, None
     for batch in slices(batches, HELD_ROWS):
-        words = [buckets(x).astype("<u4").tobytes() for x in batch.column("data").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(words, pa.binary())], [*batch.schema.names[:-1], "words"])
+        at, labels, words = [], [], []
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_key", "label", "data")), strict=True)
+        for i, (key, label, data) in enumerate(rows):
+            if label is not None:
+                of = key, label
+            elif key == of[0]:
+                at.append(i)
+                labels.append(of[1])
+                words.append(_packed(buckets(data)))
+        part, trainer, draw, keys, lang = batch.select(["part", "trainer", "draw", "doc_key", "lang"]).take(pa.array(at, pa.int64())).columns
+        yield pa.RecordBatch.from_arrays([part, trainer, draw, keys, pa.array(labels, pa.int32()), lang, pa.array(words, pa.binary())], ["part", "trainer", "draw", "doc_key", "label", "lang", "words"])
+
+
+def _draw(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_key").cast("string"))
+
+
+def maybe_labelled(texts: DataFrame, truth: DataFrame, count: int) -> DataFrame:
+    """All rows of ``texts`` whose ``doc_key`` is one of the ``count`` of ``truth``, and some one in a hundred of the others.
+
+    Beyond ``MOST_WORDS * IDS_A_WORD`` ids the filter keeps its size and lets more of the others pass.
+    """
+    words = min(MOST_WORDS, max(1, count // IDS_A_WORD))
+    word = F.pmod(_draw(41), F.lit(words)).alias("word")
+    own = reduce(lambda a, b: a.bitwiseOR(b), (F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(_draw(43 + i), F.lit(64)).cast("int")) for i in range(BITS))).alias("own")
+    held = truth.select(word, own).groupBy("word").agg(F.bit_or("own").alias("held"))
+    found = texts.select("*", word, own).join(F.broadcast(held), "word").filter(F.col("held").bitwiseAND(F.col("own")) == F.col("own"))
+    return found.select(*texts.columns)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> DataFrame:
-    """``draw, label, lang, words, part, trainer`` of every labelled text outside the held-out fold, written by part and trainer."""
+    """``draw, label, lang, words, part, trainer`` of every labelled text outside the held-out fold, written by part and trainer.
+
+    Labels and texts are dealt by what an id draws and meet there in order of the id, so no join moves texts before.
+    """
     key = F.col("doc_key")
-    truth = labels.select(F.col(id_col).alias("doc_key"), F.col(label_col).cast("int").alias("label")).filter("doc_key is not null and label in (0, 1)")
+    texts = docs.select(F.col(id_col).alias("doc_key"), F.lit(None).cast("int").alias("label"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"))
+    texts = texts.filter("doc_key is not null").filter(~held_out(key))
+    truth = labels.select(F.col(id_col).try_cast(texts.schema["doc_key"].dataType).alias("doc_key"), F.col(label_col).cast("int").alias("label")).filter("doc_key is not null and label in (0, 1)")
     truth = truth.groupBy("doc_key").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").filter(~held_out(key))
-    trainers = max(1, truth.count() // TRAINER_ROWS)
-    draw = lambda seed: F.xxhash64(F.lit(seed), key.cast("string"))
-    part = F.when(fold(key) == CALIBRATES, SETS_LIMITS).when(F.pmod(draw(31), F.lit(10)) == 0, CHECKS).otherwise(TRAINS)
-    truth = truth.select("doc_key", "label", part.alias("part"), F.pmod(draw(37), F.lit(trainers)).cast("int").alias("trainer"), draw(29).alias("draw"))
-    texts = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("binary").alias("data"), F.col(lang_col).cast("string").alias("lang"))
-    rows = texts.join(truth.filter(f"part <> {SETS_LIMITS} or label = 0"), "doc_key").select("part", "trainer", "draw", F.col("doc_key").cast("string"), "label", "lang", "data")
-    dealt = rows.mapInArrow(_in_words, "part int, trainer int, draw long, doc_key string, label int, lang string, words binary").repartition("part", "trainer").sortWithinPartitions("part", "trainer", "draw", "doc_key", "words")
-    return written(dealt, "labelled", HELD_ROWS, by=("part", "trainer"))
+    truth = written(truth.select("doc_key", "label"), "truth")
+    count = truth.count()
+    part = F.when(fold(key) == CALIBRATES, SETS_LIMITS).when(F.pmod(_draw(31), F.lit(10)) == 0, CHECKS).otherwise(TRAINS)
+    trainer = F.pmod(_draw(37), F.lit(max(1, count // TRAINER_ROWS))).cast("int")
+    used = truth.filter((part != SETS_LIMITS) | (F.col("label") == 0)).select("doc_key", "label", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("data"))
+    rows = used.unionByName(maybe_labelled(texts, used, count)).select(part.alias("part"), trainer.alias("trainer"), _draw(29).alias("draw"), key.cast("string").alias("doc_key"), "label", "lang", "data")
+    dealt = rows.repartition("part", "trainer").sortWithinPartitions("part", "trainer", "draw", "doc_key", F.col("label").desc_nulls_last())
+    dealt = dealt.mapInArrow(_in_words, "part int, trainer int, draw long, doc_key string, label int, lang string, words binary").sortWithinPartitions("part", "trainer", "draw", "doc_key", "words")
+    out = written(dealt, "labelled", HELD_ROWS, by=("part", "trainer"), codec="zstd")
+    discard(truth)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", epochs: int = EPOCHS) -> Model:
